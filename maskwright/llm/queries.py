@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, topk, toxicity
+from . import hmm, mixing, quality, topk, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_lm_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hmm.Model(docs).score(docs)
+
+
 def op6_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -29,7 +34,7 @@ def op10_mix_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_bradley_terry, op6_toxicity_nb_ngrams, op9_topk_branch_and_bound, op10_mix_entropy_balancing)}
+    return {f.__name__: f for f in (op1_quality_bradley_terry, op2_lm_hidden_markov, op6_toxicity_nb_ngrams, op9_topk_branch_and_bound, op10_mix_entropy_balancing)}
 
 
 OP9_SQL = """
