@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, mixing, quality, substring, topk, toxicity
+from . import hmm, mixing, quality, simhash, substring, topk, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op7_substring_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op8_simhash_vantage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_topk_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -38,7 +42,7 @@ def op10_mix_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_bradley_terry, op2_lm_hidden_markov, op6_toxicity_nb_ngrams, op7_substring_count_min, op9_topk_branch_and_bound, op10_mix_entropy_balancing)}
+    return {f.__name__: f for f in (op1_quality_bradley_terry, op2_lm_hidden_markov, op6_toxicity_nb_ngrams, op7_substring_count_min, op8_simhash_vantage_point, op9_topk_branch_and_bound, op10_mix_entropy_balancing)}
 
 
 OP9_SQL = """
