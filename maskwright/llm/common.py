@@ -56,18 +56,23 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod) == rest
 
 
+def share_of(h: Column, rows: int, most: int) -> Column:
+    """Whether a hash lies in the share that holds about ``most`` of so many rows (all, if fewer)."""
+    return F.lit(True) if rows <= most else F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * most / rows)
+
+
 def label_sample(labels: DataFrame, label: str, mod: int, rest: int, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled ids of each class, drawn by hash, none of them held out.
+    """About ``per_class`` labelled ids of each class (all, if fewer), drawn by hash, none of them held out.
 
     Ids whose labels disagree, and null ids or labels, teach nothing and are left out.
-    Each class is a top-n by hash, so no sort of the whole table takes place.
     """
     one = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
         .groupBy("doc_id")
         .agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
-        .where("lo = hi")
-        .select("doc_id", F.col("lo").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
+        .where("lo = hi and lo in (0, 1)")
+        .select("doc_id", F.col("lo").cast("int").alias("label"))
     )
-    parts = [one.where(F.col("label") == k).orderBy("h", "doc_id").limit(per_class) for k in (0, 1)]
-    return parts[0].unionByName(parts[1]).drop("h")
+    n = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
+    chosen = [(F.col("label") == k) & share_of(F.xxhash64("doc_id"), n.get(k, 0), per_class) for k in (0, 1)]
+    return one.where(chosen[0] | chosen[1])

@@ -84,6 +84,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, group: int = GROU
     return _mix(rows, [], weights, group).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, group: int = 1000) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it has copies, with copy_no from 1."""
+    names = docs.columns
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"), *[F.col(f"`{c}`").alias(f"_col{i}") for i, c in enumerate(names)])
+    out = _mix(rows, [f"_col{i}" for i in range(len(names))], weights, group).where("copies > 0")
+    return out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"_col{i}").alias(c) for i, c in enumerate(names)], "copy_no")
+
+
 def _mix(rows: DataFrame, keep: list[str], weights: tuple[float, ...], group: int) -> DataFrame:
     """rows: doc_id, source, size, h and the columns in ``keep``."""
     spark = rows.sparkSession

@@ -20,7 +20,7 @@ from . import common
 
 #: A score of at least this much predicts good quality.
 CUT = 0.7
-#: Bound of the fit: at most so many labelled documents of each class, drawn by hash.
+#: Bound of the fit: about so many labelled documents of each class, drawn by hash.
 PER_CLASS = 3000
 #: Each document of the fit meets so many of the other class.
 PARTNERS = 24
@@ -113,7 +113,7 @@ def rank(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    """Fit on at most ``per_class`` labelled documents a class (never held-out ones)."""
+    """Fit on about ``per_class`` labelled documents a class (never held-out ones)."""
     picked = common.label_sample(labels.select("doc_id", "quality"), "quality", 4, 2, per_class)
     text = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, html, mixing, pii, quality, simhash, substring, topk, toxicity
+from . import decontaminate, hmm, html, mixing, pii, quality, simhash, substring, topk, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.learn(docs))
 
 
+def op5_decontaminate_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -51,7 +55,7 @@ def op10_mix_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_bradley_terry, op2_lm_hidden_markov, op3_html_line_blocks, op4_pii_weak_supervision, op6_toxicity_nb_ngrams, op7_substring_count_min, op8_simhash_vantage_point, op9_topk_branch_and_bound, op10_mix_entropy_balancing)}
+    return {f.__name__: f for f in (op1_quality_bradley_terry, op2_lm_hidden_markov, op3_html_line_blocks, op4_pii_weak_supervision, op5_decontaminate_spaced_seeds, op6_toxicity_nb_ngrams, op7_substring_count_min, op8_simhash_vantage_point, op9_topk_branch_and_bound, op10_mix_entropy_balancing)}
 
 
 OP9_SQL = """

@@ -8,6 +8,11 @@ shards. A fingerprint lies in one shard of each band and asks all shards that th
 triangle bound cannot rule out for its ball: those of both sides where its distance
 is within the reach of the boundary. Within a shard only a spanning forest of the
 links is handed on, never all pairs.
+
+For similarities as low as 0.8 the reach is too wide for any triangle bound to prune.
+``similar`` then takes longer fingerprints and several trees over random bits, each
+fingerprint asking its own shard of each tree only: unlike the exact search this finds
+a pair with a probability, which ``TREES`` makes close to one (measured in the tests).
 """
 
 from __future__ import annotations
@@ -21,14 +26,19 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .windows import mix
 
 BITS = 64
 #: Fingerprints link at so many differing bits or fewer.
 REACH = 4
 #: Bands for up to WIDE_FROM distinct fingerprints; two of 32 bits beyond, whose space is not soon exhausted.
 BANDS, WIDE_FROM = 4, 20_000_000
-#: Fingerprints that a shard should hold, and those from which the trees are built at most.
-SHARD, SAMPLE = 600, 200_000
+#: Fingerprints that a shard should hold, and those from which the trees are built, about.
+SHARD, SAMPLE = 600, 100_000
+#: Leaves up to which the table of large shards is surely small enough to be sent out.
+LEAVES_SENT = 200_000
+#: Wide fingerprints for similarities: their words, the trees and the bits of each, and the fingerprints of a shard.
+WORDS, TREES, TREE_BITS, WIDE_SHARD = 4, 40, 16, 300
 #: A shard found to hold more than so many is dealt to several tasks, each with a part of it.
 PART = 20_000
 
@@ -66,13 +76,13 @@ def fingerprints(docs: DataFrame, size: int = 4, keep: tuple[str, ...] = ("doc_i
 
 
 class Tree:
-    """A vantage-point tree over one band. Leaves are numbered; boundaries hold for any point, sampled or not."""
+    """A vantage-point tree over the values of one band. Leaves are numbered; boundaries hold for any value, sampled or not."""
 
-    def __init__(self, points: np.ndarray, shift: int, width: int, reach: int, leaf: float):
-        self.shift, self.mask, self.reach = np.uint64(shift), np.uint64((1 << width) - 1), reach
+    def __init__(self, values: np.ndarray, reach: int, leaf: float, seed: int):
+        self.reach = reach
         self.nodes: list[tuple[int, int, int, int]] = []  # vantage, radius, inside, outside; leaves have vantage -1 and their number
         self.leaves = 0
-        self.root = self._grow((points >> self.shift) & self.mask, leaf, np.random.default_rng(shift))
+        self.root = self._grow(values, leaf, np.random.default_rng(seed))
 
     def _grow(self, p: np.ndarray, leaf: float, rng) -> int:
         kinds = np.unique(p)
@@ -103,9 +113,8 @@ class Tree:
         self.nodes[at] = (v, r, inside, outside)
         return at
 
-    def visit(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a point, leaf) for all leaves that its ball of radius ``reach`` may touch."""
-        p = (points >> self.shift) & self.mask
+    def visit(self, p: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a value, leaf) for all leaves that its ball of radius ``reach`` may touch."""
         out_i, out_leaf = [], []
         stack = [(self.root, np.arange(len(p)))]
         while stack:
@@ -123,14 +132,18 @@ class Tree:
         return np.concatenate(out_i) if out_i else np.zeros(0, np.int64), np.concatenate(out_leaf) if out_leaf else np.zeros(0, np.int32)
 
 
-def forest(own: np.ndarray, asking: np.ndarray, reach: int = REACH, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The links between the shard's own fingerprints and those that ask, as stars: each linked point and its group's least."""
-    points = np.unique(np.concatenate([own, asking]))
+def forest(points: np.ndarray, own: np.ndarray, reach: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links between a shard's own points and all of ``points`` (one row of 64-bit words each),
+    as stars: the places of each linked point and of its group's first."""
     root = np.arange(len(points))
-    a = np.searchsorted(points, own)
-    step = max(1, cells // max(1, len(own)))
+    a = np.flatnonzero(own)
+    words = np.ascontiguousarray(points.T)
+    step = max(1, cells // max(1, len(a)))
     for at in range(0, len(points), step):
-        x, y = np.nonzero(np.bitwise_count(points[at : at + step, None] ^ own[None, :]) <= reach)
+        d = np.bitwise_count(words[0, at : at + step, None] ^ words[0, a][None, :])
+        for w in words[1:]:
+            d = d.astype(np.uint16) + np.bitwise_count(w[at : at + step, None] ^ w[a][None, :])
+        x, y = np.nonzero(d <= reach)
         x, y = x + at, a[y]
         while True:
             p, q = root[x], root[y]
@@ -142,47 +155,69 @@ def forest(own: np.ndarray, asking: np.ndarray, reach: int = REACH, cells: int =
             while (root != root[root]).any():
                 root = root[root]
     far = np.flatnonzero(root != np.arange(len(points)))
-    return points[far], points[root[far]]
+    return far, root[far]
 
 
-def links(found: DataFrame, reach: int = REACH, shard: int = SHARD) -> DataFrame:
-    """a, b: links among the distinct fingerprints ``found`` (f), enough to join all that are within ``reach`` bits through others."""
-    spark = found.sparkSession
-    n = found.count()
-    bands = BANDS if n <= WIDE_FROM else 2
-    width, band_reach = BITS // bands, reach // bands
-    sample = found
-    if n > SAMPLE:
-        sample = found.orderBy(F.xxhash64("f"), "f").limit(SAMPLE)
-    points = np.array([r.f for r in sample.collect()], np.int64).view(np.uint64)
-    trees = spark.sparkContext.broadcast([Tree(points, i * width, width, band_reach, shard * len(points) / max(1, n)) for i in range(bands)])
+def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: int) -> DataFrame:
+    """a, b: links found by dealing ``found`` (f, w: its words as bytes) to the leaves of ``trees``.
+
+    ``values(words, k)`` gives the band values of tree k.
+    """
+    sent = found.sparkSession.sparkContext.broadcast(trees)
 
     def dealt(batches):
         for b in batches:
-            f = b.column("f").to_numpy(zero_copy_only=False).view(np.uint64)
-            for band, tree in enumerate(trees.value):
-                home_i, home = tree.visit(f, 0)
+            f, raw = b.column("f"), b.column("w")
+            words = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(f), -1)
+            for k, tree in enumerate(sent.value):
+                v = values(words, k)
+                home_i, home = tree.visit(v, 0)
                 own = np.empty(len(f), np.int32)
                 own[home_i] = home
-                i, leaf = tree.visit(f, band_reach)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), band, np.int32)), pa.array(leaf), pa.array(own[i] == leaf), pa.array(f[i].view(np.int64))], ["band", "leaf", "home", "f"])
+                i, leaf = tree.visit(v, band_reach) if band_reach else (home_i, home)
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(leaf), pa.array(own[i] == leaf), f.take(at), raw.take(at)], ["tree", "leaf", "home", "f", "w"])
 
-    rows = found.select("f").mapInArrow(dealt, "band int, leaf int, home boolean, f long")
-    large = rows.where("home").groupBy("band", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
-    large = large.select("band", "leaf", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(large) if bands * sum(t.leaves for t in trees.value) < 200_000 else large, ["band", "leaf"], "left")
+    rows = found.select("f", "w").mapInArrow(dealt, "tree int, leaf int, home boolean, f long, w binary")
+    home = lambda batches: (
+        pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n)], ["tree", "leaf", "n"])
+        for b in batches
+        for words in [np.frombuffer(b"".join(b.column("w").to_pylist()), np.uint64).reshape(len(b), -1)]
+        for k, tree in enumerate(sent.value)
+        for at, n in [np.unique(tree.visit(values(words, k), 0)[1], return_counts=True)]
+    )
+    large = found.select("w").mapInArrow(home, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > PART)
+    large = large.select("tree", "leaf", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(large) if sum(t.leaves for t in trees) < LEAVES_SENT else large, ["tree", "leaf"], "left")
     # a large shard's own fingerprints are split into parts, and each part meets all that ask
-    own_part = F.pmod(F.xxhash64("f"), F.coalesce("parts", F.lit(1))).cast("int")
-    parts = F.when(F.coalesce("parts", F.lit(1)) == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    rows = rows.withColumn("own_part", F.when(F.col("home"), own_part)).withColumn("part", F.explode(parts))
+    n = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("own_part", F.when(F.col("home"), F.pmod(F.xxhash64("f"), n).cast("int"))).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf["f"].to_numpy().view(np.uint64)
-        own = (pdf["own_part"] == pdf["part"]).to_numpy()
-        a, b = forest(f[own], f[~own], reach)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        f = pdf["f"].to_numpy()
+        points = np.frombuffer(b"".join(pdf["w"]), np.uint64).reshape(len(f), -1)
+        a, b = forest(points, (pdf["own_part"] == pdf["part"]).to_numpy(), reach)
+        return pd.DataFrame({"a": f[a], "b": f[b]})
+
+    return rows.select("tree", "leaf", "part", "own_part", "f", "w").groupBy("tree", "leaf", "part").applyInPandas(meet, "a long, b long")
+
 
-    return rows.select("band", "leaf", "part", "own_part", "f").groupBy("band", "leaf", "part").applyInPandas(meet, "a long, b long")
+def _sample(found: DataFrame, n: int) -> np.ndarray:
+    """Words of about SAMPLE fingerprints, drawn by hash: the trees' shape hangs on them, the result doesn't."""
+    some = found.where(common.share_of(F.xxhash64("f"), n, SAMPLE))
+    rows = [bytes(r.w) for r in some.select("w").toLocalIterator()]
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint64)
+
+
+def links(found: DataFrame, reach: int = REACH, shard: int = SHARD) -> DataFrame:
+    """a, b: links among the distinct fingerprints ``found`` (f, w), enough to join all that are within ``reach`` bits through others."""
+    n = found.count()
+    bands = BANDS if n <= WIDE_FROM else 2
+    width, band_reach = BITS // bands, reach // bands
+    mask = np.uint64((1 << width) - 1)
+    values = lambda words, k: (words[:, 0] >> np.uint64(k * width)) & mask
+    points = _sample(found, n)
+    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k) for k in range(bands)], reach, band_reach)
 
 
 def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -191,7 +226,12 @@ def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
     Null ids count for nothing; a component of them alone has a null id.
     """
     kinds = common.staged(found.groupBy("f").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(links(kinds.select("f"), reach))
+    words = F.unhex(F.lpad(F.hex("f"), 16, "0"))  # big-endian, which is as good: bits are only compared
+    return _named(kinds, links(kinds.select("f", words.alias("w")), reach))
+
+
+def _named(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    roots = components(found)
     named = kinds.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     named = common.staged(named, "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -206,3 +246,68 @@ def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     rows = common.staged(fingerprints(docs), "rows")
     named = common.staged(classes(rows, reach), "classes")
     return rows.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def wide_fingerprint(text: str | None, size: int, words: int = WORDS) -> bytes:
+    """A SimHash of 64 * ``words`` bits over shingles of ``size`` words, each distinct shingle once."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    flat = b" ".join(w)
+    if len(w) <= size:
+        h = np.array([xxhash.xxh3_64_intdigest(flat)], np.uint64)
+    else:
+        lengths = np.fromiter(map(len, w), np.int64, len(w)) + 1
+        ends = np.cumsum(lengths) - 1
+        starts = ends - lengths + 1
+        h = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(flat[a:b]) for a, b in zip(starts[: len(w) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(w) - size + 1))
+    out = []
+    for k in range(words):
+        x = mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        total = np.zeros(BITS, np.int64)
+        for at in range(0, len(x), 8192):
+            total += np.unpackbits(x[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(np.packbits((total * 2 > len(h)).astype(np.uint8)).tobytes())
+    return b"".join(out)
+
+
+def similar_reach(similarity: float, bits: int) -> int:
+    """Differing bits expected of two shingle sets of equal size with this Jaccard similarity, and half a deviation more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(round(bits * p + 0.75 * (bits * p * (1 - p)) ** 0.5))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """``docs`` without near copies: of each group linked by similar word shingles, the row with the least doc_id stays.
+
+    Ties (repeated rows, null ids, which come last) go by text hash, and one of equal rows
+    stays. Texts without words are copies of each other. All columns stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("d"), F.xxhash64("text").alias("h"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("d"), b.column("h"), pa.array([wide_fingerprint(b.column("text")[i].as_py(), size) for i in range(len(b))], pa.binary())], ["n", "d", "h", "w"])
+
+    each = docs.select(key.alias("k"), "text").select("k.*", "text").mapInArrow(run, "n boolean, d long, h long, w binary")
+    each = common.staged(each.withColumn("f", F.xxhash64("w")), "wide")
+    kinds = common.staged(each.groupBy("f").agg(F.min(F.struct("n", "d", "h")).alias("least"), F.min("w").alias("w")), "kinds")
+    named = _named(kinds.select("f", "least"), _similar(kinds.select("f", "w"), similarity))
+    winners = named.select("component_id.*").distinct()
+    rows = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("k.*", "row")
+    won = rows.join(winners, ["n", "d", "h"], "left_semi").dropDuplicates(["n", "d", "h"])
+    return won.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _similar(found: DataFrame, similarity: float) -> DataFrame:
+    n = found.count()
+    points = _sample(found, n)
+    bits = 64 * WORDS
+    rng = np.random.default_rng(11)
+    picked = [np.sort(rng.choice(bits, TREE_BITS, replace=False)) for _ in range(TREES)]
+    powers = np.uint64(1) << np.arange(TREE_BITS, dtype=np.uint64)
+
+    def values(words: np.ndarray, k: int) -> np.ndarray:
+        at = picked[k].astype(np.uint64)
+        return (((words[:, (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) * powers).sum(1, dtype=np.uint64)
+
+    leaf = WIDE_SHARD * len(points) / max(1, n)
+    return _meet(found, values, [Tree(values(points, k), 0, leaf, k) for k in range(TREES)] if len(points) else [], similar_reach(similarity, bits), 0)

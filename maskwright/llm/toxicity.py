@@ -17,7 +17,7 @@ from . import common
 
 #: A score of at least this much predicts toxic.
 CUT = 0.5
-#: Bound of the fit: at most so many labelled documents of each class, drawn by hash.
+#: Bound of the fit: about so many labelled documents of each class, drawn by hash.
 PER_CLASS = 2000
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -86,7 +86,7 @@ def score_text(model: dict, text: str | None) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    """Fit on at most ``per_class`` labelled documents a class (never held-out ones)."""
+    """Fit on about ``per_class`` labelled documents a class (never held-out ones)."""
     picked = common.label_sample(labels.select("doc_id", "toxic"), "toxic", 5, 0, per_class)
     text = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
