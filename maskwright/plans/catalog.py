@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import detection, governance, lifecycle, measures
+
+_MODULES = (detection, lifecycle, governance, measures)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in _MODULES for name, run, _ in m.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, _, sql in m.QUERIES if sql}
