@@ -60,12 +60,12 @@ def queries() -> dict:
 
 OP9_SQL = """
 with v as (
-    select distinct vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as v
+    select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
     from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x::double))) = 0
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
 ), s as (
     select q.vec_id as query_id, c.vec_id as vec_id,
-        list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::bigint as score
+        list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
     from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
     where q.vec_id % 100 = 0
 ), r as (
