@@ -1 +1,222 @@
-QUERIES = []
+"""Queries on policy, history and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskwright.functions import codes
+from maskwright.operators import analytics, dictionary, policy
+from maskwright.session import table
+from maskwright.sources import journals, sse
+
+from .cards import CARDS, KEY, cards, code_sql
+
+
+def channel_policy(spark, sf):
+    """Decisions for four channels under two policies."""
+    c = cards(spark, sf)
+    channel = F.element_at(F.array(F.lit(" Web "), F.lit("telegram"), F.lit(""), F.lit("crm")), (F.col("id") % 4 + 1).cast("int"))
+    return c.select("id", policy.decide(channel, ["web"]).alias("listed"), policy.decide(channel, ["*"]).alias("any"), policy.decide(channel, ["*"], restore_unknown=True).alias("unknown"))
+
+
+CHANNEL_SQL = """
+select c_custkey as id, case c_custkey % 4 when 0 then 'detokenize' else 'keep' end as listed, case c_custkey % 4 when 0 then 'detokenize' when 3 then 'detokenize' else 'keep' end as "any",
+    case c_custkey % 4 when 1 then 'keep' else 'detokenize' end as unknown from customer
+"""
+
+
+def client_identity(spark, sf):
+    """Clients by header, key and user agent; a presented key that is not known ends the search."""
+    clients = spark.createDataFrame(
+        [(0, "cursor", "cursor-ide", None, ["*Cursor/*"]), (1, "cli", None, None, ["claude-cli/?.*", "*codex*"]), (2, "crm", None, "x", [])],
+        "ord int, channel string, header_value string, key_sha256 string, patterns array<string>",
+    ).withColumn("key_sha256", F.when(F.col("channel") == "crm", policy.fingerprint(F.lit("secret"))))
+    pick = lambda *v: F.element_at(F.array(*(F.lit(x) for x in v)), (F.col("id") % 6 + 1).cast("int"))
+    r = cards(spark, sf).select(F.col("id").alias("req_id"), pick("Cursor-IDE", "", "", "", "other", "").alias("header"), pick("", "secret", "wrong", "", "", "").alias("client_key"), pick("", "", "cursor/1", "app CURSOR/1.0", "", "curl").alias("user_agent"))
+    return policy.identify(r, clients).select("req_id", "channel", "source")
+
+
+IDENTITY_SQL = """
+select c_custkey as req_id, case c_custkey % 6 when 0 then 'cursor' when 1 then 'crm' when 3 then 'cursor' when 4 then 'other' end as channel,
+    case c_custkey % 6 when 0 then 'header' when 1 then 'key' when 3 then 'user_agent' when 4 then 'header' else 'none' end as source from customer
+"""
+
+
+def rarity_guard(spark, sf):
+    """Questions for totals about fewer than five persons."""
+    c = cards(spark, sf)
+    req = (F.col("id") % F.greatest(F.lit(40), F.floor(F.col("id") / 4))).alias("req_id")
+    found = c.select(req, F.lit("P").alias("cls"), F.concat("surname", "given").alias("token"))
+    texts = c.select(req, F.when(F.col("id") % 3 == 0, F.lit("Сколько клиентов?")).otherwise(F.lit("привет")).alias("text"))
+    return policy.rarity(found, texts)
+
+
+RARITY_SQL = f"""
+with c as (select id % greatest(40, floor(id / 4)::bigint) as req_id, * from ({CARDS}) x)
+select req_id, count(distinct surname || given) as persons, bool_or(id % 3 = 0) and count(distinct surname || given) between 1 and 4 as rare from c group by req_id
+"""
+
+
+def combination_guard(spark, sf):
+    """Neighbouring person codes whose combination no client has are refused; half the clients are known."""
+    c = cards(spark, sf)
+    parts = c.select(F.col("id").alias("doc_id"), F.posexplode(F.array("surname", "given")).alias("k", "part"))
+    found = parts.select("doc_id", (F.col("k") * 11).alias("start"), (F.col("k") * 11 + 10).alias("end"), F.lit("P").alias("cls"), F.concat(F.lit("z"), F.col("k").cast("string")).alias("token"), F.when(F.col("doc_id") % 5 == 4, F.lit(",")).otherwise(F.lit(" ")).alias("between"), "part")
+    known = dictionary.combos(c.where("surname < 'П'").select(F.array("surname", "given").alias("parts")), KEY)
+    return policy.refused(policy.name_runs(found), known, KEY)
+
+
+GUARD_SQL = f"select id as doc_id, unnest([0, 11]) as start from ({CARDS}) c where surname >= 'П' and id % 5 <> 4 and (surname, given) not in (select (surname, given) from ({CARDS}) d where surname < 'П')"
+
+
+def sse_frames(spark, sf):
+    """Frames of streamed answers put together from chunks of bytes, and their text."""
+    c = cards(spark, sf).select(F.col("id").alias("session_id"), "surname", "given")
+    chunks = sse.chunked(c, F.array("surname", F.lit(" "), "given"), 17)
+    return sse.texts(sse.frames(chunks)).select("session_id", "text", "frames")
+
+
+SSE_SQL = f"select id as session_id, surname || ' ' || given as text, 4 as frames from ({CARDS}) c"
+
+
+def sse_single_frame(spark, sf):
+    """Answers that were not streamed, sent as one frame."""
+    c = cards(spark, sf)
+    return c.select("id", sse.single_frame(F.col("email")).alias("frame"))
+
+
+SINGLE_SQL = f"""select id, 'data: {{"choices":[{{"index":0,"delta":{{"role":"assistant","content":"' || email || '"}}}}]}}' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) as frame from ({CARDS}) c"""
+
+
+def stream_restore(spark, sf):
+    """Answers in pieces cut through their codes, restored by a stateful stream; joined, they equal the whole restored at once."""
+    import tempfile
+
+    from maskwright.streaming.relay import relay
+
+    from .lifecycle import _ensure_checkpoints
+
+    _ensure_checkpoints(spark)
+    c = cards(spark, sf).where("id <= 40")
+    text = F.concat(F.lit("Клиент "), codes.code(F.lit("P"), F.lower("surname"), KEY), F.lit(" звонит, "), codes.code(F.lit("T"), F.col("phone"), KEY), F.lit("я."))
+    size = 1 + F.col("id") % 7
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / size) - 1), lambda i: F.substring("text", (i * size + 1).cast("int"), size.cast("int")))
+    pieces = c.withColumn("text", text).select(F.col("id").cast("string").alias("session_id"), F.posexplode(F.concat(cut, F.array(F.lit("")))).alias("seq", "delta"), (F.ceil(F.length("text") / size)).alias("n")).withColumn("done", F.col("seq") == F.col("n")).drop("n")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    folder = f"{base}/relay-{spark.sparkContext.applicationId}-{abs(hash((sf, id(pieces))))}"
+    pieces.repartition(1).write.mode("overwrite").parquet(f"{folder}/in")
+    forms = {r.t: [r.surname] for r in c.select(codes.code(F.lit("P"), F.lower("surname"), KEY).alias("t"), "surname").distinct().collect()}
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(pieces.schema).parquet(f"{folder}/in")
+        q = relay(stream, forms).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if old is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    out = spark.read.schema("session_id string, seq int, restored string, status string").parquet(f"{folder}/out")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "restored")))
+    return out.groupBy("session_id").agg(F.array_join(ordered["restored"], "").alias("text"), F.max("status").alias("status"))
+
+
+STREAM_SQL = f"select cast(id as varchar) as session_id, 'Клиент ' || surname || ' звонит, ' || {code_sql('T', 'phone')} || 'я.' as text, 'open' as status from ({CARDS}) c where id <= 40"
+
+
+def incident_rollup(spark, sf):
+    """Counts of events by type, by value's tens, and in all, in one pass."""
+    e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 3).alias("channel"), F.lit(1).alias("findings"))
+    return analytics.rollup(e, ["event_type", "channel"])
+
+
+ROLLUP_SQL = "select event_type, channel, count(*) as events, sum(findings)::bigint as findings from (select event_type, user_id % 3 as channel, 1 as findings from events) q group by grouping sets ((event_type), (channel), ())"
+
+
+def week_keys(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy(analytics.week_key(F.col("ts")).alias("week")).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("sessions"))
+
+
+WEEK_SQL = "select strftime(ts, '%G-%V') as week, count(*) as events, count(distinct user_id) as sessions from events group by 1"
+
+
+def sessions_between(spark, sf):
+    e = table(spark, sf, "events").select("ts", F.col("user_id").alias("session_id"))
+    lo, hi = F.to_timestamp(F.lit("2024-01-05")), F.to_timestamp(F.lit("2024-01-20"))
+    return analytics.sessions_between(e, lo, hi)
+
+
+def valid_events(spark, sf):
+    """Journal rows that keep to the closed fields; a value in a field keeps a row out."""
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("action"), F.when(F.col("event_id") % 5 == 0, F.lit("Иванов")).otherwise(F.lit("web")).alias("channel"), F.substring(F.lit("PTX-"), (F.col("event_id") % 4 + 1).cast("int"), F.lit(1)).alias("cls"))
+    return analytics.valid_events(e).select("event_id")
+
+
+def journal_weeks(spark, sf):
+    """Events written to a journal by ISO week and one week read back."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("action"))
+    path = journals.scratch(spark, "journal")
+    journals.append(e, path)
+    last = e.agg(F.max(analytics.week_key(F.col("ts")))).first()[0]
+    return journals.read_week(spark, path, e.schema, last).select("event_id", "action")
+
+
+JOURNAL_SQL = "select event_id, event_type as action from events where strftime(ts, '%G-%V') = (select max(strftime(ts, '%G-%V')) from events)"
+
+
+def top_sessions(spark, sf):
+    """The last five events of the users that were seen last."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("ts"), "event_id")
+    return analytics.top_sessions(e, 7, 5).select("session_id", "event_id")
+
+
+TOP_SQL = """
+with l as (select user_id, max((ts, event_id)) as last from events group by user_id order by last desc, user_id limit 7)
+select e.user_id as session_id, event_id from events e join l using (user_id) qualify row_number() over (partition by e.user_id order by ts desc, event_id desc) <= 5
+"""
+
+
+def trailing_window(spark, sf):
+    """Every second user turn with the window of four messages up to it."""
+    m = table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"])
+    return analytics.trailing(m.select("conv_id", "turn", "role"), 4, 2).select("conv_id", "turn", F.size("window").alias("messages"), F.get("window", F.lit(0))["turn"].alias("first"))
+
+
+TRAILING_SQL = """
+with m as (select distinct conv_id, turn, role from conversations),
+w as (select *, count(*) over (partition by conv_id order by turn rows between 3 preceding and current row) as messages, first_value(turn) over (partition by conv_id order by turn rows between 3 preceding and current row) as first,
+    sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as u from m)
+select conv_id, turn, messages::int as messages, first from w where role = 'user' and (u - 1) % 2 = 0
+"""
+
+
+def prefix_stability(spark, sf):
+    """Hash of each turn's coded history: equal prefixes have equal hashes, so caches of prefixes stay good."""
+    m = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("masked"))
+    return analytics.prefix_stability(m).select("conv_id", "turn", "history")
+
+
+PREFIX_SQL = """
+with m as (select conv_id, turn, min(text) as t from conversations group by 1, 2)
+select conv_id, turn, sha256(string_agg(sha256(coalesce(t, '')), '') over (partition by conv_id order by turn rows between unbounded preceding and current row)) as history from m
+"""
+
+QUERIES = [
+    ("channel_policy", channel_policy, CHANNEL_SQL),
+    ("client_identity", client_identity, IDENTITY_SQL),
+    ("rarity_guard", rarity_guard, RARITY_SQL),
+    ("combination_guard", combination_guard, GUARD_SQL),
+    ("sse_frames", sse_frames, SSE_SQL),
+    ("sse_single_frame", sse_single_frame, SINGLE_SQL),
+    ("stream_restore", stream_restore, STREAM_SQL),
+    ("incident_rollup", incident_rollup, ROLLUP_SQL),
+    ("week_keys", week_keys, WEEK_SQL),
+    ("sessions_between", sessions_between, "select count(distinct user_id) as sessions from events where ts >= '2024-01-05' and ts < '2024-01-20'"),
+    ("valid_events", valid_events, "select event_id from events where event_id % 5 <> 0 and event_id % 4 <> 2"),
+    ("journal_weeks", journal_weeks, JOURNAL_SQL),
+    ("top_sessions", top_sessions, TOP_SQL),
+    ("trailing_window", trailing_window, TRAILING_SQL),
+    ("prefix_stability", prefix_stability, PREFIX_SQL),
+]

@@ -1 +1,189 @@
-QUERIES = []
+"""Queries on what can be read back, and on the engine's quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskwright.functions import codes
+from maskwright.functions import spans as S
+from maskwright.operators import analytics, tokenise
+from maskwright.session import table
+
+from .cards import CARD_TEXT, CARDS, KEY, PHONE_FORM, cards
+
+
+def _coded(spark, sf, extra: str = ""):
+    return tokenise.tokenise(cards(spark, sf, f"*, {PHONE_FORM} as pf, {CARD_TEXT}{extra} as text"), KEY)
+
+
+def k_anonymity(spark, sf):
+    records = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return analytics.k_anonymity(records, ["c_mktsegment", "c_nationkey", "o_orderpriority"])
+
+
+K_SQL = """
+select count(*) as groups, count(*) filter (n < 5) as below_k, count(*) filter (n = 1) as singled_out, count(*) filter (n < 5) / count(*) as k_share
+from (select count(*) as n from orders join customer on o_custkey = c_custkey group by c_mktsegment, c_nationkey, o_orderpriority) q
+"""
+
+
+def direct_lookup(spark, sf):
+    """Attempts to find each client's own values in its coded card; every tenth card leaks its e-mail."""
+    t = _coded(spark, sf).withColumn("outgoing", F.when(F.col("id") % 10 == 0, F.concat("masked", F.lit(" "), "email")).otherwise(F.col("masked")))
+    return analytics.direct_lookup(t, {"phone": "T", "email": "E", "pf": "T"})
+
+
+DIRECT_SQL = f"""
+select f as field, count(*) as attempts, count(*) filter (f = 'email' and id % 10 = 0) as successes from ({CARDS}) c, (select unnest(['phone', 'email', 'pf']) as f) x group by f
+"""
+
+
+def dictionary_linkage(spark, sf):
+    """Values found in a dictionary as they stand or by plain hash: keyed digests give none away."""
+    c = cards(spark, sf)
+    keyed = c.select(codes.value_digest(F.lit("E"), F.col("email"), KEY).alias("entry"))
+    careless = c.where("id % 9 = 0").select(F.sha2("email", 256).alias("entry")).unionByName(c.where("id % 11 = 0").select(F.col("email").alias("entry")))
+    return analytics.linkage(c.select(F.col("email").alias("value")), keyed.unionByName(careless))
+
+
+LINKAGE_SQL = f"select count(*) as attempts, count(*) filter (id % 9 = 0 or id % 11 = 0) as successes from ({CARDS}) c"
+
+
+def recall(spark, sf):
+    """Share of telephones and e-mails that can't be read in the coded cards."""
+    t = _coded(spark, sf)
+    sample = t.select(F.explode(F.array("pf", "email")).alias("value"), F.col("masked").alias("outgoing"))
+    return analytics.recall(sample)
+
+
+def rep_rate(spark, sf):
+    """Share of declined spellings of surnames that the second pass replaces."""
+    c = cards(spark, sf)
+    raw = F.col("surname")
+    spans = F.array(S.span(F.lit(0), F.length(raw), F.lit("P"), raw, F.lower(raw), 0, F.lit(0)))
+    text = F.concat(F.upper(raw), F.lit(", "), raw, F.lit("а."))
+    done = c.select("id", raw.alias("base"), F.concat(raw, F.lit("а")).alias("declined"), tokenise.second_pass(text, spans, lambda s: tokenise.code_of(s, KEY)).alias("outgoing"))
+    each = done.select(F.explode(F.array(F.upper("base"), F.col("declined"))).alias("value"), "outgoing")
+    return analytics.recall(each)
+
+
+def ph_consistency(spark, sf):
+    """Share of telephones with one code however they are spelled."""
+    c = cards(spark, sf)
+    t = c.select("phone", F.explode(F.array(F.concat(F.lit("тел "), "phone_a"), F.concat(F.lit("тел "), "phone_b"))).alias("text"))
+    coded = tokenise.tokenise(t, KEY)
+    return analytics.consistency(coded.select(F.col("phone").alias("value"), F.regexp_extract("masked", "zT[A-Z2-7]{8}", 0).alias("code")))
+
+
+def false_activity(spark, sf):
+    """Texts of the benchmark, which hold no personal data: none is changed."""
+    t = tokenise.tokenise(table(spark, sf, "benchmark").select("item_id", "text"), KEY)
+    return t.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("masked") != F.col("text")).alias("changed"))
+
+
+def metric_verdicts(spark, sf):
+    """Metrics against their bars."""
+    m = table(spark, sf, "region").select(F.concat(F.lit("m"), F.col("r_regionkey").cast("string")).alias("name"), (F.col("r_regionkey") / 4.0).alias("value"), F.when(F.col("r_regionkey") % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5)).alias("bar"))
+    return analytics.verdicts(m).select("name", "passed")
+
+
+VERDICTS_SQL = "select 'm' || cast(r_regionkey as varchar) as name, case when r_regionkey % 2 = 0 then r_regionkey <= 0 else r_regionkey / 4.0 >= 0.5 end as passed from region"
+
+
+def sufficiency(spark, sf):
+    """Collision odds of codes for as many values as each nation has customers, times a thousand."""
+    n = table(spark, sf, "customer").groupBy("c_nationkey").agg((F.count(F.lit(1)) * 1000.0).alias("n"))
+    s = analytics.sufficiency(F.col("n"), 8)
+    return n.select("c_nationkey", F.round(s["collision"] * 1e9, 3).alias("collision_e9"), F.round(s["accidental"] * 1e12, 3).alias("accidental_e12"), s["capacity"].cast("long").alias("capacity"))
+
+
+SUFFICIENCY_SQL = """
+select c_nationkey, round((1 - exp(-n * n / (2 * power(32.0, 8)))) * 1e9, 3) as collision_e9, round(n / power(32.0, 8) * 1e12, 3) as accidental_e12, floor(sqrt(-2 * power(32.0, 8) * ln(0.999)))::bigint as capacity
+from (select c_nationkey, count(*) * 1000.0::double as n from customer group by 1) q
+"""
+
+
+def code_price(spark, sf):
+    """Characters that each surface of a code costs against the raw value."""
+    c = cards(spark, sf)
+    forms = F.array(F.struct(F.lit("raw").alias("format"), F.length("email").alias("cost")), F.struct(F.lit("compact").alias("format"), F.length(codes.code(F.lit("E"), F.col("email"), KEY)).alias("cost")), F.struct(F.lit("framed").alias("format"), F.lit(18).alias("cost")))
+    each = c.select(F.explode(forms).alias("f")).groupBy("f.format").agg(F.sum("f.cost").alias("cost"))
+    raw = c.agg(F.sum(F.length("email")).alias("raw"))
+    return each.crossJoin(F.broadcast(raw)).select("format", "cost", F.round(F.col("cost") / F.col("raw"), 6).alias("ratio"))
+
+
+PRICE_SQL = f"""
+with c as (select length(email) as l from ({CARDS}) x), s as (select 'raw' as format, sum(l)::bigint as cost from c union all select 'compact', count(*) * 10 from c union all select 'framed', count(*) * 18 from c)
+select format, cost, round(cost / (select sum(l) from c), 6) as ratio from s
+"""
+
+
+def cache_rate(spark, sf):
+    e = table(spark, sf, "events")
+    return analytics.cache_rate(e.select(F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("hit"), F.when(F.col("event_id") % 3 == 1, F.col("user_id")).alias("miss")))
+
+
+CACHE_SQL = "select sum(user_id) filter (event_id % 3 = 0)::bigint as hits, sum(user_id) filter (event_id % 3 = 1)::bigint as misses, sum(user_id) filter (event_id % 3 = 0) / sum(user_id) filter (event_id % 3 in (0, 1)) as rate from events"
+
+
+def pii_share(spark, sf):
+    """Clean and dirty documents, their volume, and sources that have both."""
+    docs = tokenise.with_spans(table(spark, sf, "documents").select("source", "text"), detector=_emails)
+    return analytics.pii_share(docs.select(F.col("source").alias("session_id"), F.length("text").cast("long").alias("volume"), F.size("spans").alias("findings")))
+
+
+def _emails(text):
+    from maskwright.operators import detect
+
+    return detect.emails(text)
+
+
+_HAS = r"regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')"
+SHARE_SQL = f"""
+with s as (select source, count(*) as n, count(*) filter ({_HAS}) as d, sum(length(text)) as v, coalesce(sum(length(text)) filter ({_HAS}), 0) as dv from documents group by source)
+select sum(n)::bigint as requests, sum(d)::bigint as dirty, sum(v)::bigint as volume, sum(dv)::bigint as dirty_volume, count(*) filter (d > 0 and d < n) as mixed_sessions from s
+"""
+
+
+def merged_pieces(spark, sf):
+    """Pieces of words that touch become one; made from line numbers."""
+    p = table(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    return analytics.merged_pieces(p.where("l_linenumber != 3").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.col("l_linenumber").cast("string").alias("label")))
+
+
+PIECES_SQL = """
+with p as (select distinct l_orderkey as doc_id, l_linenumber as s from lineitem where l_linenumber <> 3), g as (select *, s - row_number() over (partition by doc_id order by s) as k from p)
+select doc_id, min(s) as start, max(s) + 1 as "end", cast(min(s) as varchar) as label from g group by doc_id, k
+"""
+
+
+def health(spark, sf):
+    """One row of what the engine holds: registry rows by class, and documents."""
+    c = cards(spark, sf)
+    reg = c.select(F.lit("T").alias("cls")).unionByName(c.where("id % 2 = 0").select(F.lit("E").alias("cls")))
+    by = reg.groupBy().pivot("cls", ["T", "E", "P"]).agg(F.count(F.lit(1)))
+    return by.select(F.coalesce("T", F.lit(0)).alias("telephones"), F.coalesce("E", F.lit(0)).alias("emails"), F.coalesce("P", F.lit(0)).alias("persons"))
+
+
+def ground_truth(spark, sf):
+    """Clients per manager, by full name."""
+    return cards(spark, sf).groupBy(F.concat_ws(" ", "given", "surname").alias("manager")).agg(F.count(F.lit(1)).alias("clients"))
+
+
+QUERIES = [
+    ("k_anonymity", k_anonymity, K_SQL),
+    ("direct_lookup", direct_lookup, DIRECT_SQL),
+    ("dictionary_linkage", dictionary_linkage, LINKAGE_SQL),
+    ("recall", recall, f"select count(*) * 2 as \"values\", 1.0 as recall from ({CARDS}) c"),
+    ("rep_rate", rep_rate, f"select count(*) * 2 as \"values\", 0.5 as recall from ({CARDS}) c"),
+    ("ph_consistency", ph_consistency, f"select count(*) as \"values\", 1.0 as ph_consistency from ({CARDS}) c"),
+    ("false_activity", false_activity, "select count(*) as texts, 0 as changed from benchmark"),
+    ("metric_verdicts", metric_verdicts, VERDICTS_SQL),
+    ("sufficiency", sufficiency, SUFFICIENCY_SQL),
+    ("code_price", code_price, PRICE_SQL),
+    ("cache_rate", cache_rate, CACHE_SQL),
+    ("pii_share", pii_share, SHARE_SQL),
+    ("merged_pieces", merged_pieces, PIECES_SQL),
+    ("health", health, f"select count(*) as telephones, count(*) filter (id % 2 = 0) as emails, 0 as persons from ({CARDS}) c"),
+    ("ground_truth", ground_truth, f"select given || ' ' || surname as manager, count(*) as clients from ({CARDS}) c group by 1"),
+]
