@@ -52,8 +52,8 @@ def _remove_staged() -> None:
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
-    """crc32 of the id as text, modulo ``mod``, equals ``rest``; a null id counts as empty text."""
-    return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod) == rest
+    """crc32 of the id as text, modulo ``mod``, equals ``rest``; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
 def share_of(h: Column, rows: int, most: int) -> Column:

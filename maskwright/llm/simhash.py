@@ -38,7 +38,7 @@ SHARD, SAMPLE = 600, 100_000
 #: Leaves up to which the table of large shards is surely small enough to be sent out.
 LEAVES_SENT = 200_000
 #: Wide fingerprints for similarities: their words, the trees and the bits of each, and the fingerprints of a shard.
-WORDS, TREES, TREE_BITS, WIDE_SHARD = 4, 40, 16, 300
+WORDS, TREES, TREE_BITS, WIDE_SHARD = 8, 40, 16, 300
 #: A shard found to hold more than so many is dealt to several tasks, each with a part of it.
 PART = 20_000
 
@@ -270,9 +270,9 @@ def wide_fingerprint(text: str | None, size: int, words: int = WORDS) -> bytes:
 
 
 def similar_reach(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets of equal size with this Jaccard similarity, and half a deviation more."""
+    """Differing bits expected of two shingle sets of equal size with this Jaccard similarity, and a deviation and a quarter more."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(round(bits * p + 0.75 * (bits * p * (1 - p)) ** 0.5))
+    return int(round(bits * p + 1.25 * (bits * p * (1 - p)) ** 0.5))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:

@@ -44,6 +44,7 @@ class Block:
         q = np.array([r[2] for r in rows], np.float64).reshape(len(rows), -1)
         self.order = np.argsort(-(q**2).sum(0), kind="stable")
         self.q = q[:, self.order]
+        self.whole = [r[2] for r in rows]
         self.cuts = [*range(0, q.shape[1], STEP), q.shape[1]] if q.shape[1] else [0, 0]
         self.rest = np.stack([np.sqrt((self.q[:, c:] ** 2).sum(1)) for c in self.cuts[1:]]) if len(rows) else np.zeros((0, 0))
         self.most = float(np.abs(q).max(initial=0))
@@ -75,15 +76,15 @@ class Block:
 
     def _feed_plain(self, ids: np.ndarray, v: np.ndarray, k: int) -> None:
         """Components too large for exact doubles: whole numbers of any size, held to the range of a long."""
-        w = v[:, self.order].astype(object)
+        w = v.astype(object)
         for i in range(len(self.number)):
-            s = w @ np.array([int(x) for x in self.q[i]], object) if w.shape[1] else np.zeros(len(ids), object)
+            s = w @ np.array(self.whole[i], object) if w.shape[1] else np.zeros(len(ids), object)
             self._take(i, ids, np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in s], np.int64), k)
 
     def _take(self, i: int, ids: np.ndarray, score: np.ndarray, k: int) -> None:
         other = ids != self.vec_id[i]
         score, ids = np.concatenate([self.best[i][0], score[other]]), np.concatenate([self.best[i][1], ids[other]])
-        at = np.lexsort((ids, -score))[:k]
+        at = np.lexsort((ids, ~score))[:k]  # ~ reverses the order of all longs, the least too
         self.best[i] = score[at], ids[at]
 
 
