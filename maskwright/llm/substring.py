@@ -122,6 +122,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     first = runs.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min("m").alias("m"))
     first = common.staged(first, "firsts")
     mixed = first.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m", F.lit(True).alias("mixed"))
+    mixed = common.staged(mixed, "mixed")  # so that a skewed minimizer's stretches are split when they meet it
     first = common.staged(first.join(mixed, "m", "left").select("f1", "f2", "first", "mixed"), "marked")
     met = runs.select("doc_id", "h", "s", "e", "f1", "f2").join(first, ["f1", "f2"])
     met = common.staged(met.where("doc_id > first or mixed").select("doc_id", "h", "s", "e", (F.col("doc_id") > F.col("first")).alias("gone")), "met")
