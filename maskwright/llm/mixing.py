@@ -30,17 +30,41 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
-    """Shares of all words by weight, none above ``most`` times its source, the excess reshared by weight."""
-    total, capped = float(sum(sizes)), set()
-    while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        left = total - sum(most * sizes[i] for i in sorted(capped))
-        mass = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / mass > most * sizes[i]]
-        if not over:
-            return [float(most * sizes[i]) if i in capped else left * weights[i] / mass for i in range(len(sizes))]
-        capped.update(over)
+def numbered(sums: DataFrame) -> DataFrame:
+    """``sums`` with source_no, the place of each source in code-point order from 0, null last.
+
+    Sorted by ranges, so no task sees them all; only a row count of each range reaches the driver.
+    """
+    rows = common.staged(sums.orderBy(F.asc_nulls_last("source")).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = {r.part: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+    ranges, before = [], 0
+    for k in sorted(sizes):
+        ranges.append((k, before))
+        before += sizes[k]
+    offsets = rows.sparkSession.createDataFrame(ranges or [(0, 0)], "part long, before long")
+    return rows.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("source_no", F.col("before") + place).drop("at", "part", "before")
+
+
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """``sources`` (source_size, source_no) with target: shares of all words by weight, none above
+    ``most`` times its source, the excess reshared by weight until none is above.
+
+    All sources below the cap take the same level of words a weight. The level only rises as
+    sources reach their caps, so it is found by sums over the sources until it stays.
+    """
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod("source_no", F.lit(len(weights))) + 1).cast("int"))
+    rows = sources.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    left, mass = rows.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    total = left
+    while mass:
+        over = F.lit(left) * F.col("weight") / F.lit(mass) > F.col("cap")
+        capped, free = rows.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        if (total - capped, free) == (left, mass) or not free:
+            break
+        left, mass = total - capped, free
+    share = F.lit(left or 0.0) * F.col("weight") / F.lit(mass or 1.0)
+    return rows.withColumn("target", F.least(share, F.col("cap"))).drop("weight", "cap")
 
 
 def multipliers(state: DataFrame, most: float = MOST, steps: int = NEWTON) -> DataFrame:
@@ -94,14 +118,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, group: int = 10
 
 def _mix(rows: DataFrame, keep: list[str], weights: tuple[float, ...], group: int) -> DataFrame:
     """rows: doc_id, source, size, h and the columns in ``keep``."""
-    spark = rows.sparkSession
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    known = sorted(((r.source, r.source_size, r.docs) for r in sums.collect()), key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
-    w = [weights[i % len(weights)] for i in range(len(known))]
-    goal = targets([r[1] for r in known], w) if known else []
-    state = spark.createDataFrame([(*r, t, i) for i, (r, t) in enumerate(zip(known, goal, strict=True))], "source string, source_size long, docs long, target double, source_no int")
-    state = multipliers(state).withColumnRenamed("source", "s_source")
-    state = F.broadcast(state) if len(known) <= SENT else state
+    state = common.staged(multipliers(targets(numbered(sums), weights)).withColumnRenamed("source", "s_source"), "state")
+    state = F.broadcast(state) if state.count() <= SENT else state
     joined = rows.join(state, F.col("source").eqNullSafe(F.col("s_source")))
     groups = joined.withColumn("g", F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("docs") / group))).cast("int")).withColumn("rate", F.coalesce(F.least(F.exp("lambda"), F.lit(float(MOST))), F.lit(0.0)))
     cols = ["doc_id", "size", "source_size", "target", *keep]

@@ -382,11 +382,25 @@ def test_top_k(spark):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
-    t = mixing.targets([1000, 1, 10], [1, 2, 3])
-    assert t[1:] == [3.0, 30.0] and math.isclose(sum(t), 1011)
-    assert mixing.targets([0, 0], [1, 2]) == [0.0, 0.0]
+def brute_targets(sizes, weights=(1, 2, 3), most=3):
+    w, capped = [weights[i % len(weights)] for i in range(len(sizes))], set()
+    while True:
+        left, mass = sum(sizes) - sum(most * sizes[i] for i in capped), sum(w[i] for i in range(len(sizes)) if i not in capped)
+        over = {i for i in range(len(sizes)) if i not in capped and left * w[i] / mass > most * sizes[i]}
+        if not over:
+            return [float(most * sizes[i]) if i in capped else left * w[i] / mass for i in range(len(sizes))]
+        capped |= over
+
+
+def test_targets(spark):
+    r = random.Random(12)
+    for n in (1, 2, 3, 7, 40):
+        sizes = [int(r.lognormvariate(5, 2)) * (r.random() > 0.1) for _ in range(n)]
+        names = [*(f"s{i:03d}" for i in range(n - 1)), None]
+        sums = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long")
+        got = mixing.targets(mixing.numbered(sums.repartition(5))).orderBy("source_no").collect()
+        assert [x.source for x in got] == names and [x.source_no for x in got] == list(range(n))
+        assert np.allclose([x.target for x in got], brute_targets(sizes), rtol=1e-12, atol=0)
 
 
 @settings(max_examples=150, deadline=None)
