@@ -35,10 +35,10 @@ def registry_collision_walk(spark, sf):
 
 
 def collision_first_round(spark, sf):
-    """Who keeps the first-choice code of two letters: the first seen of all that want it."""
+    """Who keeps the first-choice code of three letters: the first seen of all that want it."""
     _ensure_checkpoints(spark)
     values = cards(spark, sf).select(F.lit("T").alias("cls"), F.col("phone").alias("identity"), F.col("id").alias("first_seen"))
-    return registry.assign(values, KEY, length=2, salts=640).where("salt = 0").select("identity", "token")
+    return registry.assign(values, KEY, length=3).where("salt = 0").select("identity", "token")
 
 
 def _rows(spark, sf, where: str, value: str, days: int):
@@ -372,7 +372,7 @@ def evidence(spark, sf):
 QUERIES = [
     ("registry_assign", registry_assign, f"select email as identity, {code_sql('E', 'email')} as token, 0 as salt from ({CARDS}) c"),
     ("registry_collision_walk", registry_collision_walk, None),
-    ("collision_first_round", collision_first_round, f"select phone as identity, {code_sql('T', 'phone', length=2)} as token from ({CARDS}) c qualify row_number() over (partition by {code_sql('T', 'phone', length=2)} order by id) = 1"),
+    ("collision_first_round", collision_first_round, f"select phone as identity, {code_sql('T', 'phone', length=3)} as token from ({CARDS}) c qualify row_number() over (partition by {code_sql('T', 'phone', length=3)} order by id) = 1"),
     ("registry_upsert", registry_upsert, UPSERT_SQL),
     ("registry_purge", registry_purge, "select o_custkey from orders group by 1 having max(o_orderdate) >= (select max(o_orderdate) from orders) - interval 90 day"),
     ("registry_touch_and_mark", registry_touch_and_mark, TOUCH_SQL),
