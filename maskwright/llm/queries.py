@@ -75,5 +75,26 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """
 
 
+OP7_SQL = r"""
+with d as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+    select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50) q
+), f as (
+    select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as least from s) q where least < doc_id
+), g as (
+    select distinct doc_id, unnest(range(i, i + 50)) as p from f
+), n as (
+    select doc_id, count(*) as n_removed from g group by doc_id
+), x as (
+    select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d
+), t as (
+    select doc_id, string_agg(x, ' ' order by p) as kept from x anti join g using (doc_id, p) group by doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join n using (doc_id) left join t using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk_branch_and_bound": OP9_SQL}
+    return {"op7_substring_count_min": OP7_SQL, "op9_topk_branch_and_bound": OP9_SQL}

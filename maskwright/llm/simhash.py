@@ -34,7 +34,7 @@ REACH = 4
 #: Bands for up to WIDE_FROM distinct fingerprints; two of 32 bits beyond, whose space is not soon exhausted.
 BANDS, WIDE_FROM = 4, 20_000_000
 #: Fingerprints that a shard should hold, and those from which the trees are built, about.
-SHARD, SAMPLE = 600, 100_000
+SHARD, SAMPLE = 128, 100_000
 #: Leaves up to which the table of large shards is surely small enough to be sent out.
 LEAVES_SENT = 200_000
 #: Wide fingerprints for similarities: their words, the trees and the bits of each, and the fingerprints of a shard.
@@ -159,16 +159,21 @@ def forest(points: np.ndarray, own: np.ndarray, reach: int, cells: int = 4_000_0
 
 
 def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: int) -> DataFrame:
-    """a, b: links found by dealing ``found`` (f, w: its words as bytes) to the leaves of ``trees``.
+    """a, b: links found by dealing ``found`` to the leaves of ``trees``.
 
-    ``values(words, k)`` gives the band values of tree k.
+    ``values(words, k)`` gives the band values of tree k. A fingerprint is f itself, or where
+    there is a column w, that holds its words as bytes and f is its number.
     """
     sent = found.sparkSession.sparkContext.broadcast(trees)
+    wide = ["w"] if "w" in found.columns else []
+
+    def words_of(f, raw) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), np.uint64).reshape(len(f), -1) if wide else np.ascontiguousarray(f).view(np.uint64).reshape(-1, 1)
 
     def dealt(batches):
         for b in batches:
-            f, raw = b.column("f"), b.column("w")
-            words = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(f), -1)
+            f = b.column("f")
+            words = words_of(f.to_numpy(zero_copy_only=False), b.column("w").to_pylist() if wide else ())
             for k, tree in enumerate(sent.value):
                 v = values(words, k)
                 home_i, home = tree.visit(v, 0)
@@ -176,17 +181,17 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
                 own[home_i] = home
                 i, leaf = tree.visit(v, band_reach) if band_reach else (home_i, home)
                 at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(leaf), pa.array(own[i] == leaf), f.take(at), raw.take(at)], ["tree", "leaf", "home", "f", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(leaf), pa.array(own[i] == leaf), f.take(at), *(b.column(c).take(at) for c in wide)], ["tree", "leaf", "home", "f", *wide])
 
-    rows = found.select("f", "w").mapInArrow(dealt, "tree int, leaf int, home boolean, f long, w binary")
+    rows = found.select("f", *wide).mapInArrow(dealt, "tree int, leaf int, home boolean, f long" + ", w binary" * len(wide))
     home = lambda batches: (
         pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n)], ["tree", "leaf", "n"])
         for b in batches
-        for words in [np.frombuffer(b"".join(b.column("w").to_pylist()), np.uint64).reshape(len(b), -1)]
+        for words in [words_of(b.column("f").to_numpy(zero_copy_only=False), b.column("w").to_pylist() if wide else ())]
         for k, tree in enumerate(sent.value)
         for at, n in [np.unique(tree.visit(values(words, k), 0)[1], return_counts=True)]
     )
-    large = found.select("w").mapInArrow(home, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > PART)
+    large = found.select("f", *wide).mapInArrow(home, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > PART)
     large = large.select("tree", "leaf", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = rows.join(F.broadcast(large) if sum(t.leaves for t in trees) < LEAVES_SENT else large, ["tree", "leaf"], "left")
     # a large shard's own fingerprints are split into parts, and each part meets all that ask
@@ -195,22 +200,24 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf["f"].to_numpy()
-        points = np.frombuffer(b"".join(pdf["w"]), np.uint64).reshape(len(f), -1)
+        points = words_of(f, pdf["w"] if wide else ())
         a, b = forest(points, (pdf["own_part"] == pdf["part"]).to_numpy(), reach)
         return pd.DataFrame({"a": f[a], "b": f[b]})
 
-    return rows.select("tree", "leaf", "part", "own_part", "f", "w").groupBy("tree", "leaf", "part").applyInPandas(meet, "a long, b long")
+    return rows.select("tree", "leaf", "part", "own_part", "f", *wide).groupBy("tree", "leaf", "part").applyInPandas(meet, "a long, b long")
 
 
 def _sample(found: DataFrame, n: int) -> np.ndarray:
     """Words of about SAMPLE fingerprints, drawn by hash: the trees' shape hangs on them, the result doesn't."""
-    some = found.where(common.share_of(F.xxhash64("f"), n, SAMPLE))
-    rows = [bytes(r.w) for r in some.select("w").toLocalIterator()]
+    some = found.where(common.share_of(F.xxhash64("f"), n, SAMPLE)).orderBy("f")
+    if "w" not in found.columns:
+        return np.array([r.f for r in some.toLocalIterator()], np.int64).view(np.uint64).reshape(-1, 1)
+    rows = [bytes(r.w) for r in some.toLocalIterator()]
     return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.uint64)
 
 
 def links(found: DataFrame, reach: int = REACH, shard: int = SHARD) -> DataFrame:
-    """a, b: links among the distinct fingerprints ``found`` (f, w), enough to join all that are within ``reach`` bits through others."""
+    """a, b: links among the distinct fingerprints ``found`` (f), enough to join all that are within ``reach`` bits through others."""
     n = found.count()
     bands = BANDS if n <= WIDE_FROM else 2
     width, band_reach = BITS // bands, reach // bands
@@ -226,8 +233,7 @@ def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
     Null ids count for nothing; a component of them alone has a null id.
     """
     kinds = common.staged(found.groupBy("f").agg(F.min("doc_id").alias("least")), "fingerprints")
-    words = F.unhex(F.lpad(F.hex("f"), 16, "0"))  # big-endian, which is as good: bits are only compared
-    return _named(kinds, links(kinds.select("f", words.alias("w")), reach))
+    return _named(kinds, links(kinds.select("f"), reach))
 
 
 def _named(kinds: DataFrame, found: DataFrame) -> DataFrame:
