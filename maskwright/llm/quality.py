@@ -22,6 +22,8 @@ from . import common
 CUT = 0.7
 #: Bound of the fit: about so many labelled documents of each class, drawn by hash.
 PER_CLASS = 3000
+#: Losing a good document counts as much as keeping so many bad ones, in choosing the quantile.
+SPARE = 3
 #: Each document of the fit meets so many of the other class.
 PARTNERS = 24
 
@@ -65,7 +67,7 @@ def features(text: str | None) -> list[float]:
         float(np.sqrt(seen[44] / solid)),
         float(np.sqrt(adjacent / n)),
         max(counts.values()) / (n + 20),
-        len(counts) / (n + 20) ** 0.8,
+        10 * float(np.log(len(counts) + 10) / np.log(n + 10)),  # stays level over lengths by Heaps' law
         (len(lines) - len(set(lines))) / (len(lines) + 5),
         (max(0, n - 2) - len(grams)) / (n + 20),
         sum(c for w, c in counts.items() if len(w) > 24) / n,
@@ -99,7 +101,7 @@ def fit(x: np.ndarray, label: np.ndarray, ridge: float = 2.0, steps: int = 30) -
     s = z @ w
     low, high = np.sort(s[bad]), np.sort(s[good])
     ranked = np.quantile(s, q := np.linspace(0, 1, 201))
-    errors = np.array([(high < t).mean() + (low >= t).mean() for t in ranked])
+    errors = np.array([SPARE * (high < t).mean() + (low >= t).mean() for t in ranked])
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     k = best[len(best) // 2]
     width = max(1e-6, float(np.std(s)) / 4)
