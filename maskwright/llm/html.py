@@ -30,7 +30,7 @@ _HINTS = frozenset("""ad ads advert adverts advertisement advertising sponsor sp
 _KEEP = frozenset("article main articlebody".split())
 _CONTAINERS = frozenset("article body div html main section td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _CLOSES_P = _BLOCKS - {"body", "html", "title", "option"}
 
@@ -40,6 +40,8 @@ REACH, GAP = 1, 3
 SHARE, LEAST = 0.35, 120
 #: A line with more than this share of its characters in links weighs nothing.
 LINKED = 0.5
+#: Elements nested deeper count as their ancestor of this depth, so that any page costs linear time.
+DEPTH = 1000
 #: A hint that would leave out more than this share of the page's text is taken as a mistake.
 TOO_MUCH = 0.6
 
@@ -85,7 +87,7 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int, int, int]] = []  # name, number of the element left out or -1, number of the article or 0, number of the container or 0
     text: list[str] = []
-    linked = articles = containers = 0
+    linked = links = articles = containers = 0
 
     def end_line() -> None:
         nonlocal linked
@@ -99,14 +101,20 @@ def parse(source: str) -> Page:
         text.clear()
         linked = 0
 
-    at = 0
+    def close(i: int) -> None:
+        """End the elements from the i-th open one on."""
+        nonlocal links
+        links -= sum(x[0] == "a" for x in stack[i:])
+        del stack[i:]
+
+    at, final = 0, source.rfind(">")  # no tag starts after the last >
     while at < len(source):
         lt = source.find("<", at)
         if lt < 0:
             lt = len(source)
         if lt > at:
             text.append(source[at:lt])
-            if any(x[0] == "a" for x in stack):
+            if links:
                 linked += len(" ".join(_html.unescape(source[at:lt]).split()))
         if lt == len(source):
             break
@@ -114,7 +122,7 @@ def parse(source: str) -> Page:
             end = source.find("-->", lt + 4)
             at = len(source) if end < 0 else end + 3
             continue
-        m = _TAG.match(source, lt)
+        m = _TAG.match(source, lt) if lt < final else None
         if not m:
             if source[lt + 1 : lt + 2] in ("!", "?", "/"):
                 end = source.find(">", lt)
@@ -124,16 +132,16 @@ def parse(source: str) -> Page:
                 at = lt + 1
             continue
         at = m.end()
-        close, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        ends, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         name = name.lower()
         if name == "br" or name in ("td", "th"):
             text.append(" ")
-        if close:
+        if ends:
             if name in _BLOCKS:
                 end_line()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if name in _RAW:
@@ -148,13 +156,13 @@ def parse(source: str) -> Page:
         if name in _CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in _BLOCKS:
                     break
         if name in ("li", "option") and stack and stack[-1][0] == name:
-            stack.pop()
-        if name in _VOID or raw.endswith("/") and name not in _BLOCKS:
+            close(len(stack) - 1)
+        if name in _VOID or raw.endswith("/") and name not in _BLOCKS or len(stack) >= DEPTH:
             continue
         words, hidden = _attributes(raw) if raw.strip() else (set(), False)
         number, article = -1, 0
@@ -171,6 +179,7 @@ def parse(source: str) -> Page:
             page.holds.append(False)
             page.titles.append(name == "header" and any(x[2] for x in stack))
         containers += name in _CONTAINERS
+        links += name == "a"
         stack.append((name, number, article, containers if name in _CONTAINERS else 0))
     end_line()
     return page

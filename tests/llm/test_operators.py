@@ -119,7 +119,7 @@ def test_baum_welch_never_falls():
         into = hmm.empty_counts(3)
         for x, n, _ in hmm.by_length(seqs):
             hmm.expected(m, x, n, into)
-        assert math.isclose(into["e"].sum(), mass.sum(), rel_tol=1e-9) and into["log"] > last - 5
+        assert math.isclose(into["e"].sum(), mass.sum(), rel_tol=1e-5) and into["log"] > last - 5
         m, last = hmm.normal(into, mass, mass + 1), into["log"]
 
 
@@ -143,6 +143,11 @@ def test_extraction(spark):
     assert all(len(r.text) == 199_999 for r in got if r.page_id == 99)
 
 
+def test_odd_pages_cost_linear_time():
+    for h in ("<b>x" * 50_000, "<div>x" * 50_000, '<a "' * 50_000, "<" * 200_000, "<a href='x>y" * 30_000, "</p>x" * 50_000, "<!-- " * 50_000):
+        html.main_text(h)
+
+
 def test_extraction_of_articles():
     import pandas as pd
 
@@ -327,6 +332,21 @@ def test_links_are_exact_among_near_fingerprints(spark, monkeypatch):
     assert {i: got[s] for i, s in enumerate(signed)} == want
 
 
+def test_visits_miss_no_ball_point():
+    r = np.random.default_rng(5)
+    points = r.integers(0, 1 << 16, 3000).astype(np.uint64)
+    for width in (16, 64):
+        tree = simhash.Tree(points, 1, 20, 1, width)
+        home = dict(zip(*(x.tolist() for x in tree.visit(np.arange(1 << 16, dtype=np.uint64), 0)), strict=True))
+        assert len(home) == 1 << 16
+        seen = {}
+        for i, leaf in zip(*tree.visit(points[:200], 1), strict=True):
+            seen.setdefault(int(i), set()).add(int(leaf))
+        for i, p in enumerate(points[:200].tolist()):
+            ball = {home[p]} | {home[p ^ (1 << k)] for k in range(16)}
+            assert ball == seen[i] if width == 16 else ball <= seen[i]
+
+
 def test_components(spark):
     r = random.Random(8)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(90)]
