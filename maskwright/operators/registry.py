@@ -55,7 +55,7 @@ def upsert(registry: DataFrame, fresh: DataFrame) -> DataFrame:
 def merged_forms(old: Column, new: Column) -> Column:
     """Observed spellings in order of arrival, trimmed, without repeats, at most FORMS."""
     empty = F.array().cast("array<string>")
-    every = F.filter(F.transform(F.concat(F.coalesce(old, empty), F.coalesce(new, empty)), F.trim), lambda f: f != "")
+    every = F.filter(F.transform(F.concat(F.coalesce(old, empty), F.coalesce(new, empty)), lambda f: F.trim(f)), lambda f: f != "")
     return F.slice(F.array_distinct(every), 1, FORMS)
 
 
