@@ -39,6 +39,8 @@ SHARD, SAMPLE = 128, 100_000
 LEAVES_SENT = 200_000
 #: Wide fingerprints for similarities: their words, the trees and the bits of each, and the fingerprints of a shard.
 WORDS, TREES, TREE_BITS, WIDE_SHARD = 8, 40, 16, 300
+#: Bands up to which a tree keeps the leaf of every value.
+TABLE_BITS = 16
 #: A shard found to hold more than so many is dealt to several tasks, each with a part of it.
 PART = 20_000
 
@@ -78,11 +80,15 @@ def fingerprints(docs: DataFrame, size: int = 4, keep: tuple[str, ...] = ("doc_i
 class Tree:
     """A vantage-point tree over the values of one band. Leaves are numbered; boundaries hold for any value, sampled or not."""
 
-    def __init__(self, values: np.ndarray, reach: int, leaf: float, seed: int):
-        self.reach = reach
+    def __init__(self, values: np.ndarray, reach: int, leaf: float, seed: int, width: int = BITS):
+        self.reach, self.width, self.table = reach, width, None
         self.nodes: list[tuple[int, int, int, int]] = []  # vantage, radius, inside, outside; leaves have vantage -1 and their number
         self.leaves = 0
         self.root = self._grow(values, leaf, np.random.default_rng(seed))
+        if width <= TABLE_BITS:  # the leaf of every value there can be
+            i, at = self.visit(np.arange(1 << width, dtype=np.uint64), 0)
+            self.table = np.empty(1 << width, np.int32)
+            self.table[i] = at
 
     def _grow(self, p: np.ndarray, leaf: float, rng) -> int:
         kinds = np.unique(p)
@@ -114,7 +120,17 @@ class Tree:
         return at
 
     def visit(self, p: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a value, leaf) for all leaves that its ball of radius ``reach`` may touch."""
+        """(index of a value, leaf) for all leaves that its ball of radius ``reach`` may touch.
+
+        The triangle bound admits leaves that no point of the ball lies in, the more the deeper
+        the tree. In a narrow band the ball is small, and the leaves of its points are looked up.
+        """
+        if self.table is not None and reach <= 1:
+            ball = np.stack([self.table[p], *(self.table[p ^ np.uint64(1 << k)] for k in range(self.width * reach))], 1)
+            ball.sort(1)
+            new = np.ones(ball.shape, bool)
+            new[:, 1:] = ball[:, 1:] != ball[:, :-1]
+            return np.nonzero(new)[0], ball[new]
         out_i, out_leaf = [], []
         stack = [(self.root, np.arange(len(p)))]
         while stack:
@@ -224,7 +240,7 @@ def links(found: DataFrame, reach: int = REACH, shard: int = SHARD) -> DataFrame
     mask = np.uint64((1 << width) - 1)
     values = lambda words, k: (words[:, 0] >> np.uint64(k * width)) & mask
     points = _sample(found, n)
-    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k) for k in range(bands)], reach, band_reach)
+    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k, width) for k in range(bands)], reach, band_reach)
 
 
 def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -316,4 +332,4 @@ def _similar(found: DataFrame, similarity: float) -> DataFrame:
         return (((words[:, (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) * powers).sum(1, dtype=np.uint64)
 
     leaf = WIDE_SHARD * len(points) / max(1, n)
-    return _meet(found, values, [Tree(values(points, k), 0, leaf, k) for k in range(TREES)] if len(points) else [], similar_reach(similarity, bits), 0)
+    return _meet(found, values, [Tree(values(points, k), 0, leaf, k, TREE_BITS) for k in range(TREES)] if len(points) else [], similar_reach(similarity, bits), 0)
