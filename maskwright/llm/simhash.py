@@ -10,9 +10,9 @@ is within the reach of the boundary. Within a shard only a spanning forest of th
 links is handed on, never all pairs.
 
 For similarities as low as 0.8 the reach is too wide for any triangle bound to prune.
-``similar`` then takes longer fingerprints and several trees over random bits, each
-fingerprint asking its own shard of each tree only: unlike the exact search this finds
-a pair with a probability, which ``TREES`` makes close to one (measured in the tests).
+``similar`` then takes longer fingerprints and trees over random bits, each fingerprint
+asking its own shard of each tree only. Unlike the exact search this finds a pair with a
+probability; trees are added until it is close to one at any size (``MISS``).
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ BANDS, WIDE_FROM = 4, 20_000_000
 SHARD, SAMPLE = 128, 100_000
 #: Leaves up to which the table of large shards is surely small enough to be sent out.
 LEAVES_SENT = 200_000
-#: Wide fingerprints for similarities: their words, the trees and the bits of each, and the fingerprints of a shard.
-WORDS, TREES, TREE_BITS, WIDE_SHARD = 8, 40, 16, 300
+#: Wide fingerprints for similarities: their words, the bits of each tree, and the fingerprints of a shard.
+WORDS, TREE_BITS, WIDE_SHARD = 8, 16, 300
+#: Trees are added until a pair at the least similarity, a deviation and a quarter worse than expected, meets in none with this probability.
+MISS = 0.01
 #: Bands up to which a tree keeps the leaf of every value.
 TABLE_BITS = 16
 #: A shard found to hold more than so many is dealt to several tasks, each with a part of it.
@@ -97,17 +99,17 @@ class Tree:
             self.leaves += 1
             return len(self.nodes) - 1
         best = None
-        for v in rng.choice(kinds, min(8, len(kinds)), replace=False):  # the vantage point whose boundary fewest balls cross
+        for v in rng.choice(kinds, min(8 if self.reach else 2, len(kinds)), replace=False):  # the vantage point whose boundary fewest balls cross
             d = np.bitwise_count(p ^ v).astype(np.int64)
             counts = np.bincount(d, minlength=65)
-            below = np.cumsum(counts)
-            for r in range(64):
-                small = min(below[r], len(p) - below[r])
-                if small * 5 >= len(p):
-                    cross = counts[max(0, r - self.reach + 1) : r + self.reach + 1].sum()
-                    score = cross / len(p) - small / len(p)
-                    if best is None or score < best[0]:
-                        best = (score, int(v), r, d)
+            below = np.concatenate(([0], np.cumsum(counts)))
+            r = np.arange(64)
+            small = np.minimum(below[r + 1], len(p) - below[r + 1])
+            cross = below[np.minimum(r + self.reach + 1, 65)] - below[np.maximum(0, r - self.reach + 1)]
+            score = np.where(small * 5 >= len(p), cross / len(p) - small / len(p), np.inf)
+            at = int(score.argmin())
+            if score[at] < (np.inf if best is None else best[0]):
+                best = (score[at], int(v), at, d)
         if best is None:
             v = kinds[0]
             d = np.bitwise_count(p ^ v).astype(np.int64)
@@ -321,15 +323,33 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
 
 def _similar(found: DataFrame, similarity: float) -> DataFrame:
     n = found.count()
-    points = _sample(found, n)
+    trees, values = _wide_trees(_sample(found, n), n, similarity)
+    return _meet(found, values, trees, similar_reach(similarity, 64 * WORDS), 0)
+
+
+def _wide_trees(points: np.ndarray, n: int, similarity: float):
+    """Trees for ``n`` wide fingerprints by a sample of them, and values(words, k) of tree k.
+
+    The deeper the trees, the more of them: the share of the sample's values that stay in
+    their leaf when each bit flips as often as in a pair at ``similarity`` tells what a tree
+    misses. As a tree sees TREE_BITS bits only, that share has a floor, and the trees end.
+    """
     bits = 64 * WORDS
+    flips = similar_reach(similarity, bits) / bits
     rng = np.random.default_rng(11)
-    picked = [np.sort(rng.choice(bits, TREE_BITS, replace=False)) for _ in range(TREES)]
     powers = np.uint64(1) << np.arange(TREE_BITS, dtype=np.uint64)
+    picked, trees = [], []
 
     def values(words: np.ndarray, k: int) -> np.ndarray:
         at = picked[k].astype(np.uint64)
         return (((words[:, (at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) * powers).sum(1, dtype=np.uint64)
 
-    leaf = WIDE_SHARD * len(points) / max(1, n)
-    return _meet(found, values, [Tree(values(points, k), 0, leaf, k, TREE_BITS) for k in range(TREES)] if len(points) else [], similar_reach(similarity, bits), 0)
+    missed = 1.0
+    while len(points) and missed > MISS:
+        picked.append(np.sort(rng.choice(bits, TREE_BITS, replace=False)))
+        v = values(points, len(trees))
+        trees.append(Tree(v, 0, WIDE_SHARD * len(points) / max(1, n), len(trees), TREE_BITS))
+        asked = np.resize(v, max(20_000, len(v)))
+        flipped = asked ^ ((rng.random((len(asked), TREE_BITS)) < flips) * powers).sum(1, dtype=np.uint64)
+        missed *= 1 - float((trees[-1].table[asked] == trees[-1].table[flipped]).mean())
+    return trees, values

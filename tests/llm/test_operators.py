@@ -467,3 +467,21 @@ def test_queries_and_pipeline(spark, duck):
         docs = out.cache()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert last.columns == [*docs.columns, "copy_no"] and last.count() > 0
+
+
+def test_similar_pairs_meet_at_any_depth():
+    """Pairs whose bits differ as at similarity 0.80 meet in a leaf, however deep the trees."""
+    r = np.random.default_rng(4)
+    flips = np.arccos(1.6 / 1.8) / np.pi
+    points = r.integers(0, 1 << 63, (4000, 8), dtype=np.uint64) * np.uint64(2)
+    a = r.integers(0, 1 << 63, (4000, 8), dtype=np.uint64) * np.uint64(2)
+    b = a ^ np.packbits(r.random((4000, 512)) < flips, axis=1).view(np.uint64)
+    counts = []
+    for n in (4000, 400_000):  # leaves of 300 and of 3 sampled fingerprints
+        trees, values = simhash._wide_trees(points, n, 0.8)
+        met = np.zeros(len(a), bool)
+        for k, tree in enumerate(trees):
+            met |= tree.table[values(a, k)] == tree.table[values(b, k)]
+        assert met.mean() >= 0.99
+        counts.append(len(trees))
+    assert counts[1] > 2 * counts[0]
