@@ -39,6 +39,8 @@ SHARD, SAMPLE = 128, 100_000
 LEAVES_SENT = 200_000
 #: Wide fingerprints for similarities: their words, the bits of each tree, and the fingerprints of a shard.
 WORDS, TREE_BITS, WIDE_SHARD = 8, 16, 300
+#: Candidates differ in a deviation times SLACK more bits than expected at the least similarity; pairs in TIGHT of them stand for their neighbours.
+SLACK, TIGHT = 4, 0.5
 #: Trees are added until a pair at the least similarity, a deviation and a quarter worse than expected, meets in none with this probability.
 MISS = 0.01
 #: Bands up to which a tree keeps the leaf of every value.
@@ -176,14 +178,53 @@ def forest(points: np.ndarray, own: np.ndarray, reach: int, cells: int = 4_000_0
     return far, root[far]
 
 
-def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: int) -> DataFrame:
+def candidates(points: np.ndarray, own: np.ndarray, group: np.ndarray, reach: int, tight: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a shard's own points and all of ``points`` within ``reach`` bits and of different groups, and whether each is a tight one.
+
+    Of the pairs within ``tight`` bits only those of a spanning forest are given, and other
+    pairs only between its trees; with ``tight`` below zero all pairs are given.
+    """
+    root = np.arange(len(points))
+    a = np.flatnonzero(own)
+    words = np.ascontiguousarray(points.T)
+    out = []
+    step = max(1, cells // max(1, len(a)))
+    for at in range(0, len(points), step):
+        d = np.bitwise_count(words[0, at : at + step, None] ^ words[0, a][None, :]).astype(np.uint16)
+        for w in words[1:]:
+            d += np.bitwise_count(w[at : at + step, None] ^ w[a][None, :])
+        x, y = np.nonzero(d <= reach)
+        near = d[x, y] <= tight
+        x, y = x + at, a[y]
+        new = (group[x] != group[y]) & ((x < y) | ~own[x])
+        x, y, near = x[new], y[new], near[new]
+        p, q = x[near], y[near]
+        while True:
+            apart = root[p] != root[q]
+            p, q = p[apart], q[apart]
+            if not len(p):
+                break
+            high, low = np.maximum(root[p], root[q]), np.minimum(root[p], root[q])
+            order = np.lexsort((low, high))
+            first = order[np.unique(high[order], return_index=True)[1]]
+            out.append((p[first], q[first], np.ones(len(first), bool)))
+            root[high[first]] = low[first]
+            while (root != root[root]).any():
+                root = root[root]
+        loose = ~near & (root[x] != root[y])
+        out.append((x[loose], y[loose], np.zeros(int(loose.sum()), bool)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: int, tight: int | None = None) -> DataFrame:
     """a, b: links found by dealing ``found`` to the leaves of ``trees``.
 
     ``values(words, k)`` gives the band values of tree k. A fingerprint is f itself, or where
-    there is a column w, that holds its words as bytes and f is its number.
+    there is a column w, that holds its words as bytes and f is its number. With ``tight``
+    the pairs are those of ``candidates``, with a < b and near for tight ones; a column g has the groups.
     """
     sent = found.sparkSession.sparkContext.broadcast(trees)
-    wide = ["w"] if "w" in found.columns else []
+    wide = [c for c in ("w", "g") if c in found.columns]
 
     def words_of(f, raw) -> np.ndarray:
         return np.frombuffer(b"".join(raw), np.uint64).reshape(len(f), -1) if wide else np.ascontiguousarray(f).view(np.uint64).reshape(-1, 1)
@@ -201,7 +242,7 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
                 at = pa.array(i)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(leaf), pa.array(own[i] == leaf), f.take(at), *(b.column(c).take(at) for c in wide)], ["tree", "leaf", "home", "f", *wide])
 
-    rows = found.select("f", *wide).mapInArrow(dealt, "tree int, leaf int, home boolean, f long" + ", w binary" * len(wide))
+    rows = found.select("f", *wide).mapInArrow(dealt, "tree int, leaf int, home boolean, f long" + "".join({"w": ", w binary", "g": ", g long"}[c] for c in wide))
     home = lambda batches: (
         pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n)], ["tree", "leaf", "n"])
         for b in batches
@@ -222,7 +263,14 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
         a, b = forest(points, (pdf["own_part"] == pdf["part"]).to_numpy(), reach)
         return pd.DataFrame({"a": f[a], "b": f[b]})
 
-    return rows.select("tree", "leaf", "part", "own_part", "f", *wide).groupBy("tree", "leaf", "part").applyInPandas(meet, "a long, b long")
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("f")  # so that forests of different shards agree
+        f = pdf["f"].to_numpy()
+        a, b, near = candidates(words_of(f, pdf["w"]), (pdf["own_part"] == pdf["part"]).to_numpy(), (pdf["g"] if "g" in wide else pdf["f"]).to_numpy(), reach, tight)
+        return pd.DataFrame({"a": np.minimum(f[a], f[b]), "b": np.maximum(f[a], f[b]), "near": near})
+
+    rows = rows.select("tree", "leaf", "part", "own_part", "f", *wide).groupBy("tree", "leaf", "part")
+    return rows.applyInPandas(meet, "a long, b long") if tight is None else rows.applyInPandas(pairs, "a long, b long, near boolean")
 
 
 def _sample(found: DataFrame, n: int) -> np.ndarray:
@@ -272,17 +320,20 @@ def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return rows.join(named, "f").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str | None, size: int, words: int = WORDS) -> bytes:
-    """A SimHash of 64 * ``words`` bits over shingles of ``size`` words, each distinct shingle once."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``size`` words; of a shorter text the hash of all its words."""
     w = (text or "").encode("utf-8", "replace").lower().split()
     flat = b" ".join(w)
     if len(w) <= size:
-        h = np.array([xxhash.xxh3_64_intdigest(flat)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, w), np.int64, len(w)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = ends - lengths + 1
-        h = np.unique(np.fromiter((xxhash.xxh3_64_intdigest(flat[a:b]) for a, b in zip(starts[: len(w) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(w) - size + 1))
+        return np.array([xxhash.xxh3_64_intdigest(flat)], np.uint64)
+    lengths = np.fromiter(map(len, w), np.int64, len(w)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = ends - lengths + 1
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(flat[a:b]) for a, b in zip(starts[: len(w) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, len(w) - size + 1))
+
+
+def wide_fingerprint(h: np.ndarray, words: int = WORDS) -> bytes:
+    """A SimHash of 64 * ``words`` bits over a set of shingles."""
     out = []
     for k in range(words):
         x = mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
@@ -293,10 +344,10 @@ def wide_fingerprint(text: str | None, size: int, words: int = WORDS) -> bytes:
     return b"".join(out)
 
 
-def similar_reach(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets of equal size with this Jaccard similarity, and a deviation and a quarter more."""
+def similar_reach(similarity: float, bits: int, slack: float = 1.25) -> int:
+    """Differing bits expected of two shingle sets of equal size with this Jaccard similarity, and a deviation times ``slack`` more."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(round(bits * p + 1.25 * (bits * p * (1 - p)) ** 0.5))
+    return int(round(bits * p + slack * (bits * p * (1 - p)) ** 0.5))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -309,22 +360,74 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("d"), b.column("h"), pa.array([wide_fingerprint(b.column("text")[i].as_py(), size) for i in range(len(b))], pa.binary())], ["n", "d", "h", "w"])
+            sets = [shingles(x.as_py(), size) for x in b.column("text")]
+            f = np.array([xxhash.xxh3_64_intdigest(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("d"), b.column("h"), pa.array(f), pa.array([wide_fingerprint(h) for h in sets], pa.binary())], ["n", "d", "h", "f", "w"])
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("f"), pa.array([shingles(x.as_py(), size).tobytes() for x in b.column("text")], pa.binary())], ["f", "s"])
 
-    each = docs.select(key.alias("k"), "text").select("k.*", "text").mapInArrow(run, "n boolean, d long, h long, w binary")
-    each = common.staged(each.withColumn("f", F.xxhash64("w")), "wide")
+    texts = docs.select(key.alias("k"), "text").select("k.*", "text")
+    each = common.staged(texts.mapInArrow(run, "n boolean, d long, h long, f long, w binary"), "wide")
+    # f stands for the set of shingles: texts with the same set are one
     kinds = common.staged(each.groupBy("f").agg(F.min(F.struct("n", "d", "h")).alias("least"), F.min("w").alias("w")), "kinds")
-    named = _named(kinds.select("f", "least"), _similar(kinds.select("f", "w"), similarity))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b, near) with ok: whether the shingle sets of both are similar."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+        asked = kinds.join(ids, "f", "left_semi").select("f", "least.*")
+        sets = common.staged(texts.join(asked, ["n", "d", "h"]).select("f", "text").dropDuplicates(["f"]).mapInArrow(hashed, "f long, s binary"), "sets")
+        both = pairs.join(sets.select(F.col("f").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("f").alias("b"), F.col("s").alias("t")), "b")
+
+        def check(batches):
+            for b in batches:
+                ok = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(b.column("s"), b.column("t"), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("near"), pa.array(ok, pa.bool_())], ["a", "b", "near", "ok"])
+
+        return common.staged(both.mapInArrow(check, "a long, b long, near boolean, ok boolean"), "confirmed")
+
+    named = _named(kinds.select("f", "least"), _similar(kinds.select("f", "w"), similarity, confirmed))
     winners = named.select("component_id.*").distinct()
     rows = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("k.*", "row")
     won = rows.join(winners, ["n", "d", "h"], "left_semi").dropDuplicates(["n", "d", "h"])
     return won.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def _similar(found: DataFrame, similarity: float) -> DataFrame:
+def alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sorted shingle sets have this Jaccard similarity or more."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) * (1 - 1e-12):
+        return False
+    common_ = len(a) + len(b) - len(np.union1d(a, b))
+    return common_ >= similarity * (len(a) + len(b) - common_) * (1 - 1e-12)
+
+
+def _similar(found: DataFrame, similarity: float, confirmed) -> DataFrame:
+    """a, b: links that ``confirmed`` finds true, enough to join all candidates that it would find true.
+
+    The first pass takes a spanning forest of the tight pairs and all others between its
+    trees. Where a tight pair proves wrong, a second pass takes all pairs around
+    it that true links have not joined yet.
+    """
     n = found.count()
     trees, values = _wide_trees(_sample(found, n), n, similarity)
-    return _meet(found, values, trees, similar_reach(similarity, 64 * WORDS), 0)
+    reach = similar_reach(similarity, 64 * WORDS, SLACK)
+    tight = int(TIGHT * similar_reach(similarity, 64 * WORDS, 0))
+    pairs = _meet(found, values, trees, reach, 0, tight).groupBy("a", "b").agg(F.max("near").alias("near"))
+    first = confirmed(common.staged(pairs, "pairs"))
+    true = first.where("ok").select("a", "b")
+    if first.where("near and not ok").isEmpty():
+        return true
+    near = components(first.where("near").select("a", "b"))
+    wrong = near.join(first.where("near and not ok").select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+    again = near.join(wrong, "root", "left_semi").select(F.col("node").alias("f"))
+    groups = components(true)
+    again = found.join(again, "f").join(groups.withColumnRenamed("node", "f"), "f", "left").select("f", "w", F.coalesce("root", "f").alias("g"))
+    pairs = _meet(common.staged(again, "again"), values, trees, reach, 0, -1).groupBy("a", "b").agg(F.max("near").alias("near"))
+    pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = confirmed(common.staged(pairs, "pairs"))
+    return true.unionByName(second.where("ok").select("a", "b"))
 
 
 def _wide_trees(points: np.ndarray, n: int, similarity: float):

@@ -485,3 +485,46 @@ def test_similar_pairs_meet_at_any_depth():
         assert met.mean() >= 0.99
         counts.append(len(trees))
     assert counts[1] > 2 * counts[0]
+
+
+def test_near_copies_follow_exact_similarity(spark, monkeypatch):
+    """Against brute force, with pairs just under and over 0.8 and shards far smaller than the table."""
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 10)
+    rows, sims = [], []
+    for i in range(300):
+        w = prose(9000 + i, 204, 100_000).split()
+        v = list(w)
+        for k in range(3 + i % 4):  # each edit changes 5 of 200 shingles: 0.86, 0.82, 0.78, 0.74
+            v[10 + 30 * k] = "edit"
+        a, b = (set(zip(*(x[j:] for j in range(5)), strict=False)) for x in (w, v))
+        sims.append(len(a & b) / len(a | b))
+        rows += [(2 * i, " ".join(w), "a"), (2 * i + 1, " ".join(v), "a")]
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, rows)).collect()}
+    assert all(2 * i in kept for i in range(300))
+    assert all(2 * i + 1 in kept for i in range(300) if sims[i] < 0.8)
+    assert sum(2 * i + 1 in kept for i in range(300) if sims[i] >= 0.8) <= 3
+
+
+def test_candidates_span(monkeypatch):
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
+    points = np.concatenate([b ^ np.packbits(r.random((12, 512)) < 0.06, axis=1).view(np.uint64) for b in base])
+    d = np.bitwise_count(points[:, None] ^ points[None]).sum(2)
+    own = r.random(len(points)) < 0.7
+    f = np.arange(len(points))
+    for tight in (-1, 50):
+        a, b, near = simhash.candidates(points, own, f, 110, tight, cells=500)
+        assert (d[a, b] <= 110).all() and (near == (d[a, b] <= tight)).all() and (own[a] | own[b]).all()
+        want = {(i, j) for i, j in combinations(f.tolist(), 2) if d[i, j] <= 110 and (own[i] or own[j])}
+        got = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+        assert got == want if tight < 0 else got <= want
+        comp = lambda pairs: brute_groups(len(f), pairs)
+        assert comp(got) == comp(want)
+
+
+def brute_groups(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
