@@ -4,8 +4,9 @@ A page's markup is stripped to lines, one a block element. Lines of menus, adver
 and the like, and lines that are mostly links, weigh nothing; every other line weighs
 its length. The sums over sliding windows of lines rise from nothing (surge) where a
 stretch of text starts and fall to nothing (dive) where it ends. The heaviest
-stretch is the article; other stretches are kept if they lie in the same article
-element or container, or are themselves heavy. All text between a kept surge and dive stays.
+stretch is the article; other stretches are kept if they lie in the same outermost article
+element or container, or are themselves heavy. All text between a kept surge and dive stays,
+in an article element all between the first surge and the last dive.
 """
 
 from __future__ import annotations
@@ -85,9 +86,10 @@ def _attributes(raw: str) -> tuple[set[str], bool]:
 def parse(source: str) -> Page:
     """Lines of a page in order, each with its links' length and what encloses it."""
     page = Page()
-    stack: list[tuple[str, int, int, int]] = []  # name, number of the element left out or -1, number of the article or 0, number of the container or 0
+    stack: list[tuple[str, int, int, int, int]] = []  # name, number of the element left out or -1, number of the article or 0, number of the container or 0, number of the element
+    parts: dict[tuple[int, str], int] = {}  # article of the elements of one name and parent whose attributes mark them
     text: list[str] = []
-    linked = links = articles = containers = 0
+    linked = links = articles = containers = elements = 0
 
     def end_line() -> None:
         nonlocal linked
@@ -97,7 +99,9 @@ def parse(source: str) -> Page:
                 out = tuple(x[1] for x in stack if x[1] >= 0)
                 if any(x[0] in _HEADINGS for x in stack):  # an article's header keeps its headings
                     out = tuple(k for k in out if not page.titles[k])
-                page.lines.append(Line(s, linked, out, next((x[2] for x in reversed(stack) if x[2]), 0), next((x[3] for x in reversed(stack) if x[3]), 0)))
+                # the outermost article; a page marked as a whole counts where nothing in it is
+                article = next((x[2] for x in stack if x[2] and x[0] not in ("html", "body")), 0) or next((x[2] for x in stack if x[2]), 0)
+                page.lines.append(Line(s, linked, out, article, next((x[3] for x in reversed(stack) if x[3]), 0)))
         text.clear()
         linked = 0
 
@@ -168,7 +172,7 @@ def parse(source: str) -> Page:
         number, article = -1, 0
         if name in ("article", "main") or words & _KEEP and not words & _HINTS:
             articles += 1
-            article = articles
+            article = articles if name in ("article", "main") else parts.setdefault((stack[-1][4] if stack else 0, name), articles)
             for x in stack:
                 if x[1] >= 0:
                     page.holds[x[1]] = True
@@ -180,7 +184,8 @@ def parse(source: str) -> Page:
             page.titles.append(name == "header" and any(x[2] for x in stack))
         containers += name in _CONTAINERS
         links += name == "a"
-        stack.append((name, number, article, containers if name in _CONTAINERS else 0))
+        elements += 1
+        stack.append((name, number, article, containers if name in _CONTAINERS else 0, elements))
     end_line()
     return page
 
@@ -199,7 +204,7 @@ def weigh(page: Page) -> None:
 
 
 def stretches(page: Page) -> list[list[Line]]:
-    """Lines between each surge and the next dive of the window sums."""
+    """Lines between each surge and the next dive of the window sums, in an article between its first surge and last dive."""
     row: list[Line | None] = []
     before: Line | None = None
     for x in page.lines:
@@ -211,10 +216,17 @@ def stretches(page: Page) -> list[list[Line]]:
     sums = [sum(weight[max(0, i - REACH) : i + REACH + 1]) for i in range(len(row))]
     found: list[list[Line]] = []
     inside = False
-    for x, s in zip(row, sums, strict=True):
-        if s and not inside:
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, (x, s) in enumerate(zip(row, sums, strict=True)):
+        if s and x is not None and x.article:
+            first.setdefault(x.article, i)
+            last[x.article] = i
+    for i, (x, s) in enumerate(zip(row, sums, strict=True)):
+        on = bool(s) or x is not None and x.article in first and first[x.article] <= i <= last[x.article]
+        if on and not inside:
             found.append([])
-        inside = bool(s)
+        inside = on
         if inside and x is not None and not x.out and (x.weight or x.article):
             found[-1].append(x)
     return [x for x in found if x]

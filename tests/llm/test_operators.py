@@ -528,3 +528,18 @@ def brute_groups(n, pairs):
         for i, j in pairs:
             root[i] = root[j] = min(root[i], root[j])
     return root
+
+
+def test_nested_and_repeated_articles():
+    para = "A sentence of plain text that is long enough to weigh something in the page. " * 3
+    menu = "<nav><a href=/>Home</a></nav>"
+    nested = html.main_text(f"<body>{menu}<article><h1>Title</h1><p>Lead of it</p><div itemprop=articleBody><p>{para}</p></div></article><footer>Foot</footer></body>")
+    assert nested.split("\n")[:2] == ["Title", "Lead of it"] and "Foot" not in nested and "Home" not in nested
+    assert html.main_text(f"<main><h1>Title</h1><article><p>{para}</p></article></main>").startswith("Title\n")
+    parts = html.main_text(f"<div><section class='article-section'><p>One</p></section><section class='article-section'><p>{para}</p></section><section class='article-section'><p>Three</p></section></div>")
+    assert parts.startswith("One\n") and parts.endswith("\nThree")
+    links = "".join(f"<p><a href=/{i}>Link {i}</a></p>" for i in range(7))
+    whole = html.main_text(f"<article><p>{para}</p>{links}<p>{para}</p></article><p><a href=/>Other</a></p>")
+    assert [x for x in whole.split("\n") if x.startswith("Link")] == [f"Link {i}" for i in range(7)] and "Other" not in whole
+    marked = html.main_text(f"<body class=article><div><p>Stray words here.</p></div><article><p>{para}</p></article></body>")
+    assert "Stray" not in marked
