@@ -6,8 +6,8 @@ distance is a metric. For each band a vantage-point tree, built from a bounded
 sample, splits its space by the distance to vantage points; its leaves are the
 shards. A fingerprint lies in one shard of each band and asks all shards that the
 triangle bound cannot rule out for its ball: those of both sides where its distance
-is within the reach of the boundary. Within a shard only a spanning forest of the
-links is handed on, never all pairs.
+is within the reach of the boundary. Within a shard pairs are found by sorting parts of
+the fingerprints, and only a spanning forest of the links is handed on, never all pairs.
 
 For similarities as low as 0.8 the reach is too wide for any triangle bound to prune.
 ``similar`` then takes longer fingerprints and trees over random bits, each fingerprint
@@ -31,10 +31,10 @@ from .windows import mix
 BITS = 64
 #: Fingerprints link at so many differing bits or fewer.
 REACH = 4
-#: Bands for up to WIDE_FROM distinct fingerprints; two of 32 bits beyond, whose space is not soon exhausted.
-BANDS, WIDE_FROM = 4, 20_000_000
+#: Bands of a fingerprint: REACH // BANDS differing bits in one of them are what a pair within reach can't avoid.
+BANDS = 4
 #: Fingerprints that a shard should hold, and those from which the trees are built, about.
-SHARD, SAMPLE = 128, 100_000
+SHARD, SAMPLE = 4096, 100_000
 #: Leaves up to which the table of large shards is surely small enough to be sent out.
 LEAVES_SENT = 200_000
 #: Wide fingerprints for similarities: their words, the bits of each tree, and the fingerprints of a shard.
@@ -43,7 +43,7 @@ WORDS, TREE_BITS, WIDE_SHARD = 8, 16, 300
 SLACK, TIGHT = 4, 0.5
 #: Trees are added until a pair at the least similarity, a deviation and a quarter worse than expected, meets in none with this probability.
 MISS = 0.01
-#: Bands up to which a tree keeps the leaf of every value.
+#: Widths up to which a tree keeps the leaf of every value, for points that ask for their own leaf only.
 TABLE_BITS = 16
 #: A shard found to hold more than so many is dealt to several tasks, each with a part of it.
 PART = 20_000
@@ -126,16 +126,14 @@ class Tree:
     def visit(self, p: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of a value, leaf) for all leaves that its ball of radius ``reach`` may touch.
 
-        The triangle bound admits leaves that no point of the ball lies in, the more the deeper
-        the tree. In a narrow band the ball is small, and the leaves of its points are looked up.
+        At a node with vantage point v and radius r, a ball around p lies wholly inside if
+        d(p, v) <= r - reach and wholly outside if d(p, v) > r + reach (triangle bound): the other
+        branch is pruned. A ball across the boundary goes down both. ``pruned`` counts branches not taken.
         """
-        if self.table is not None and reach <= 1:
-            ball = np.stack([self.table[p], *(self.table[p ^ np.uint64(1 << k)] for k in range(self.width * reach))], 1)
-            ball.sort(1)
-            new = np.ones(ball.shape, bool)
-            new[:, 1:] = ball[:, 1:] != ball[:, :-1]
-            return np.nonzero(new)[0], ball[new]
+        if self.table is not None and not reach:
+            return np.arange(len(p)), self.table[p]
         out_i, out_leaf = [], []
+        self.pruned = 0
         stack = [(self.root, np.arange(len(p)))]
         while stack:
             at, i = stack.pop()
@@ -147,24 +145,42 @@ class Tree:
                 out_leaf.append(np.full(len(i), r, np.int32))
                 continue
             d = np.bitwise_count(p[i] ^ np.uint64(v)).astype(np.int64)
-            stack.append((inside, i[d <= r + reach]))
-            stack.append((outside, i[d > r - reach]))
+            near, far = i[d <= r + reach], i[d > r - reach]
+            self.pruned += 2 * len(i) - len(near) - len(far)
+            stack += [(inside, near), (outside, far)]
         return np.concatenate(out_i) if out_i else np.zeros(0, np.int64), np.concatenate(out_leaf) if out_leaf else np.zeros(0, np.int32)
 
 
-def forest(points: np.ndarray, own: np.ndarray, reach: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Links between a shard's own points and all of ``points`` (one row of 64-bit words each),
-    as stars: the places of each linked point and of its group's first."""
+def _equal_in_a_part(points: np.ndarray, own: np.ndarray, reach: int, cells: int):
+    """(x, y) places of points and of own points that agree wholly in one of reach + 1 parts of their 64 bits.
+
+    Any pair within ``reach`` bits does (pigeonhole), so a shard's pairs are found by sorting, not by comparing all.
+    """
+    cuts = [BITS * k // (reach + 1) for k in range(reach + 2)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = (points >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        mine = own[np.argsort(part[own], kind="stable")]
+        keys = part[mine]
+        first, last = np.searchsorted(keys, part, "left"), np.searchsorted(keys, part, "right")
+        total = np.cumsum(last - first)
+        at = 0
+        while at < len(points):  # so many pairs at once; a single point with more goes alone
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + cells, "right")))
+            n = (last - first)[at:end]
+            x = np.repeat(np.arange(at, end), n)
+            yield x, mine[np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:end], n)]
+            at = end
+
+
+def forest(points: np.ndarray, own: np.ndarray, reach: int, cells: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links between a shard's own points and all of ``points`` (64-bit fingerprints), as stars:
+    the places of each linked point and of its group's first."""
     root = np.arange(len(points))
-    a = np.flatnonzero(own)
-    words = np.ascontiguousarray(points.T)
-    step = max(1, cells // max(1, len(a)))
-    for at in range(0, len(points), step):
-        d = np.bitwise_count(words[0, at : at + step, None] ^ words[0, a][None, :])
-        for w in words[1:]:
-            d = d.astype(np.uint16) + np.bitwise_count(w[at : at + step, None] ^ w[a][None, :])
-        x, y = np.nonzero(d <= reach)
-        x, y = x + at, a[y]
+    for x, y in _equal_in_a_part(points, np.flatnonzero(own), reach, cells):
+        apart = root[x] != root[y]  # pairs joined through others need no look
+        x, y = x[apart], y[apart]
+        near = np.bitwise_count(points[x] ^ points[y]) <= reach
+        x, y = x[near], y[near]
         while True:
             p, q = root[x], root[y]
             apart = p != q
@@ -259,8 +275,7 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf["f"].to_numpy()
-        points = words_of(f, pdf["w"] if wide else ())
-        a, b = forest(points, (pdf["own_part"] == pdf["part"]).to_numpy(), reach)
+        a, b = forest(np.ascontiguousarray(f).view(np.uint64), (pdf["own_part"] == pdf["part"]).to_numpy(), reach)
         return pd.DataFrame({"a": f[a], "b": f[b]})
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -285,12 +300,11 @@ def _sample(found: DataFrame, n: int) -> np.ndarray:
 def links(found: DataFrame, reach: int = REACH, shard: int = SHARD) -> DataFrame:
     """a, b: links among the distinct fingerprints ``found`` (f), enough to join all that are within ``reach`` bits through others."""
     n = found.count()
-    bands = BANDS if n <= WIDE_FROM else 2
-    width, band_reach = BITS // bands, reach // bands
+    width, band_reach = BITS // BANDS, reach // BANDS
     mask = np.uint64((1 << width) - 1)
     values = lambda words, k: (words[:, 0] >> np.uint64(k * width)) & mask
     points = _sample(found, n)
-    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k, width) for k in range(bands)], reach, band_reach)
+    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k, width) for k in range(BANDS)], reach, band_reach)
 
 
 def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -299,15 +313,19 @@ def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
     Null ids count for nothing; a component of them alone has a null id.
     """
     kinds = common.staged(found.groupBy("f").agg(F.min("doc_id").alias("least")), "fingerprints")
-    return _named(kinds, links(kinds.select("f"), reach))
+    named, ids = _named(kinds, links(kinds.select("f"), reach))
+    return named.join(ids, "root").select("f", "component_id")
 
 
-def _named(kinds: DataFrame, found: DataFrame) -> DataFrame:
+def _named(kinds: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(f, root) of ``kinds`` (f, least) linked by ``found``, and (root, component_id): the least ``least`` of each root.
+
+    Both are written, so that joining them broadcasts the ids while they are small and may split a skewed root beyond.
+    """
     roots = components(found)
     named = kinds.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     named = common.staged(named, "named")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.select("f", "root").join(ids, "root").select("f", "component_id")
+    return named.select("f", "root"), common.staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
 
 
 def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -387,8 +405,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
 
         return common.staged(both.mapInArrow(check, "a long, b long, near boolean, ok boolean"), "confirmed")
 
-    named = _named(kinds.select("f", "least"), _similar(kinds.select("f", "w"), similarity, confirmed))
-    winners = named.select("component_id.*").distinct()
+    _, ids = _named(kinds.select("f", "least"), _similar(kinds.select("f", "w"), similarity, confirmed))
+    winners = ids.select("component_id.*")
     rows = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("k.*", "row")
     won = rows.join(winners, ["n", "d", "h"], "left_semi").dropDuplicates(["n", "d", "h"])
     return won.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -333,6 +333,7 @@ def test_links_are_exact_among_near_fingerprints(spark, monkeypatch):
 
 
 def test_visits_miss_no_ball_point():
+    """The triangle bound prunes branches, and none that a point of the ball lies in."""
     r = np.random.default_rng(5)
     points = r.integers(0, 1 << 16, 3000).astype(np.uint64)
     for width in (16, 64):
@@ -340,11 +341,24 @@ def test_visits_miss_no_ball_point():
         home = dict(zip(*(x.tolist() for x in tree.visit(np.arange(1 << 16, dtype=np.uint64), 0)), strict=True))
         assert len(home) == 1 << 16
         seen = {}
-        for i, leaf in zip(*tree.visit(points[:200], 1), strict=True):
+        visits = tree.visit(points[:200], 1)
+        assert tree.pruned > 200 * 5 and len(visits[0]) < 200 * tree.leaves / 3
+        for i, leaf in zip(*visits, strict=True):
             seen.setdefault(int(i), set()).add(int(leaf))
         for i, p in enumerate(points[:200].tolist()):
-            ball = {home[p]} | {home[p ^ (1 << k)] for k in range(16)}
-            assert ball == seen[i] if width == 16 else ball <= seen[i]
+            assert {home[p]} | {home[p ^ (1 << k)] for k in range(16)} <= seen[i]
+
+
+def test_a_shard_s_pairs_are_exact():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 63, 30, dtype=np.uint64) * np.uint64(2)
+    points = np.unique(np.concatenate([base ^ sum(np.uint64(1) << r.integers(0, 64, 30, dtype=np.uint64) for _ in range(k)) for k in range(7)]))
+    own = r.random(len(points)) < 0.6
+    near = np.bitwise_count(points[:, None] ^ points[None]) <= 4
+    pairs = [(i, j) for i, j in combinations(range(len(points)), 2) if near[i, j] and (own[i] or own[j])]
+    for cells in (7, 1_000_000):
+        far, first = simhash.forest(points, own, 4, cells)
+        assert brute_groups(len(points), list(zip(far.tolist(), first.tolist(), strict=True))) == brute_groups(len(points), pairs)
 
 
 def test_components(spark):
