@@ -4,21 +4,25 @@ Four fixed patterns give the base spans, which always stand. Looser patterns pro
 further candidates. Regex, gazetteer, context, checksum and neighbourhood labelers
 vote on every candidate (base spans too); expectation-maximisation on the counts of
 vote patterns over the whole corpus estimates each labeler's reliability without any
-label, and a logistic span classifier is trained on the resulting posteriors. It adds
-those proposals that it is sure of.
+label. A logistic span classifier is then trained on the resulting posteriors: it sees
+not only the votes but the span itself (length, digits, separators, its shape) and the
+words around it, hashed, so it tells apart what the labelers can't. It adds those
+proposals that it is sure of.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # Kinds in order, patterns, and the lists of the gazetteer and context labelers.
 KINDS = ("email", "ip", "card", "phone", "name")
 BASE = KINDS[:4]
@@ -120,13 +124,13 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     return free
 
 
-def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
-    """What each labeler says of one candidate."""
+def votes(text: str, start: int, kind: int, end: int, given: frozenset[str] = _GIVEN, domains: frozenset[str] = _DOMAINS) -> tuple[int, ...]:
+    """What each labeler says of one candidate; ``given`` and ``domains`` are the gazetteers."""
     s, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 1]
     d = _digits(s)
     context = -1 if _OTHER_WORDS.search(before) else 0
     if kind == 0:
-        shape, known, check = 1, 1 if re.split(r"[^A-Za-z0-9]+", s.lower().rstrip(")]"))[-1] in _DOMAINS else -1, 0
+        shape, known, check = 1, 1 if re.split(r"[^A-Za-z0-9]+", s.lower().rstrip(")]"))[-1] in domains else -1, 0
         context = 1 if _MAIL_WORDS.search(before) else context
     elif kind == 1:
         shape, known, check = 1, 0, 1
@@ -140,7 +144,7 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
         context = 1 if _PHONE_WORDS.search(before) else context
     else:
         parts = s.split()
-        shape, known, check = 1 if len(parts) >= 2 else -1, 1 if parts[0] in _GIVEN else -1, 0
+        shape, known, check = 1 if len(parts) >= 2 else -1, 1 if parts[0] in given else -1, 0
         context = 1
     near = -1 if after.isalnum() or before[-1:].isalnum() or after in ('"', "_", "=") and after else 1
     return shape, known, context, check, near
@@ -171,56 +175,136 @@ def aggregate(patterns: dict[tuple, int], steps: int = 60) -> tuple[dict[tuple,
     return dict(zip(keys, p.tolist(), strict=True)), yes, no
 
 
-def _inputs(key: tuple) -> list[float]:
-    kind, *v = key
-    return [1.0, *(float(kind == k) for k in range(len(KINDS))), *(float(x == 1) for x in v), *(float(x == -1) for x in v)]
+#: Buckets of the word before a candidate, of the word after it, and of its shape, in the classifier's inputs.
+BEFORE, AFTER, SHAPES = 64, 32, 32
+_DENSE = 1 + len(KINDS) + 2 * len(LABELERS) + 6
+WIDTH = _DENSE + BEFORE + AFTER + SHAPES
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,6}$")
+_WORD_AFTER = re.compile(r"[^\w]{0,6}([^\W\d_]+)")
+_SHAPE = str.maketrans({**{chr(c): "9" for c in range(48, 58)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
+_RUNS = re.compile(r"(.)\1+")
 
 
-def train_classifier(patterns: dict[tuple, int], posterior: dict[tuple, float], steps: int = 400) -> np.ndarray:
-    """Weights of the span classifier: logistic regression on votes and kind against the posteriors."""
-    keys = sorted(patterns)
-    w = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
-    if not keys:
-        return w
-    x, y = np.array([_inputs(k) for k in keys]), np.array([posterior[k] for k in keys])
-    n = np.array([patterns[k] for k in keys], float)
-    n = np.sqrt(n) / np.sqrt(n).sum()  # so that a pattern seen everywhere doesn't drown the others
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (p - y)) + 1e-4 * w
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
+def inputs(text: str, start: int, kind: int, end: int, vote: tuple[int, ...]) -> tuple[list[float], list[int]]:
+    """What the classifier sees of a candidate: dense values (votes, kind, measures of the span) and the
+    places of three that are one: the word before it, the word after it, and its shape with runs shortened."""
+    s = text[start:end]
+    digits = sum("0" <= c <= "9" for c in s)
+    parts = len(re.split(r"[\x20./()@-]+", s))
+    before, after = _WORD_BEFORE.search(text[max(0, start - 24) : start]), _WORD_AFTER.match(text[end : end + 24])
+    dense = [
+        1.0, *(float(kind == k) for k in range(len(KINDS))), *(float(x == 1) for x in vote), *(float(x == -1) for x in vote),
+        min(len(s), 64) / 32, digits / max(1, len(s)), min(digits, 20) / 10, min(parts, 8) / 4, len(set(s)) / max(1, len(s)), float(s[:1] in "0+("),
+    ]
+    bucket = lambda m, n: 0 if m is None else 1 + crc32(m[1].lower().encode("utf-8", "replace")) % (n - 1)
+    shape = crc32(_RUNS.sub(r"\1", s.translate(_SHAPE)).encode("utf-8", "replace")) % SHAPES
+    return dense, [_DENSE + bucket(before, BEFORE), _DENSE + BEFORE + bucket(after, AFTER), _DENSE + BEFORE + AFTER + shape]
 
 
-def learn(docs: DataFrame) -> np.ndarray:
-    """The span classifier of a corpus: vote patterns are counted over all whole texts, in the tasks first.
+def matrix(dense: list[list[float]], ones: list[list[int]]) -> np.ndarray:
+    x = np.zeros((len(dense), WIDTH))
+    if len(dense):
+        x[:, :_DENSE] = dense
+        x[np.arange(len(dense))[:, None], np.array(ones)] = 1.0
+    return x
 
-    What reaches the driver is bounded by the number of patterns (5 kinds, 3 ** 5 votes).
-    """
 
-    def count(batches):
-        seen: Counter = Counter()
+def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted logistic loss against soft labels, with its gradient and Hessian: each a sum over candidates."""
+    z = np.clip(x @ w, -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    loss = weight @ (np.logaddexp(0, z) - y * z)
+    return float(loss), x.T @ (weight * (p - y)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+#: Newton steps of the span classifier, and its ridge, in candidates' weight.
+STEPS, RIDGE = 8, 0.05
+
+
+def _step(w: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """One Newton step from summed loss, gradient and Hessian."""
+    grad, hess = sums[1 : 1 + WIDTH] + RIDGE * w, sums[1 + WIDTH :].reshape(WIDTH, WIDTH) + RIDGE * np.eye(WIDTH)
+    return np.clip(np.linalg.solve(hess, grad), -3, 3)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(pattern, dense, ones): the votes and classifier inputs of every candidate of all whole texts, base spans too."""
+
+    def run(batches):
         for b in batches:
+            pattern, dense, ones = [], [], []
             for i in range(len(b)):
                 text = b.column("text")[i].as_py() or ""
                 base = base_spans(text)
                 for a, k, e in base + proposals(text, base):
-                    seen[(k, *votes(text, a, k, e))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+                    v = votes(text, a, k, e)
+                    pattern.append(",".join(map(str, (k, *v))))
+                    x, at = inputs(text, a, k, e, v)
+                    dense.append(x)
+                    ones.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(dense, pa.list_(pa.float32())), pa.array(ones, pa.list_(pa.int32()))], ["pattern", "dense", "ones"])
+
+    return docs.select("text").mapInArrow(run, "pattern string, dense array<float>, ones array<int>")
 
-    rows = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    patterns = {tuple(map(int, r.pattern.split(","))): r.n for r in rows}
-    return train_classifier(patterns, aggregate(patterns)[0])
+
+def learn(docs: DataFrame, steps: int = STEPS) -> np.ndarray:
+    """Weights of the span classifier of a corpus.
+
+    All candidates are written once. Their vote patterns are counted (at most 5 kinds x 3 ** 5 votes reach
+    the driver) and weighed by EM. The classifier is fitted to the posteriors by Newton steps, whose
+    gradient and Hessian are summed over all candidates where they lie; a candidate counts the less the
+    commoner its pattern is (by the root of its count), so that a pattern seen everywhere doesn't drown the others.
+    """
+    rows = common.staged(candidates(docs), "candidates")
+    counts = {tuple(map(int, r.pattern.split(","))): r["count"] for r in rows.groupBy("pattern").count().collect()}
+    w = np.zeros(WIDTH)
+    if not counts:
+        return w
+    posterior = aggregate(counts)[0]
+    total = sum(n**0.5 for n in counts.values())
+    known = {",".join(map(str, k)): (p, 100 * counts[k] ** -0.5 / total * len(counts)) for k, p in posterior.items()}
+    for _ in range(steps):
+        sums = _summed(rows, w, known)
+        step = _step(w, sums)
+        w = w - step
+        if np.abs(step).max() < 1e-5:
+            break
+    return w
+
+
+def _summed(rows: DataFrame, w: np.ndarray, known: dict[str, tuple[float, float]]) -> np.ndarray:
+    """Loss, gradient and Hessian over all candidates: one vector a task, added up slot by slot."""
+
+    def run(batches):
+        total = np.zeros(1 + WIDTH + WIDTH * WIDTH)
+        for b in batches:
+            if not len(b):
+                continue
+            y, weight = np.array([known[p] for p in b.column("pattern").to_pylist()]).T
+            loss, grad, hess = newton_sums(w, matrix(b.column("dense").to_pylist(), b.column("ones").to_pylist()), y, weight)
+            total += np.concatenate([[loss], grad, hess.ravel()])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "x"])
+
+    out = np.zeros(1 + WIDTH + WIDTH * WIDTH)
+    for r in rows.mapInArrow(run, "slot int, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect():
+        out[r.slot] = r.x
+    return out
+
+
+def sure(text: str, candidate: tuple[int, int, int], w: np.ndarray) -> bool:
+    """Whether the classifier gives a candidate (start, kind, end) at least the probability SURE."""
+    v = votes(text, *candidate)
+    if candidate[1] == 2 and v[LABELERS.index("checksum")] == -1:  # no card fails its checksum
+        return False
+    dense, ones = inputs(text, *candidate, v)
+    return float(1 / (1 + np.exp(-(np.dot(w[:_DENSE], dense) + w[ones].sum())))) >= SURE
 
 
 def spans(text: str, w: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text, in order."""
     base = base_spans(text)
-    more = [c for c in proposals(text, base) if 1 / (1 + np.exp(-np.dot(_inputs((c[1], *votes(text, *c))), w))) >= SURE]
+    more = [c for c in proposals(text, base) if sure(text, c, w)]
     return base, sorted(base + more)
 
 
@@ -229,20 +313,22 @@ def _written(found: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, w: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. Null texts are empty; repeated rows each come back."""
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_spans, the number of these.
+    Null texts are empty; repeated rows each come back."""
 
     def run(batches):
         for b in batches:
-            counts, sha, written = [[] for _ in BASE], [], []
+            counts, sha, written, n_spans = [[] for _ in BASE], [], [], []
             for i in range(len(b)):
                 base, every = spans(b.column("text")[i].as_py() or "", w)
                 for k in range(len(BASE)):
                     counts[k].append(sum(s[1] == k for s in base))
                 sha.append(hashlib.sha256(_written(base).encode()).hexdigest())
                 written.append(_written(every))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(written, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                n_spans.append(len(every))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(written, pa.string()), pa.array(n_spans, pa.int64())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked_text(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -256,18 +342,16 @@ def masked_text(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, w: np.ndarray) -> DataFrame:
-    """``docs`` with personal data masked in ``text``, and ``n_chars``, if there, as long as the new text; other columns stay."""
-    names = docs.columns
+    """``docs`` with personal data masked in ``text``, and ``n_chars``, if there, as long as the new text; other columns stay.
+    Null texts stay null. Two columns of one name both stay; ``text`` must be one."""
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            new = []
-            for i in range(len(b)):
-                t = b.column("text")[i].as_py()
-                new.append(None if t is None else masked_text(t, spans(t, w)[1]))
-            cols = dict(zip(names, b.columns, strict=True))
-            cols["text"] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
-
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+            new = [None if (t := x.as_py()) is None else masked_text(t, spans(t, w)[1]) for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)], [f"_{i}" for i in range(len(names))])
+
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields]
+    out = docs.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(run, ", ".join(f"_{i} {k}" for i, k in enumerate(kinds)))
+    size = [F.coalesce(F.length(f"_{at}"), F.lit(0)).cast(kinds[i]).alias(f"_{i}") if c == "n_chars" else F.col(f"_{i}") for i, c in enumerate(names)]
+    return out.select(*size).toDF(*names)

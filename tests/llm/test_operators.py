@@ -197,12 +197,61 @@ def test_personal_data(spark):
         assert set(filter(None, written.split(","))) <= set(filter(None, r.spans.split(",")))
         if t.startswith(("4845168114407328", "x y z")):
             assert r.spans == ""
+        assert r.n_spans == len(list(filter(None, r.spans.split(","))))
     masked = pii.mask(docs, w)
     assert masked.columns == docs.columns and masked.count() == len(got)
     assert masked.where("contains(text, 'a.b@c.de')").count() == 0 and masked.where("text = 'mail [EMAIL] now'").count() == 3
     assert pii.find(docs.limit(0), pii.learn(docs.limit(0))).count() == 0
 
 
+def brute_em(counts, steps=60):
+    """The EM of ``pii.aggregate`` written out candidate class by candidate class."""
+    n_labels = len(pii.LABELERS)
+    never = {k: k[0] == 2 and k[4] == -1 for k in counts}
+    p = {k: 0.0 if never[k] else 1 / (1 + math.exp(-1.5 * sum(k[1:]))) for k in counts}
+    for _ in range(steps):
+        yes, no = [], []
+        for j in range(1, n_labels + 1):
+            for out, of, right in ((yes, lambda k: p[k], 1), (no, lambda k: 1 - p[k], -1)):
+                a = sum(counts[k] * of(k) for k in counts if k[j] == right) + 7
+                b = sum(counts[k] * of(k) for k in counts if k[j] == -right) + 3
+                out.append(min(0.995, max(0.55, a / (a + b))))
+        total = sum(counts.values())
+        prior = min(0.95, max(0.05, (sum(counts[k] * p[k] for k in counts) + 1) / (total + 2)))
+        for k in counts:
+            z = math.log(prior / (1 - prior))
+            for j in range(n_labels):
+                z += math.log(yes[j] / (1 - no[j])) if k[1 + j] == 1 else math.log((1 - yes[j]) / no[j]) if k[1 + j] == -1 else 0
+            p[k] = 0.0 if never[k] else 1 / (1 + math.exp(-z))
+    return p
+
+
+def test_votes_are_weighed_and_the_classifier_fitted(spark):
+    r = random.Random(4)
+    texts = [r.choice(("phone 555-123-%04d now", "order 555-123-%04d sent", "My name is Anna Smith%d", "write to a%d [at] b [dot] com", "card 4845 1681 1440 %04d", "tel +49 30 %07d")) % r.randrange(1, 9999) for _ in range(200)]
+    counts, xs, ys = Counter(), [], []
+    for t in texts:
+        base = pii.base_spans(t)
+        for a, k, e in base + pii.proposals(t, base):
+            v = pii.votes(t, a, k, e)
+            counts[(k, *v)] += 1
+            xs.append(pii.inputs(t, a, k, e, v))
+            ys.append((k, *v))
+    posterior, want = pii.aggregate(dict(counts))[0], brute_em(counts)
+    assert all(math.isclose(posterior[k], want[k], rel_tol=1e-6, abs_tol=1e-9) for k in counts)
+    total = sum(n**0.5 for n in counts.values())
+    weight = np.array([100 * counts[k] ** -0.5 / total * len(counts) for k in ys])
+    x, y, w = pii.matrix(*map(list, zip(*xs, strict=True))), np.array([want[k] for k in ys]), np.zeros(pii.WIDTH)
+    loss = lambda w: weight @ (np.logaddexp(0, x @ w) - y * (x @ w)) + pii.RIDGE / 2 * w @ w
+    got = pii.learn(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3))
+    for _ in range(2000):  # plain descent on the same loss
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= 0.02 * (x.T @ (weight * (p - y)) + pii.RIDGE * w) / weight.sum() * 10
+    assert loss(got) <= loss(w) + 1e-3 * abs(loss(w))
+    # the words around tell apart what the votes don't
+    assert np.abs(got[pii._DENSE :]).max() > 0.05
+
+
 def test_masks_lose_no_tolerated_window():
     for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
         for miss in combinations(range(n), n - math.ceil(decontaminate.SHARE * n)):
