@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from maskwright.llm import decontaminate, hmm, html, mixing, pii, quality, queries, simhash, sketch, substring, topk, toxicity, windows
@@ -487,18 +488,19 @@ def test_targets(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 500), min_size=1, max_size=60), st.floats(0, 3))
-def test_copies_stay_near(sizes, rate):
-    s = np.array(sorted(sizes, reverse=True))
-    c = mixing.copies(s, rate)
-    assert c.min() >= 0 and c.max() <= 3 and abs((c * s).sum() - rate * s.sum()) <= s.max() / 2 + 1e-6
+@given(st.lists(st.tuples(st.integers(0, 500), st.integers(1, 9), st.floats(0, 3)), min_size=1, max_size=60))
+def test_copies_stay_near(rows):
+    size, n, rate = map(np.array, zip(*sorted(rows, key=lambda r: -r[0]), strict=True))
+    low, more = mixing.copies(size, n, rate)
+    assert (more >= 0).all() and (more <= n).all() and (low + (more > 0) <= 3).all()
+    assert abs(((low * n + more) * size).sum() - (rate * size * n).sum()) <= size.max() / 2 + 1e-6
 
 
 def test_mix(spark):
     rows = [(i, prose(i, 10 + i % 50), None if i % 11 == 0 else f"s{i % 4}") for i in range(400)] + [(1, None, "s0"), (2, "", "only"), (None, "a b", "s1")]
-    docs = frame(spark, rows, clash=True)
+    docs = frame(spark, rows + [(9000, "the same words each time", "s3")] * 3000, clash=True)
     got = mixing.mix(docs).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) + 3000
     by = {}
     for r in got:
         by.setdefault((r.target, r.source_size), []).append(r)
@@ -509,12 +511,60 @@ def test_mix(spark):
     assert sorted(map(key, mixing.mix(docs.repartition(7)).collect())) == sorted(map(key, got))
     out = mixing.mixed(docs)
     assert out.columns == [*docs.columns, "copy_no"] and mixing.mix(frame(spark, [])).count() == 0 and mixing.mixed(frame(spark, [])).count() == 0
-
-
-def test_newton_finds_the_root(spark):
-    state = spark.createDataFrame([(100, 50.0), (100, 300.0), (7, 0.001), (0, 0.0), (5, 0.0)], "source_size long, target double")
-    got = [r["lambda"] for r in mixing.multipliers(state).collect()]
-    assert got[3:] == [None, None] and all(math.isclose(math.exp(x), t / s, rel_tol=1e-9) for x, (s, t) in zip(got, [(100, 50.0), (100, 300.0), (7, 0.001)], strict=False))
+    taken, mixed = Counter(), Counter()
+    for r in got:
+        taken[r.doc_id] += r.copies
+    for r in out.select(F.col(f"`{docs.columns[0]}`")).collect():
+        mixed[r[0]] += 1
+    assert mixed == +taken
+
+
+def brute_dual(kinds, targets, sizes):
+    """The same problem's solution by bisection within bisection: lambda of each source for a tilt, and the tilt."""
+    total = sum(sizes.values())
+    words = {k: k[1] * n for k, n in kinds.items()}
+    z = {k: math.log(max(1, k[1])) for k in kinds}
+    centre = sum(words[k] * z[k] for k in kinds) / total
+    z = {k: v - centre for k, v in z.items()}
+    rate = lambda x: min(3.0, math.exp(min(20, x)))
+
+    def solve(tilt):
+        out = {}
+        for s, t in targets.items():
+            if t >= 3 * sizes[s] * (1 - 1e-9):
+                out[s] = 20.0
+                continue
+            lo, hi = -30.0, 30.0
+            for _ in range(100):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if sum(words[k] * rate(mid + tilt * z[k]) for k in kinds if k[0] == s) > t else (mid, hi)
+            out[s] = (lo + hi) / 2
+        return out
+
+    lo, hi = -2.0, 2.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lam = solve(mid)
+        slope = sum(words[k] * rate(lam[k[0]] + mid * z[k]) * z[k] for k in kinds if k[0] in lam) + mixing.RIDGE * total * mid
+        lo, hi = (lo, mid) if slope > 0 else (mid, hi)
+    return solve((lo + hi) / 2), (lo + hi) / 2, z
+
+
+def test_newton_solves_the_dual(spark):
+    """Against bisection: multipliers, tilt and rates, with a source at its cap and rates at theirs."""
+    r = random.Random(8)
+    kinds = {(s, int(r.lognormvariate(4 + 0.5 * s, 0.8)) + 1): r.randrange(1, 30) for s in range(5) for _ in range(40)}
+    sizes = {s: sum(k[1] * n for k, n in kinds.items() if k[0] == s) for s in range(5)}
+    targets = {s: sizes[s] * f for s, f in enumerate((3.0, 1.9, 0.4, 0.7, 1.3))}
+    lam, tilt, z = brute_dual(kinds, targets, sizes)
+    table = spark.createDataFrame([(s, k, n, z[(s, k)]) for (s, k), n in kinds.items()], "source_no int, size long, n long, z double")
+    sources = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source_no int, source_size long, target double")
+    state, got = mixing.balance(table, sources)
+    assert abs(got - tilt) < 2e-3 and abs(tilt) > 0.02  # documents of one source differ in their rates
+    state = {r.source_no: r["lambda"] for r in state.collect()}
+    for s in sizes:
+        flow = sum(k[1] * n * min(3.0, math.exp(min(20.0, state[s] + got * z[k]))) for k, n in kinds.items() if k[0] == s)
+        assert math.isclose(flow, targets[s], rel_tol=1e-4), s
 
 
 def test_queries_and_pipeline(spark, duck):
