@@ -143,7 +143,8 @@ def remove(docs: DataFrame) -> DataFrame:
     repeat each other; repeated rows each come back.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = repeated_windows(rows).groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
+    # a document's stretches once each, however many rows have its id and text
+    found = repeated_windows(rows).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
 
     def run(batches):
         for b in batches:
