@@ -115,7 +115,7 @@ def rank(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    """Fit on about ``per_class`` labelled documents a class (never held-out ones)."""
+    """Fit on about ``per_class`` labelled documents a class (never held-out ones), one row an id: of several the one with the least features."""
     picked = common.label_sample(labels.select("doc_id", "quality"), "quality", 4, 2, per_class)
     text = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
@@ -125,8 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
                 [b.column("doc_id"), b.column("label"), pa.array([features(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))], ["doc_id", "label", "x"]
             )
 
-    rows = text.select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    each = text.select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x array<double>")
+    rows = each.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect()  # one an id, however often it is repeated
+    rows.sort(key=lambda r: r.doc_id)
     return fit(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.label for r in rows]))
 
 
