@@ -44,8 +44,15 @@ def buckets(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def fit(docs: list[np.ndarray], label: np.ndarray, l2: float = 2e-3, steps: int = 300) -> dict:
-    """Log-count ratios, then logistic regression on the scaled inputs (full-batch, momentum).
+def ratios(p: np.ndarray, q: np.ndarray, toxic: int, others: int) -> np.ndarray:
+    """Log-count ratio of each bucket by the toxic (p) and other (q) documents that hold it; 0 where it takes no part."""
+    ratio = np.log(((p + 1) / (toxic + 2)) / ((q + 1) / (others + 2)))
+    ratio[(p + q < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    return ratio
+
+
+def fit(docs: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, l2: float = 2e-3, steps: int = 300) -> dict:
+    """Logistic regression on the scaled inputs (full-batch, momentum). ``docs`` hold buckets with a ratio only.
 
     With one class only, every document scores as that class.
     """
@@ -54,12 +61,6 @@ def fit(docs: list[np.ndarray], label: np.ndarray, l2: float = 2e-3, steps: int
     weights = np.zeros(BUCKETS, np.float32)
     if not n or toxic in (0, n):
         return {"w": weights, "b": 3.0 if n and toxic else -3.0}
-    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for d, y in zip(docs, label, strict=True):
-        (p if y else q)[d] += 1
-    ratio = np.log(((p + 1) / (toxic + 2)) / ((q + 1) / (n - toxic + 2)))
-    ratio[(p + q < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    docs = [d[ratio[d] != 0] for d in docs]
     col, row = np.concatenate(docs), np.repeat(np.arange(n), [len(d) for d in docs])
     used, col = np.unique(col, return_inverse=True)
     x = ratio[used][col]
@@ -86,7 +87,11 @@ def score_text(model: dict, text: str | None) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    """Fit on about ``per_class`` labelled documents a class (never held-out ones)."""
+    """Fit on about ``per_class`` labelled documents a class (never held-out ones), one row an id: of several the one with the least buckets.
+
+    Buckets are counted where the documents lie (at most ``BUCKETS`` sums come to the driver); then each
+    document brings only the buckets that have a ratio.
+    """
     picked = common.label_sample(labels.select("doc_id", "toxic"), "toxic", 5, 0, per_class)
     text = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
@@ -95,10 +100,35 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
             found = [np.unique(buckets(t)).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "x"])
 
+    each = text.select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x binary")
+    each = common.staged(each.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")), "toxic")
+
+    def count(batches):
+        held = np.zeros((2, BUCKETS), np.int32)
+        for b in batches:
+            for y, x in zip(b.column("label").to_pylist(), b.column("x"), strict=True):
+                held[y][np.frombuffer(x.as_py(), np.int32)] += 1
+        at = np.flatnonzero(held.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[1][at], pa.int64()), pa.array(held[0][at], pa.int64())], ["bucket", "p", "q"])
+
+    sums = each.mapInArrow(count, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= LEAST_DOCS)
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    counted = sums.toArrow()
+    at = counted["bucket"].to_numpy()
+    p[at], q[at] = counted["p"].to_numpy(), counted["q"].to_numpy()
+    sizes = {r.label: r["count"] for r in each.groupBy("label").count().collect()}
+    ratio = ratios(p, q, sizes.get(1, 0), sizes.get(0, 0))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(ratio != 0))
+
+    def informative(batches):
+        bits = np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            kept = [x[bits[x]].tobytes() for x in (np.frombuffer(v.as_py(), np.int32) for v in b.column("x"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(kept, pa.binary())], ["doc_id", "label", "x"])
+
     # The rows are few, but each may be long: they come over one partition at a time.
-    rows = [(r.doc_id, bytes(r.x), r.label) for r in text.select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x binary").toLocalIterator()]
-    rows.sort()
-    return fit([np.frombuffer(x, np.int32) for _, x, _ in rows], np.array([y for *_, y in rows], np.int64))
+    rows = sorted((r.doc_id, bytes(r.x), r.label) for r in each.mapInArrow(informative, "doc_id long, label int, x binary").toLocalIterator())
+    return fit([np.frombuffer(x, np.int32) for _, x, _ in rows], np.array([y for *_, y in rows], np.int64), ratio)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
