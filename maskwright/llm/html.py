@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,7 +32,9 @@ _HINTS = frozenset("""ad ads advert adverts advertisement advertising sponsor sp
 _KEEP = frozenset("article main articlebody".split())
 _CONTAINERS = frozenset("article body div html main section td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
+# Quotes enclose a value only after an equals sign; one that is never closed ends the tag at the next >, and only the
+# last quote of a page can be such a one, so any page costs linear time however long its attributes are.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _CLOSES_P = _BLOCKS - {"body", "html", "title", "option"}
 
@@ -41,8 +44,6 @@ REACH, GAP = 1, 3
 SHARE, LEAST = 0.35, 120
 #: A line with more than this share of its characters in links weighs nothing.
 LINKED = 0.5
-#: Elements nested deeper count as their ancestor of this depth, so that any page costs linear time.
-DEPTH = 1000
 #: A hint that would leave out more than this share of the page's text is taken as a mistake.
 TOO_MUCH = 0.6
 
@@ -51,20 +52,45 @@ TOO_MUCH = 0.6
 class Line:
     text: str
     linked: int
-    out: tuple[int, ...]
+    #: Number of the innermost element left out that holds the line, or -1, and whether the line is a heading.
+    out: int
+    heading: bool
     article: int
     parent: int
     weight: int = 0
 
 
+@dataclass
+class LeftOut:
+    """An element that is left out: the one around it, whether its name says so (else an attribute),
+    whether it is the header of an article, and whether an article starts in it."""
+
+    around: int
+    named: bool
+    title: bool
+    holds: bool = False
+
+
 @dataclass
 class Page:
     lines: list[Line] = field(default_factory=list)
-    #: Of each element that is left out: whether its name says so (else an attribute), and whether an article starts in it.
-    named: list[bool] = field(default_factory=list)
-    holds: list[bool] = field(default_factory=list)
-    #: ... and whether it is the header of an article.
-    titles: list[bool] = field(default_factory=list)
+    left: list[LeftOut] = field(default_factory=list)
+
+
+@dataclass
+class Open:
+    """An open element, with what it has from those around it, so that no line walks up the page."""
+
+    name: str
+    number: int
+    #: Innermost element left out, outermost article (below body, if any), innermost container, headings open.
+    left: int
+    article: int
+    whole: int
+    container: int
+    headings: int
+    #: Place among the open elements of the innermost block or paragraph.
+    block: int
 
 
 def _attributes(raw: str) -> tuple[set[str], bool]:
@@ -86,29 +112,28 @@ def _attributes(raw: str) -> tuple[set[str], bool]:
 def parse(source: str) -> Page:
     """Lines of a page in order, each with its links' length and what encloses it."""
     page = Page()
-    stack: list[tuple[str, int, int, int, int]] = []  # name, number of the element left out or -1, number of the article or 0, number of the container or 0, number of the element
+    top = Open("", 0, -1, 0, 0, 0, 0, -1)
+    stack: list[Open] = []
+    named: Counter = Counter()  # open elements of each name
     parts: dict[tuple[int, str], int] = {}  # article of the elements of one name and parent whose attributes mark them
     text: list[str] = []
-    linked = links = articles = containers = elements = 0
+    linked = articles = containers = elements = 0
 
     def end_line() -> None:
         nonlocal linked
         if text:
             s = " ".join(_html.unescape("".join(text)).split())
             if s:
-                out = tuple(x[1] for x in stack if x[1] >= 0)
-                if any(x[0] in _HEADINGS for x in stack):  # an article's header keeps its headings
-                    out = tuple(k for k in out if not page.titles[k])
+                x = stack[-1] if stack else top
                 # the outermost article; a page marked as a whole counts where nothing in it is
-                article = next((x[2] for x in stack if x[2] and x[0] not in ("html", "body")), 0) or next((x[2] for x in stack if x[2]), 0)
-                page.lines.append(Line(s, linked, out, article, next((x[3] for x in reversed(stack) if x[3]), 0)))
+                page.lines.append(Line(s, linked, x.left, x.headings > 0, x.article or x.whole, x.container))
         text.clear()
         linked = 0
 
     def close(i: int) -> None:
         """End the elements from the i-th open one on."""
-        nonlocal links
-        links -= sum(x[0] == "a" for x in stack[i:])
+        for x in stack[i:]:
+            named[x.name] -= 1
         del stack[i:]
 
     at, final = 0, source.rfind(">")  # no tag starts after the last >
@@ -118,7 +143,7 @@ def parse(source: str) -> Page:
             lt = len(source)
         if lt > at:
             text.append(source[at:lt])
-            if links:
+            if named["a"]:
                 linked += len(" ".join(_html.unescape(source[at:lt]).split()))
         if lt == len(source):
             break
@@ -136,17 +161,14 @@ def parse(source: str) -> Page:
                 at = lt + 1
             continue
         at = m.end()
-        ends, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        name = name.lower()
+        ends, name, raw = m[1], m[2].lower(), m[3]
         if name == "br" or name in ("td", "th"):
             text.append(" ")
         if ends:
             if name in _BLOCKS:
                 end_line()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if named[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             continue
         if name in _RAW:
             if name == "title":
@@ -157,50 +179,64 @@ def parse(source: str) -> Page:
             continue
         if name in _BLOCKS:
             end_line()
-        if name in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in _BLOCKS:
-                    break
-        if name in ("li", "option") and stack and stack[-1][0] == name:
+        if name in _CLOSES_P and stack and stack[-1].block >= 0 and stack[stack[-1].block].name == "p":
+            close(stack[-1].block)
+        if name in ("li", "option") and stack and stack[-1].name == name:
             close(len(stack) - 1)
-        if name in _VOID or raw.endswith("/") and name not in _BLOCKS or len(stack) >= DEPTH:
+        if name in _VOID or raw.endswith("/") and name not in _BLOCKS:
             continue
         words, hidden = _attributes(raw) if raw.strip() else (set(), False)
-        number, article = -1, 0
+        around = stack[-1] if stack else top
+        left, article = around.left, 0
         if name in ("article", "main") or words & _KEEP and not words & _HINTS:
             articles += 1
-            article = articles if name in ("article", "main") else parts.setdefault((stack[-1][4] if stack else 0, name), articles)
-            for x in stack:
-                if x[1] >= 0:
-                    page.holds[x[1]] = True
+            article = articles if name in ("article", "main") else parts.setdefault((around.number, name), articles)
+            if left >= 0:
+                page.left[left].holds = True
         by_name = name in _NEVER or name in _ASIDE or hidden
         if by_name or not article and name not in ("html", "body") and words & _HINTS:
-            number = len(page.named)
-            page.named.append(by_name)
-            page.holds.append(False)
-            page.titles.append(name == "header" and any(x[2] for x in stack))
+            page.left.append(LeftOut(left, by_name, name == "header" and bool(around.article or around.whole)))
+            left = len(page.left) - 1
         containers += name in _CONTAINERS
-        links += name == "a"
         elements += 1
-        stack.append((name, number, article, containers if name in _CONTAINERS else 0, elements))
+        of_page = name in ("html", "body")
+        stack.append(Open(
+            name, elements, left, around.article or (0 if of_page else article), around.whole or article,
+            containers if name in _CONTAINERS else around.container, around.headings + (name in _HEADINGS), len(stack) if name in _BLOCKS else around.block,
+        ))
+        named[name] += 1
     end_line()
     return page
 
 
 def weigh(page: Page) -> None:
-    """Give each line its weight; cancel elements left out that hold the article or nearly all text."""
+    """Give each line its weight; cancel elements left out that hold the article or nearly all text.
+
+    A heading in the header of an article is kept. An element's number is above that of the one around it, so
+    sums go up, and verdicts down, in one pass each.
+    """
     total = sum(len(x.text) for x in page.lines) or 1
-    mass = [0] * len(page.named)
+    left = page.left
+    mass = [0] * len(left)  # text in each, headings in an article's header aside
+    headed = [0] * len(left)  # headings' text in each
     for x in page.lines:
-        for k in x.out:
-            mass[k] += len(x.text)
-    off = {k for k in range(len(mass)) if page.holds[k] or mass[k] > TOO_MUCH * total and not page.named[k]}
+        if x.out >= 0:
+            (headed if x.heading else mass)[x.out] += len(x.text)
+    for k in range(len(left) - 1, -1, -1):
+        around = left[k].around
+        if around >= 0:
+            mass[around] += mass[k]
+            headed[around] += headed[k]
+            left[around].holds |= left[k].holds
+    stands = [not (e.holds or mass[k] + (0 if e.title else headed[k]) > TOO_MUCH * total and not e.named) for k, e in enumerate(left)]
+    plain, heading = [False] * len(left), [False] * len(left)  # whether a line, and whether a heading, is left out here
+    for k, e in enumerate(left):
+        plain[k] = stands[k] or e.around >= 0 and plain[e.around]
+        heading[k] = stands[k] and not e.title or e.around >= 0 and heading[e.around]
     for x in page.lines:
-        x.out = tuple(k for k in x.out if k not in off)
-        x.weight = 0 if x.out or x.linked > LINKED * len(x.text) else len(x.text)
+        gone = x.out >= 0 and (heading if x.heading else plain)[x.out]
+        x.out = 1 if gone else -1
+        x.weight = 0 if gone or x.linked > LINKED * len(x.text) else len(x.text)
 
 
 def stretches(page: Page) -> list[list[Line]]:
@@ -208,7 +244,7 @@ def stretches(page: Page) -> list[list[Line]]:
     row: list[Line | None] = []
     before: Line | None = None
     for x in page.lines:
-        if before is not None and (x.article != before.article or bool(x.out) != bool(before.out)):
+        if before is not None and (x.article != before.article or x.out != before.out):
             row += [None] * GAP
         row.append(x)
         before = x
@@ -227,7 +263,7 @@ def stretches(page: Page) -> list[list[Line]]:
         if on and not inside:
             found.append([])
         inside = on
-        if inside and x is not None and not x.out and (x.weight or x.article):
+        if inside and x is not None and x.out < 0 and (x.weight or x.article):
             found[-1].append(x)
     return [x for x in found if x]
 
