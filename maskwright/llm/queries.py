@@ -60,16 +60,16 @@ def queries() -> dict:
 
 OP9_SQL = """
 with v as (
-    select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
     from embeddings
     where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
 ), s as (
-    select q.vec_id as query_id, c.vec_id as vec_id,
+    select q.row, q.vec_id as query_id, c.vec_id as vec_id,
         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
     from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
     where q.vec_id % 100 = 0
 ), r as (
-    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+    select *, row_number() over (partition by row order by score desc, vec_id) as rank from s
 )
 select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """
@@ -96,5 +96,26 @@ from d left join n using (doc_id) left join t using (doc_id)
 """
 
 
+OP5_SQL = r"""
+with b as (
+    select distinct item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark where text is not null
+), t as (
+    select distinct doc_id, text from documents
+), d as (
+    select doc_id, row_number() over () as row, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from t
+), x as (
+    select item_id, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as j from b
+), y as (
+    select doc_id, row, unnest(w) as word, generate_subscripts(w, 1) as i from d
+), m as (
+    select doc_id, row, item_id, n, least(n, 20) as size, i - j as shift, j from x join y using (word)
+), a as (
+    select doc_id, item_id, n, size, count(*) over (partition by row, item_id, shift order by j range between current row and (size - 1) following) as agreeing from m
+)
+select doc_id, item_id, max(agreeing)::int as agreeing, max(size)::int as "window" from a
+where agreeing >= case when n < 8 then n else ceil(size * 0.8) end group by doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_count_min": OP7_SQL, "op9_topk_branch_and_bound": OP9_SQL}
+    return {"op5_decontaminate_spaced_seeds": OP5_SQL, "op7_substring_count_min": OP7_SQL, "op9_topk_branch_and_bound": OP9_SQL}
