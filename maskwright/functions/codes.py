@@ -34,8 +34,9 @@ def hmac_hex(message: Column, key: bytes) -> Column:
 def base32_head(hex_: Column, length: int = LENGTH) -> Column:
     """The first ``length`` (at most 8) base32 letters of a hash in hex."""
     bits = F.conv(F.substring(hex_, 1, 10), 16, 10).cast("long")
-    letter = lambda k: F.substring(F.lit(ALPHABET), F.shiftright(bits, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1))
-    return F.concat(*(letter(k) for k in range(length)))
+    letter = lambda b, k: F.substring(F.lit(ALPHABET), F.shiftright(b, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1))
+    # bound to a variable, as the hash would be worked out for each letter where the whole stands within a lambda
+    return F.get(F.transform(F.array(bits), lambda b: F.concat(*(letter(b, k) for k in range(length)))), F.lit(0))
 
 
 def code(cls: Column, identity: Column, key: bytes, salt: int | Column = 0, length: int = LENGTH) -> Column:

@@ -1,4 +1,4 @@
-"""Spans of text as arrays of structs: found by regular expression, merged, and spliced, all in the JVM.
+"""Spans of text as arrays of structs, by expressions: found by regular expression, and merged.
 
 A span is struct(start, end, cls, raw, norm, suffix, src, ord); positions count code points from 0.
 """
@@ -45,22 +45,6 @@ def find(text: Column, pattern: str, cls: str, src: int, norm: Callable[[Column]
     return F.filter(some, good)
 
 
-def tails(text: Column, pattern: str, tail: str, cls: str, src: int, norm: Callable[[Column], Column], hint: str | None = None) -> Column:
-    """Spans of the part of each match that ``tail`` (a pattern up to the match's end) finds."""
-    def one(m: Column, i: Column) -> Column:
-        raw = F.regexp_extract(m["raw"], f"({tail})$", 1)
-        end = m["start"] + F.length(m["raw"])
-        return span(end - F.length(raw), end, F.lit(cls), raw, norm(raw), src, i)
-
-    return F.filter(F.transform(matches(text, pattern, hint), one), lambda s: s["norm"].isNotNull() & (s["raw"] != ""))
-
-
-def around(text: Column, start: Column, before: int, after: int) -> Column:
-    """Up to ``before`` code points before a position and ``after`` from it on, in lower case."""
-    left = F.greatest(F.lit(0), start - before)
-    return F.lower(F.substring(text, left + 1, start - left + after))
-
-
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -77,27 +61,3 @@ def merge(spans: Column, drop: Callable[[Column], Column] | None = None) -> Colu
     )
     take = lambda acc, s: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= s["start"]), F.concat(acc, F.array(s))).otherwise(acc)
     return F.when(F.size(spans) > 0, F.aggregate(order, none(), take)).otherwise(none())
-
-
-def reserve(groups: list[Column]) -> Column:
-    """Spans in the order of ``groups``: a span stands unless one taken before it overlaps."""
-    take = lambda acc, s: F.when(F.exists(acc, lambda t: overlap(t, s)), acc).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(F.concat(*groups), none(), take)
-
-
-def splice(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
-    """The text with each span (in order, none overlapping) replaced by ``put(span)``."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put(s)).alias("out"), s["end"].alias("at"))
-    return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
-def quoted(value: Column) -> Column:
-    """A pattern for the value with its white space free: for use between letter boundaries."""
-    escaped = F.regexp_replace(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")), r"([^\p{L}\p{N}\s])", r"\\$1")
-    return F.regexp_replace(escaped, " ", r"[\\s\\u00a0]+")
-
-
-def bounded(value: Column) -> Column:
-    """Matches the value in any case and spacing where no letter touches it."""
-    return F.concat(F.lit(r"(?iu)(?<!\p{L})"), quoted(value), F.lit(r"(?!\p{L})"))

@@ -1,219 +1,54 @@
-"""Rule detectors: text in, arrays of spans out, without leaving the JVM."""
+"""Detectors as functions of a text column, giving arrays of spans.
+
+E-mails are found by expressions alone. The other detectors look around each match, reserve places and check digits: they
+are the functions of ``scan``, run in Arrow batches, one pass a text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions import checks, codes, normalize
+from maskwright.functions import arrow, normalize, scan
 from maskwright.functions import spans as S
 
-# Patterns, context words and windows of the rules.
-PHONE = r"(?U)(?<![0-9+])(?:(?:\+7|8|7)(?:[\s\-()]*[0-9]){10}|9[0-9]{9})(?![0-9])"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-SNILS = r"(?U)(?<![0-9])[0-9]{3}-[0-9]{3}-[0-9]{3}\s?[0-9]{2}(?![0-9])"
-INN12 = r"(?<![0-9])[0-9]{12}(?![0-9])"
-PASSPORT = r"(?U)(?<![0-9])[0-9]{2}\s?[0-9]{2}\s?№?\s?[0-9]{6}(?![0-9])"
-STREET = r"(?:ул\.|улица|пр-т|проспект|б-р|бульвар|шоссе|ш\.|пер\.|переулок)"
-ADDRESS = r"(?U)" + STREET + r"\s+[А-ЯЁA-Z][^,;|\n]{2,40}(?:[,;]?\s*(?:д\.|дом|кв\.|квартира|корп\.?)\s*[\w\-/]{1,10})*"
-BIRTH_DATE = r"(?<![0-9])[0-9]{1,2}[.\-/][0-9]{1,2}[.\-/][0-9]{4}(?![0-9])"
-ISO_BIRTH_DATE = r"(?<=[0-9]{4}-)[0-9]{2}-[0-9]{2}(?![0-9])"
-CLIENT_ID = (
-    r"(?iuU)(?:client_id|client\s?id|ид\s?клиента|№\s?договора|договор\s?№|№\s?карты|карта\s?№|анкета\s?№|№\s?анкеты|номер\s?карты)"
-    r"(?:\\?[\"'])?\s*[:№=]?\s*(?:\\?[\"'])?[0-9]{3,}"
-)
-KNOWN_NUMBER = r"(?<![0-9])[0-9]{7,12}(?![0-9])"
-#: A cheap sign of a number of at least ten digits, separators within.
-LONG_NUMBER = r"(?U)(?:[0-9][\s\-()№]*){10}"
-DATE_WORDS = ("г.р", "г р", "рождения", "родился", "родилась", "дата рождения", "др клиента")
-DOCUMENT_WORDS = ("паспорт", "инн", "снилс", "документ", "серия и номер", "выдан")
-NEAR = 32
-RU_WORDS = (
-    "паспорт", "паспорта", "паспорту", "серия", "серии", "выдан", "выдано", "выдана", "снилс", "страховой", "страхового",
-    "инн", "огрн", "огрнип", "кпп", "бик", "счёт", "счет", "счёта", "счета", "расчётный", "расчетный", "полис", "омс",
-    "удостоверение", "водительское", "кем", "отделом", "уфмс", "мвд",
-)
-RU_NEAR = 48
-CLIENT_CONTEXT = r"(?iu)фио|телефон|клиент|таблиц|выгрузк|анкет|[0-9]{5}|;|\|"
-
-
-def _has(text: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
-
-
-def document_looks_real(text: Column, start: Column, raw: Column) -> Column:
-    """A document word near by settles it; else 12 digits need their check digits, 10 must not be a
-    time, and all but the 12 need a space or dash within."""
-    d = normalize.digits(raw)
-    split = raw.rlike(r"(?U)[\s-]")
-    guarded = F.when(F.length(d) == 12, checks.inn12_ok(d) & ~checks.is_epoch(d)).when((F.length(d) == 10) & checks.is_epoch(d), F.lit(False)).otherwise(split)
-    return _has(S.around(text, start, NEAR, NEAR), DOCUMENT_WORDS) | guarded
-
-
-def phones(text: Column) -> Column:
-    return S.find(text, PHONE, "T", 0, normalize.phone, hint=LONG_NUMBER)
+EMAIL = scan.EMAIL
 
 
 def emails(text: Column) -> Column:
     return S.find(text, EMAIL, "E", 1, normalize.email, hint="@")
 
 
-def documents(text: Column) -> Column:
-    """SNILS, 12-digit INN and passport numbers by shape and plausibility."""
-    return F.concat(*(S.find(text, p, "I", 2 + i, normalize.document, document_looks_real, LONG_NUMBER) for i, p in enumerate((SNILS, INN12, PASSPORT))))
-
-
-def addresses(text: Column) -> Column:
-    return S.find(text, ADDRESS, "A", 5, normalize.address, hint="[урпбш]")
-
-
-def _near_birth_word(text: Column, start: Column) -> Column:
-    return _has(S.around(text, start, NEAR, NEAR), DATE_WORDS)
-
-
-def birth_dates(text: Column) -> Column:
-    """Day and month of dates beside a birth word; the year stays open and out of the span."""
-    def dotted(m: Column, i: Column) -> Column:
-        date = normalize.split_birth_date(m["raw"])
-        raw = F.regexp_replace(m["raw"], r"[.\-/][0-9]{4}$", "")
-        return S.span(m["start"], m["start"] + F.length(raw), F.lit("D"), raw, date["day_month"], 6, i, F.concat(F.lit("."), date["year"]))
-
-    def iso(m: Column, i: Column) -> Column:
-        month, day = F.substring(m["raw"], 1, 2), F.substring(m["raw"], 4, 2)
-        good = day.cast("int").between(1, 31) & month.cast("int").between(1, 12)
-        return S.span(m["start"], m["start"] + 5, F.lit("D"), m["raw"], F.when(good, F.concat(day, F.lit("."), month)), 7, i)
-
-    keep = lambda s: s["norm"].isNotNull() & _near_birth_word(text, s["start"])
-    return F.concat(F.filter(F.transform(S.matches(text, BIRTH_DATE, "[0-9]{4}"), dotted), keep), F.filter(F.transform(S.matches(text, ISO_BIRTH_DATE, "[0-9]{4}-"), iso), keep))
-
-
-def client_ids(text: Column) -> Column:
-    return S.tails(text, CLIENT_ID, "[0-9]{3,}", "C", 8, normalize.client_id, "[0-9]{3}")
-
-
-#: Rules for Russian identifiers in their order: name, pattern, whether a context word is needed, check.
-RU_RULES = (
-    ("снилс", r"(?U)[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{2}", False, checks.snils_ok),
-    ("инн", r"[0-9]{12}|[0-9]{10}", False, lambda v: checks.inn_ok(v) & ~checks.is_epoch(v)),
-    ("огрнип", r"[0-9]{15}", False, checks.ogrnip_ok),
-    ("огрн", r"[0-9]{13}", False, checks.ogrn_ok),
-    ("паспорт", r"(?U)[0-9]{2}\s?[0-9]{2}\s?№?\s?[0-9]{6}", True, None),
-    ("кпп", r"[0-9]{4}[0-9A-ZА-Я]{2}[0-9]{3}", True, None),
-    ("бик", r"04[0-9]{7}", True, None),
-    ("расчётный счёт", r"[0-9]{20}", True, None),
-    ("полис ОМС", r"[0-9]{16}", True, None),
-    ("водительское", r"(?U)[0-9]{2}\s?[А-Я]{2}\s?[0-9]{6}", True, None),
-)
-
-
-def ru_ids(text: Column) -> Column:
-    """Russian identifiers. Rules reserve their spans in order; ``suffix`` names the rule.
+phones = arrow.of_text(scan.phones)
+#: SNILS, 12-digit INN and passport numbers by shape and plausibility.
+documents = arrow.of_text(scan.documents)
+addresses = arrow.of_text(scan.addresses)
+#: Day and month of dates beside a birth word; the year stays open and out of the span.
+birth_dates = arrow.of_text(scan.birth_dates)
+client_ids = arrow.of_text(scan.client_ids)
+#: Ten kinds of Russian identifiers in their order of priority; ``suffix`` names the kind.
+ru_ids = arrow.of_text(scan.ru_ids)
+#: All rule detectors, merged.
+rules = arrow.of_text(scan.rules)
+#: Values of pasted tables under known headings.
+tabular = arrow.of_text(scan.tabular)
+#: Standalone runs of 7 to 12 digits: candidates for numbers known to the dictionary.
+number_runs = arrow.of_text(scan.number_runs)
+#: Codes in all surfaces, damaged copies of compact ones too; canonical form in norm.
+code_spans = arrow.of_text(scan.code_spans)
 
-    A number is never part of a longer one; check digits decide where there are any, else a context word.
-    """
-    def keep(need: bool, check):
-        def good(t: Column, start: Column, raw: Column) -> Column:
-            end = start + F.length(raw)
-            alone = ~F.substring(t, end + 1, F.lit(1)).rlike("[0-9]") & ((start == 0) | ~F.substring(t, start, F.lit(1)).rlike("[0-9]"))
-            near = S.around(t, start, RU_NEAR, 0), F.lower(F.substring(t, end + 1, F.lit(RU_NEAR)))
-            context = _has(near[0], RU_WORDS) | _has(near[1], RU_WORDS) if need else F.lit(True)
-            return alone & context & (check(raw) if check else F.lit(True))
 
-        return good
-
-    def named(name: str):
-        return lambda s: s.withField("suffix", F.lit(name))
-
-    found = [F.transform(S.find(text, p, "I", 9, normalize.document, keep(need, check)), named(n)) for n, p, need, check in RU_RULES]
-    return F.when(text.rlike("[0-9]{4}"), S.reserve(found)).otherwise(S.none())
-
-
-def rules(text: Column, drop=None) -> Column:
-    """All rule detectors, merged."""
-    without_rule = F.transform(ru_ids(text), lambda s: s.withField("suffix", F.lit("")))
-    return S.merge(F.concat(phones(text), emails(text), documents(text), addresses(text), birth_dates(text), client_ids(text), without_rule), drop)
-
-
-# Header cells and the class of their columns.
-HEADERS = {
-    "фио": "P", "ф.и.о": "P", "имя": "P", "фамилия": "P", "клиент": "P", "телефон": "T", "тел": "T", "тел.": "T", "phone": "T", "мобильный": "T",
-    "e-mail": "E", "email": "E", "почта": "E", "адрес": "A", "дата рождения": "D", "дата рожд": "D", "др": "D",
-    "client_id": "C", "id клиента": "C", "номер договора": "C", "номер карты": "C", "№ договора": "C", "№ карты": "C",
-}
-DELIMITERS, HEADER_CELL = (",", ";", "\t", "|"), 60
-
-
-def tabular(text: Column) -> Column:
-    """Values of pasted tables: columns under known headings of the first header line.
-
-    The delimiter is the most frequent of four. A span covers its whole cell with padding and
-    quotes; a birth date only its day and month, from the start of the cell.
-    """
-    count = lambda d: F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))
-    best = F.greatest(*(count(d) for d in DELIMITERS))
-    delimiter = F.lit(",")
-    for d in reversed(DELIMITERS):
-        delimiter = F.when((best > 0) & (count(d) == best), F.lit(d)).otherwise(delimiter)
-    lines = F.split(text, "\n", -1)
-    cells = lambda line: F.split(line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")), -1)
-    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r'^"+|"+$', "")
-    kinds = F.create_map(*(F.lit(x) for pair in HEADERS.items() for x in pair))
-    kind = lambda c: F.try_element_at(kinds, F.lower(clean(c)))
-    is_header = lambda line: F.exists(cells(line), lambda c: kind(c).isNotNull()) & (F.size(cells(line)) >= 2) & F.forall(cells(line), lambda c: F.length(clean(c)) <= HEADER_CELL)
-    at = F.array_position(F.transform(lines, is_header), True).cast("int")  # from 1; 0: none
-    columns = F.transform(cells(F.get(lines, at - 1)), kind)
-    begin = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
-
-    def of_line(line: Column, i: Column) -> Column:
-        own = cells(line)
-
-        def of_cell(c: Column, k: Column) -> Column:
-            cls, raw = F.get(columns, k), clean(c)
-            start = begin(i) + F.aggregate(F.slice(own, 1, k), F.lit(0), lambda a, x: a + F.length(x) + 1)
-            date = normalize.split_birth_date(raw)
-            # the part before the four-digit year; a year of two digits keeps its first, and a year in front leaves nothing
-            day_month = F.when(raw.rlike(r"[.\-/][0-9]{4}$"), F.regexp_replace(raw, r"[.\-/ ]+[0-9]{4}$", "")).when(raw.rlike(r"[.\-/][0-9]{2,3}$") & ~raw.rlike("^[0-9]{4}-"), F.regexp_replace(F.substring(raw, F.lit(1), F.length(raw) - 1), r"[.\-/ ]+$", ""))
-            day_month = F.when(date.isNotNull(), day_month)
-            is_date = cls == "D"
-            good = cls.isNotNull() & raw.rlike(r"[\p{L}\p{N}]") & ~raw.startswith("⟦") & ~codes.is_code(raw)
-            norm = F.when(good, F.when(is_date, F.when(day_month.isNotNull(), date["day_month"])).otherwise(normalize.normalize(cls, raw)))
-            end = start + F.when(is_date, F.length(day_month)).otherwise(F.length(c))
-            return S.span(start, end, cls, F.when(is_date, day_month).otherwise(raw), norm, 10, i * 1000 + k, F.when(is_date, F.concat(F.lit("."), date["year"])).otherwise(F.lit("")))
-
-        return F.transform(own, of_cell)
-
-    rows = F.flatten(F.transform(lines, lambda line, i: F.when((i >= at) & (F.trim(line) != ""), of_line(line, i)).otherwise(S.none())))
-    return F.when((at > 0) & F.contains(text, F.lit("\n")), S.merge(F.filter(rows, lambda s: s["norm"].isNotNull()))).otherwise(S.none())
-
-
-def number_runs(text: Column) -> Column:
-    """Standalone runs of 7 to 12 digits: candidates for numbers known to the dictionary."""
-    return S.find(text, KNOWN_NUMBER, "?", 11, lambda raw: raw)
+def rules_but(words: scan.Vocabulary):
+    """All rule detectors but for a deployment's own addresses and telephones."""
+    return arrow.of_text(lambda text: scan.merge(s for s in scan.every_rule(text) if not words.constant(s)))
 
 
 def in_client_context(text: Column, start: Column, end: Column, radius: int = 40) -> Column:
     left = F.greatest(F.lit(0), start - radius)
-    return F.substring(text, left + 1, end + radius - left).rlike(CLIENT_CONTEXT)
+    return F.substring(text, left + 1, end + radius - left).rlike("(?iu)" + scan.CLIENT_CONTEXT.pattern)
 
 
 def boundary_ok(text: Column, start: Column, end: Column) -> Column:
     """No letter touches the span."""
     before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))
     return ~before.rlike(r"\p{L}") & ~F.substring(text, end + 1, F.lit(1)).rlike(r"\p{L}")
-
-
-def inside_link(text: Column, start: Column, end: Column) -> Column:
-    """The span is glued to a URL, path or identifier."""
-    before = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise(F.lit(""))
-    after = F.substring(text, end + 1, F.lit(1))
-    left = F.greatest(F.lit(0), start - 3)
-    return before.rlike(r"[/\\.\-=&?:@]") | after.rlike(r"[/\\?&=:@]") | F.contains(F.substring(text, left + 1, start - left), F.lit("://")) | F.contains(F.substring(text, end + 1, F.lit(4)), F.lit("://"))
-
-
-def code_spans(text: Column) -> Column:
-    """Codes in their strict surfaces, canonical form in norm; a bare one inside a frame doesn't count again."""
-    find = lambda p, src: F.transform(S.matches(text, p), lambda m, i: S.span(m["start"], m["start"] + F.length(m["raw"]), F.upper(F.regexp_extract(m["raw"], "[PTEDAICptedaic]", 0)), m["raw"], codes.canonical(m["raw"]), src, i))
-    return S.reserve([find(codes.FRAMED, 0), find(codes.BARE, 1), find(codes.COMPACT_IN_TEXT, 2)])

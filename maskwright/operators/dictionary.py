@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import codes, normalize
@@ -108,12 +108,13 @@ def noise(words: DataFrame, digests: DataFrame, key: bytes) -> DataFrame:
     )
 
 
-def capped(rows: DataFrame, order: list[Column], limit: int = 50) -> DataFrame:
-    """Rows with verdict: the first ``limit`` by ``order`` are accepted, others over the limit.
+def capped(rows: DataFrame, order: list[Column], key: list[str], limit: int = 50) -> DataFrame:
+    """Rows (of one ``key`` each) with verdict: the first ``limit`` by ``order`` are accepted, others over the limit.
 
-    The place counts by hash groups first where ``order`` starts with one; the cap itself is the feature.
+    Each task keeps its own first ones, so no task sorts the table; the cap itself is the feature.
     """
-    return rows.withColumn("verdict", F.when(F.row_number().over(Window.orderBy(*order)) <= limit, "accepted").otherwise("over_limit"))
+    first = rows.orderBy(*order).limit(limit).select(*key, F.lit("accepted").alias("verdict"))
+    return rows.join(F.broadcast(first), key, "left").withColumn("verdict", F.coalesce("verdict", F.lit("over_limit")))
 
 
 def first_values(rows: DataFrame) -> DataFrame:
@@ -135,3 +136,36 @@ def classify_field(value: Column) -> Column:
         .when(~letters, out(None, cleaned, "digits"))
         .otherwise(out("P", cleaned, "name"))
     )
+
+
+def shape_class(value: Column) -> Column:
+    """What a value is by its shape alone: T, E, D, C (all digits, shorter than a telephone) or P; null for nothing."""
+    v = normalize.collapsed(value)
+    d, letters = normalize.digits(v), v.rlike(r"\p{L}")
+    return (
+        F.when(v == "", None)
+        .when(normalize.email(v).isNotNull(), "E")
+        .when(normalize.split_birth_date(v).isNotNull(), "D")
+        .when(~letters & (F.length(d) >= 7), "T")
+        .when(~letters & (F.length(d) >= 3), "C")
+        .when(letters, "P")
+    )
+
+
+def noise_kind(value: Column, in_layer: Column, own: Column) -> Column:
+    """Why a would-be name is noise, null if it is none: what the open layer has never is; else empty, own_word, digits within, one letter, or too many words."""
+    v = normalize.collapsed(value)
+    return (
+        F.when(F.coalesce(in_layer, F.lit(False)), None)
+        .when(v == "", "empty")
+        .when(own, "own_word")
+        .when(v.rlike("[0-9]"), "digits")
+        .when(F.length(F.regexp_replace(v, r"[^\p{L}]", "")) < 2, "one_letter")
+        .when(F.size(F.split(v, " ")) > 4, "sentence")
+    )
+
+
+def lexicon(spark, raw: dict[str, list[str]]) -> DataFrame:
+    """(category, word) of a service lexicon, for measuring only: blank words and repeats are left out, categories in order."""
+    rows = dict.fromkeys((c.strip().lower(), " ".join(w.split()).lower()) for c, ws in raw.items() for w in ws if w.strip())
+    return spark.createDataFrame(list(rows) or [("", "")], "category string, word string").where("word != ''")

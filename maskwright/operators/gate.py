@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions import spans as S
+from maskwright.functions import arrow
 
 from . import detect
 
@@ -16,13 +16,12 @@ PASSES, SAMPLES, SHOWN = 3, 3, 25
 
 def unmasked(outgoing: Column, detector: Callable[[Column], Column] = detect.rules) -> Column:
     """Findings in an outgoing text that don't touch a code (no original to compare with)."""
-    known = detect.code_spans(outgoing)
-    return F.filter(detector(outgoing), lambda f: ~F.exists(known, lambda c: S.overlap(f, c)) & ~f["raw"].rlike(r"⟦|⟧|\[\["))
+    return arrow.free(detector(outgoing), detect.code_spans(outgoing))
 
 
 def survivors(original: Column, spans: Column, outgoing: Column) -> Column:
     """Findings of the original that can still be read in the outgoing text, but for those inside links."""
-    return F.filter(spans, lambda s: (F.trim(s["raw"]) != "") & ~detect.inside_link(original, s["start"], s["end"]) & F.regexp_like(outgoing, S.bounded(s["raw"])))
+    return F.transform(arrow.survivors(original, spans, outgoing), lambda i: F.get(spans, i))
 
 
 def masked_sample(original: Column, span: Column) -> Column:
@@ -34,15 +33,13 @@ def masked_sample(original: Column, span: Column) -> Column:
     return F.concat(head, F.lit("("), F.length(value).cast("string"), F.lit(") | "), shape)
 
 
-def repair(df: DataFrame, put: Callable[[Column], Column], passes: int = PASSES) -> DataFrame:
-    """``df`` (original, spans, outgoing) with outgoing repaired: survivors replaced by the codes that ``put`` issues.
+def repair(df: DataFrame, put: Column, passes: int = PASSES) -> DataFrame:
+    """``df`` (original, spans, outgoing) with outgoing repaired: survivors replaced by ``put``, the codes of the spans.
 
-    Up to ``passes`` times; the ``survivors`` left are for the verdict.
+    Up to ``passes`` times; the ``survivors`` left are for the verdict. A text that passes the gate is not touched.
     """
-    for _ in range(passes):
-        df = df.withColumn("survivors", survivors(F.col("original"), F.col("spans"), F.col("outgoing")))
-        df = df.withColumn("outgoing", F.when(F.size("survivors") > 0, F.aggregate("survivors", F.col("outgoing"), lambda t, s: F.regexp_replace(t, S.bounded(s["raw"]), put(s)))).otherwise(F.col("outgoing")))
-    return df.withColumn("survivors", survivors(F.col("original"), F.col("spans"), F.col("outgoing")))
+    df = df.withColumn("_done", arrow.finished(F.col("original"), F.col("spans"), put, F.coalesce("outgoing", F.lit("")), passes))
+    return df.withColumn("outgoing", F.col("_done.text")).withColumn("survivors", F.transform("_done.left", lambda i: F.get("spans", i))).drop("_done")
 
 
 def verdict(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,14 +40,20 @@ def glob_pattern(glob: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
 
 
+#: Clients that a table of settings may name, so that it is surely small enough to be sent to every task.
+CLIENTS = 10_000
+
+
 def identify(requests: DataFrame, clients: DataFrame) -> DataFrame:
     """requests (req_id, header, client_key, user_agent) with channel, source and detail.
 
-    ``clients`` (ord, channel, header_value, key_sha256, patterns) is a table of settings. A
+    ``clients`` (ord, channel, header_value, key_sha256, patterns) is a table of settings, at most CLIENTS rows. A
     header names the channel; else a presented key must be known, and an unknown one ends
     the search; else the first client whose pattern fits the user agent. Only the agents'
     distinct values meet the patterns.
     """
+    if clients.limit(CLIENTS + 1).count() > CLIENTS:
+        raise ValueError(f"more than {CLIENTS} clients")
     clients = F.broadcast(clients)
     by_header = clients.select(F.lower(F.trim("header_value")).alias("named"), F.col("channel").alias("header_channel")).where("named is not null")
     by_key = clients.select(F.col("key_sha256").alias("fp"), F.col("channel").alias("key_channel")).where("fp is not null")
@@ -73,6 +79,12 @@ def rarity(codes_of: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     return asks.join(persons, "req_id", "left").select("req_id", n.alias("persons"), (F.col("asks") & n.between(1, k - 1)).alias("rare"))
 
 
+def with_gaps(found: DataFrame) -> DataFrame:
+    """found (doc_id, text, start, end, ...) with between: the text since the code before, empty at the first."""
+    last = F.lag("end").over(Window.partitionBy("doc_id").orderBy("start"))
+    return found.withColumn("between", F.when(last.isNull(), F.lit("")).otherwise(F.substring("text", last + 1, F.col("start") - last))).drop("text")
+
+
 def name_runs(found: DataFrame, gap: int = 2) -> DataFrame:
     """found (doc_id, start, end, cls, token, between: text since the previous code) of person codes with
     run and place: codes stand in one run while at most ``gap`` white-space characters part them."""
@@ -96,3 +108,19 @@ def refused(runs: DataFrame, combos: DataFrame, key: bytes) -> DataFrame:
     bad = pair.unionByName(triple).join(combos.select("digest").distinct(), "digest", "left_anti")
     places = bad.select("doc_id", "run", F.explode(F.sequence("place", F.col("place") + F.col("width") - 1)).alias("place")).distinct()
     return runs.join(places, ["doc_id", "run", "place"]).select("doc_id", "start")
+
+
+def identity_report(requests: DataFrame, clients: DataFrame, allowed: list[str], restore_unknown: bool = False) -> DataFrame:
+    """(req_id, channel, source, detail, decision, reason) of each request: who it was taken for, and why its answer is restored or not."""
+    told = identify(requests, clients)
+    decision = decide(F.col("channel"), allowed, restore_unknown)
+    name = channel_name(F.col("channel"))
+    reason = (
+        F.when(name.isin(*BLOCKED), "channel_never_restored")
+        .when((name == "") & (F.col("detail") == "key_not_configured"), "key_not_configured")
+        .when((name == "") & (decision == RESTORE), "unknown_client_mode")
+        .when(name == "", "client_unknown")
+        .when(decision == RESTORE, F.concat(F.lit("allowed_by_"), F.col("source")))
+        .otherwise("channel_not_allowed")
+    )
+    return told.withColumn("decision", decision).withColumn("reason", reason)

@@ -11,29 +11,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions import codes
+from maskwright.functions import arrow, codes, normalize
+from maskwright.session import settled
 
 FORMS, TTL_DAYS = 8, 90
 
 
+def matches_identity(cls: Column, value: Column, identity: Column) -> Column:
+    """Whether a stored value is of this identity: by its canonical form, or as a name by its key. Keyed identities match no readable value."""
+    return F.coalesce((normalize.normalize(cls, value) == identity) | (cls == "P") & (normalize.identity_key(value) == identity), F.lit(False))
+
+
 def assign(values: DataFrame, key: bytes, registry: DataFrame | None = None, salts: int = codes.SALTS, length: int = codes.LENGTH) -> DataFrame:
     """(cls, identity, token, salt) for the distinct identities of ``values`` (cls, identity, first_seen).
 
     Each round gives the identities still without a code their next candidate. A candidate
-    that the registry holds for another identity is taken; of several that want one, the
-    first seen gets it (ties by identity). Rounds end when all have one: usually the
-    first, as codes have 40 bits. Running out of candidates is an error.
+    that the registry holds for another identity is taken: a row without identity is held by whom its value
+    matches, and by nobody else. Of several that want a free one, the first seen gets it (ties by identity).
+    Rounds end when all have one: usually the first, as codes have 40 bits. Running out of candidates is an error.
     """
     wanted = values.groupBy("cls", "identity").agg(F.min("first_seen").alias("first_seen"))
-    held = None if registry is None else registry.select("token", F.col("identity").alias("holder"))
+    held = None
+    if registry is not None:
+        value = F.col("value") if "value" in registry.columns else F.lit(None).cast("string")
+        held = registry.select("token", F.col("identity").alias("holder"), value.alias("held_value"))
+    none = F.lit(None).cast("string")
     done: list[DataFrame] = []
     for salt in range(salts):
         tried = wanted.withColumn("token", codes.code(F.col("cls"), F.col("identity"), key, salt, length))
-        taken = reduce(DataFrame.unionByName, [*([held] if held is not None else []), *(d.select("token", F.col("identity").alias("holder")) for d in done)]) if held is not None or done else None
-        tried = tried.withColumn("holder", F.lit(None).cast("string")) if taken is None else tried.join(taken, "token", "left")
+        taken = [*([held] if held is not None else []), *(d.select("token", F.col("identity").alias("holder"), none.alias("held_value")) for d in done)]
+        if taken:
+            tried = tried.join(reduce(DataFrame.unionByName, taken).withColumn("taken", F.lit(True)), "token", "left")
+        else:
+            tried = tried.withColumn("holder", none).withColumn("held_value", none).withColumn("taken", F.lit(False))
         first = Window.partitionBy("token").orderBy("first_seen", "identity")
-        judged = tried.withColumn("place", F.row_number().over(first)).withColumn("won", F.coalesce(F.col("holder") == F.col("identity"), F.col("place") == 1))
-        judged = judged.withColumn("won", F.when(F.col("holder").isNotNull(), F.col("holder") == F.col("identity")).otherwise(F.col("won"))).checkpoint()
+        own = F.coalesce(F.col("holder") == F.col("identity"), matches_identity(F.col("cls"), F.col("held_value"), F.col("identity")))
+        judged = tried.withColumn("place", F.row_number().over(first))
+        judged = settled(judged.withColumn("won", F.when(F.coalesce("taken", F.lit(False)), own).otherwise(F.col("place") == 1)))
         done.append(judged.where("won").select("cls", "identity", "first_seen", "token", F.lit(salt).alias("salt")))
         wanted = judged.where("not won").select("cls", "identity", "first_seen")
         if wanted.isEmpty():
@@ -101,21 +115,73 @@ def form_at(forms: Column, index: Column, identity: Column, value: Column) -> Co
     return F.coalesce(F.get(forms, index), same, readable, value, F.get(forms, F.lit(0)))
 
 
-def restore(texts: DataFrame, registry: DataFrame, allowed: DataFrame, key: str = "doc_id") -> DataFrame:
+def restore(texts: DataFrame, registry: DataFrame, allowed: DataFrame, key: str = "doc_id", refused: DataFrame | None = None) -> DataFrame:
     """(key, restored, replaced): codes of ``texts`` (key, text, spans of codes) replaced by forms.
 
     Only codes that ``allowed`` (key, token) lists for the text are restored: the n-th occurrence of a
-    code takes its n-th form. Codes that are ambiguous, unknown or not allowed stay. Codes meet the
-    registry one row each; the text waits on its own side until the spans come back.
+    code takes its n-th form. Codes that are ambiguous, unknown or not allowed stay, and so do those at the places ``refused`` (key, start).
+    Codes meet the registry one row each, and only rows of codes that are asked for are looked through; the text waits on its own side until the spans come back.
     """
+    met = matched(texts, registry, allowed, key)
+    if refused is not None:
+        met = met.join(refused.select(key, "start"), [key, "start"], "left_anti")
+    put = F.struct("start", "end", "form")
+    found = met.groupBy(key).agg(F.array_sort(F.collect_list(put)).alias("puts"))
+    puts = F.coalesce("puts", F.array().cast("array<struct<start:int,end:int,form:string>>"))
+    return texts.join(found, key, "left").select(key, arrow.spliced(F.col("text"), puts, F.transform(puts, lambda p: p["form"])).alias("restored"), F.size(puts).alias("replaced"))
+
+
+def matched(texts: DataFrame, registry: DataFrame, allowed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, start, end, token, form, value) of the codes in ``texts`` that may be restored, each with what it is restored to."""
     each = texts.select(key, F.explode("spans").alias("s")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.norm").alias("token"))
     nth = Window.partitionBy(key, "token").orderBy("start")
     each = each.withColumn("n", F.row_number().over(nth) - 1).join(allowed.select(key, "token").distinct(), [key, "token"], "left_semi")
-    known = registry.join(integrity(registry).select("token"), "token", "left_anti")
+    asked = registry.join(allowed.select("token").distinct(), "token", "left_semi")
+    known = asked.groupBy("token").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("value").alias("values"), F.count_distinct("identity").alias("persons"),
+        F.first("forms").alias("forms"), F.first("identity").alias("identity"), F.first("value").alias("value"),
+    ).where("records = 1 and values <= 1 and persons <= 1")
     met = each.join(known.select("token", "forms", "identity", "value"), "token")
-    put = F.struct("start", "end", form_at(F.col("forms"), F.col("n"), F.col("identity"), F.col("value")).alias("form"))
-    found = met.groupBy(key).agg(F.array_sort(F.collect_list(put)).alias("puts"))
-    from maskwright.functions import spans as S
+    return met.select(key, "start", "end", "token", form_at(F.col("forms"), F.col("n"), F.col("identity"), F.col("value")).alias("form"), "value")
 
-    puts = F.coalesce("puts", F.array().cast("array<struct<start:int,end:int,form:string>>"))
-    return texts.join(found, key, "left").select(key, S.splice(F.col("text"), puts, lambda s: s["form"]).alias("restored"), F.size(puts).alias("replaced"))
+
+def counters(registry: DataFrame) -> DataFrame:
+    """(kind, name, n): codes by class and by source ('-' where none is noted), in one pass."""
+    sets = registry.select("cls", F.coalesce("source", F.lit("-")).alias("source")).groupingSets([["cls"], ["source"]], "cls", "source").agg(F.grouping("cls").alias("by_source"), F.count(F.lit(1)).alias("n"))
+    return sets.select(F.when(F.col("by_source") == 1, "source").otherwise("class").alias("kind"), F.coalesce("cls", "source").alias("name"), "n")
+
+
+def inventory(registry: DataFrame) -> DataFrame:
+    """One row: codes, records, codes with several records, values or persons, and whether the registry may be used."""
+    per = registry.groupBy("token").agg(F.count(F.lit(1)).alias("r"), F.count_distinct("value").alias("v"), F.count_distinct("identity").alias("p"))
+    return per.agg(
+        F.count(F.lit(1)).alias("codes"), F.sum("r").alias("records"), F.count_if(F.col("r") > 1).alias("repeated"), F.count_if(F.col("v") > 1).alias("conflicts"),
+        F.count_if(F.col("p") > 1).alias("glued"), (F.count_if((F.col("r") > 1) | (F.col("v") > 1) | (F.col("p") > 1)) == 0).alias("usable"),
+    )
+
+
+def bindings_tag(masked_tokens: Column, bindings: Column) -> Column:
+    """A hash of the bindings that a coded text rests on: tokens and identities in order. A cached text is good while it stays equal."""
+    return F.sha2(F.concat_ws("\x1f", F.array_sort(F.zip_with(masked_tokens, bindings, lambda t, i: F.concat_ws("=", t, i)))), 256)
+
+
+def cache_key(text: Column, signature: Column) -> Column:
+    """The key of a coded text: its own hash with the signature of the dictionary it was coded under."""
+    return F.sha2(F.concat_ws("\x1f", signature, F.sha2(text, 256)), 256)
+
+
+def still_valid(cache: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of ``cache`` (cache_key, tokens, tag, ...) all of whose codes still stand for the same identities."""
+    each = cache.select("cache_key", "tag", F.posexplode_outer("tokens").alias("at", "token"))
+    met = each.join(registry.select("token", "identity"), "token", "left")
+    pair = F.struct("at", "token", F.coalesce("identity", F.lit("")).alias("identity"))
+    now = met.groupBy("cache_key", "tag").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), pair))).alias("b"))
+    tag = bindings_tag(F.transform("b", lambda x: x["token"]), F.transform("b", lambda x: x["identity"]))
+    return cache.join(now.where(tag == F.col("tag")).select("cache_key"), "cache_key", "left_semi")
+
+
+def within_budget(cache: DataFrame, entries: int, size: int) -> DataFrame:
+    """The entries used last, no more than ``entries`` of them and ``size`` bytes in all (cache_key, bytes, last_used_at): the limit is the feature."""
+    last = cache.orderBy(F.desc("last_used_at"), "cache_key").limit(entries)
+    total = F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("last_used_at"), "cache_key"))
+    return last.withColumn("total", total).where(F.col("total") <= size).drop("total")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 
-from . import detect, gate, payload, registry
+from maskwright.session import settled
+
+from . import detect, gate, payload, policy, registry
 
 # Where a request names its channel.
 MARKER = r"\[\[delivery:([a-zA-Z0-9_-]{1,32})\]\]"
@@ -51,14 +53,38 @@ def image_policy(messages: DataFrame, block: bool) -> DataFrame:
     return messages.groupBy("req_id").agg(n.alias("images")).withColumn("action", F.when(F.col("images") == 0, "pass").otherwise("block" if block else "remind"))
 
 
+def _restored_leaves(found: DataFrame, table: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(req_id, path, text, number) of leaves (req_id, path, text, typed) whose codes were restored. Where ``typed``, a leaf
+    that is one code of a telephone or client and becomes digits is a number."""
+    found = found.withColumn("doc_id", F.concat_ws("#", "req_id", "path")).withColumn("spans", detect.code_spans(F.col("text")))
+    spans = settled(found.select("doc_id", "req_id", "path", "text", "spans", "typed").where(F.size("spans") > 0))
+    may = spans.select("doc_id", "req_id").join(allowed, "req_id").select("doc_id", "token")
+    done = registry.restore(spans.select("doc_id", "text", "spans"), table, may).where("replaced > 0").join(spans.select("doc_id", "req_id", "path", "text", "spans", "typed"), "doc_id")
+    one = F.get("spans", F.lit(0))
+    alone = (F.size("spans") == 1) & (F.length(F.trim("text")) == one["end"] - one["start"]) & one["cls"].isin("T", "C")
+    return done.select("req_id", "path", F.col("restored").alias("text"), (F.col("typed") & alone & F.col("restored").rlike("^[0-9]{1,18}$")).alias("number"))
+
+
 def restored_arguments(calls: DataFrame, table: DataFrame, allowed: DataFrame) -> DataFrame:
     """calls (req_id, body) of tool calls with the codes in their leaves restored: a leaf that is one code becomes the
     value itself, digits of telephones and clients as numbers; codes within longer texts are restored in place."""
-    found = payload.leaves(calls).where("text is not null").withColumn("doc_id", F.concat_ws("#", "req_id", "path"))
-    spans = found.select("doc_id", "req_id", "path", "text", detect.code_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    may = spans.select("doc_id", "req_id").join(allowed, "req_id").select("doc_id", "token")
-    done = registry.restore(spans.select("doc_id", "text", "spans"), table, may).join(spans.select("doc_id", "req_id", "path"), "doc_id")
-    return payload.put_back(calls, done.select("req_id", "path", F.col("restored").alias("text")))
+    found = payload.leaves(calls).where("text is not null").withColumn("typed", F.lit(True))
+    return payload.put_back(calls, _restored_leaves(found, table, allowed))
+
+
+# Where an answer holds texts and the arguments of its tool calls.
+CONTENT = r'^\$\."choices"\[\d+\]\."message"\."(?:content|reasoning_content)"'
+ARGUMENTS = r'^\$\."choices"\[\d+\]\."message"\."tool_calls"\[\d+\]\."function"\."arguments"'
+
+
+def restored_response(responses: DataFrame, table: DataFrame, allowed: DataFrame) -> DataFrame:
+    """responses (req_id, body, decision) with codes restored: the arguments of tool calls always, the contents of messages (a
+    text, or parts with texts) only where the channel's ``decision`` is to restore. Other leaves stay."""
+    found = payload.leaves(responses.drop("decision")).where("text is not null").join(responses.select("req_id", "decision"), "req_id")
+    tool = F.col("path").rlike(ARGUMENTS)
+    text = F.col("path").rlike(CONTENT) & (F.col("decision") == policy.RESTORE) & ~F.col("path").endswith('."type"')
+    chosen = found.where(tool | text).withColumn("typed", tool)
+    return payload.put_back(responses, _restored_leaves(chosen, table, allowed))
 
 
 def alerts(audit: DataFrame) -> DataFrame:
@@ -70,23 +96,26 @@ Annotator = Callable[[list[str]], list[list[tuple[int, int, str]]]]
 
 
 def annotated(texts: DataFrame, annotator: Callable[[], Annotator], cls: str = "P") -> DataFrame:
-    """(doc_id, spans) by a model: ``annotator`` is made once a task and given batches of texts.
+    """(doc_id, spans, failed) by a model: ``annotator`` is made once a task and given batches of texts.
 
-    A model that fails on a batch finds nothing there: the other detectors still stand.
+    A model that fails on a batch finds nothing there, as the other detectors still stand; ``failed`` says so
+    of each of its texts, so that a dead model doesn't look like clean texts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = annotator()
         for b in batches:
             whole = [t or "" for t in b["text"]]
+            failed = False
             try:
                 found = find(whole)
-            except Exception:
-                found = [[] for _ in whole]
+            except Exception:  # whatever a model raises
+                found, failed = [[] for _ in whole], True
             spans = [[{"start": a, "end": e, "cls": cls, "raw": t[a:e], "norm": t[a:e].lower(), "suffix": label, "src": 20, "ord": i} for i, (a, e, label) in enumerate(f)] for t, f in zip(whole, found, strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": spans})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": spans, "failed": failed})
 
-    return texts.select("doc_id", "text").mapInPandas(run, f"doc_id long, spans array<{S.SPAN}>")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, spans array<{S.SPAN}>, failed boolean")
 
 
 def label_counts(found: DataFrame) -> DataFrame:
@@ -110,3 +139,18 @@ def _sql_of(spark: SparkSession, f: Callable[[Column], Column]) -> str:
     plan = spark.sql("select cast(null as string) as x").select(f(F.col("x")).alias("r"))._jdf.queryExecution().analyzed()
     e = plan.expressions().head().children().head()
     return e.sql().replace("__auto_generated_subquery_name.", "")
+
+
+def request_log(spark: SparkSession, path: str, routes: tuple[str, ...]) -> DataFrame:
+    """(req_id, route, path, headers, body, status) of request logs, one JSON object a line: 404 for an unknown route, 400 where the body is no JSON object."""
+    raw = spark.read.schema("req_id string, route string, path string, headers map<string,string>, body string").json(path)
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
+    return raw.withColumn("status", F.when(~F.col("route").isin(*routes), 404).when(~is_object, 400).otherwise(200))
+
+
+def exchanged(outgoing: DataFrame, answers: DataFrame) -> DataFrame:
+    """outgoing (req_id, body) with what the provider said (req_id, status, answer): answer, and error by kind where there is none."""
+    met = outgoing.join(answers, "req_id", "left")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("answer")).startswith("OBJECT"), F.lit(False))
+    error = F.when(F.col("status").isNull(), "timeout").when(F.col("status").isin(401, 403), "not_authorised").when(F.col("status") >= 500, "provider_failed").when(F.col("status") >= 400, "refused").when(~is_object, "no_json")
+    return met.withColumn("error", error).withColumn("answer", F.when(error.isNull(), F.col("answer")))

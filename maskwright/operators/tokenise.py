@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions import codes
-from maskwright.functions import spans as S
+from maskwright.functions import arrow, codes
 
 from . import detect
 
@@ -22,19 +21,23 @@ def code_of(span: Column, key: bytes) -> Column:
     return codes.code(span["cls"], span["norm"], key)
 
 
+def first_codes(spans: Column, key: bytes) -> Column:
+    """The first-choice code of each span, in their order."""
+    return F.transform(spans, lambda s: code_of(s, key))
+
+
 def tokenise(df: DataFrame, key: bytes, text: str = "text", detector: Callable[[Column], Column] = detect.rules) -> DataFrame:
     """``df`` with spans and masked: each finding replaced by its first-choice code.
 
-    Use ``registry.assign`` where codes must be free of collisions. Null texts stay null.
+    ``engine.protect`` asks all detectors and the registry, whose codes are free of collisions. Null texts stay null.
     """
     found = with_spans(df, text, detector)
-    return found.withColumn("masked", S.splice(F.col(text), F.col("spans"), lambda s: code_of(s, key)))
+    return found.withColumn("masked", arrow.spliced(F.col(text), F.col("spans"), first_codes(F.col("spans"), key)))
 
 
-def second_pass(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
-    """Replace what the first pass left of the found values, in any case and spacing, by the same codes; longest values first."""
-    order = F.array_sort(spans, lambda a, b: F.length(b["raw"]) - F.length(a["raw"]))
-    return F.aggregate(order, text, lambda t, s: F.regexp_replace(t, S.bounded(s["raw"]), put(s)))
+def second_pass(text: Column, spans: Column, put: Column) -> Column:
+    """Replace what the first pass left of the found values, in any case and spacing, by ``put``, the spans' codes; longest values first."""
+    return arrow.replaced_left(text, F.transform(spans, lambda s: s["raw"]), put)
 
 
 def class_counts(found: DataFrame, keys: list[str] | None = None) -> DataFrame:

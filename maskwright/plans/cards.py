@@ -50,3 +50,15 @@ def code_sql(cls: str, identity: str, salt: str = "", length: int = 8) -> str:
 
 def digest_sql(cls: str, value: str) -> str:
     return f"substr({hmac_sql(f"'{cls}:' || {value}")}, 1, 16)"
+
+
+#: A small rule table for the demonstration; deployments load a full one.
+RULES = [
+    ("lastname", "suffixes", 0, "male", ["ов", "ев", "ин"], ["а", "у", "а", "ым", "е"]),
+    ("lastname", "suffixes", 1, "female", ["ова", "ева", "ина"], ["-ой", "-ой", "-у", "-ой", "-ой"]),
+    ("lastname", "exceptions", 2, "androgynous", ["лебедев"], ["а", "у", "а", "ым", "е"]),
+]
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, "kind string, section string, ord int, gender string, test array<string>, mods array<string>")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, governance, lifecycle, measures, service
+from . import detection, endtoend, governance, lifecycle, measures, service
 
-_MODULES = (detection, lifecycle, governance, measures, service)
+_MODULES = (detection, endtoend, lifecycle, governance, measures, service)
 
 
 def queries() -> dict:

@@ -90,6 +90,54 @@ union all select g, 'D', count(*), min(substr(birth, 1, 5)) from c group by g
 """
 
 
+def identifier_spans(spark, sf):
+    """Documents of seven kinds, an address, and numbers like them that are none, found by all rules."""
+    c = spark.sql(IDENTIFIERS.replace("from customer", "from {customer}"), customer=table(spark, sf, "customer"))
+    return tokenise.long_form(tokenise.with_spans(c.select("id", "text")), ["id"]).drop("ord")
+
+
+def ru_identifiers(spark, sf):
+    """The same numbers by the detector of Russian identifiers alone, with the kind that it took each for."""
+    c = spark.sql(IDENTIFIERS.replace("from customer", "from {customer}"), customer=table(spark, sf, "customer"))
+    found = c.select("id", detect.ru_ids(F.col("text")).alias("spans"))
+    return found.select("id", F.explode("spans").alias("s")).select("id", F.col("s.suffix").alias("kind"), "s.norm")
+
+
+def _digit_sql(n: str, i: int) -> str:
+    return f"cast(substr({n}, {i + 1}, 1) as int)"
+
+
+def _check_sql(n: str, weights: tuple[int, ...]) -> str:
+    return "(" + " + ".join(f"{_digit_sql(n, i)} * {w}" for i, w in enumerate(weights)) + ")"
+
+
+_A, _B = checks.INN12_WEIGHTS
+IDENTIFIERS = f"""
+select id, k, before || number || after as text, length(before) as start, number, place from (
+    select id, k, place,
+        case k when 0 then 'паспорт ' when 1 then 'кпп ' when 2 then 'бик ' when 3 then 'счёт ' when 4 then 'полис ' when 5 then 'снилс ' when 6 then 'номер ' when 7 then 'живёт на ' else 'число ' end as before,
+        case k when 0 then lpad(cast(id % 100 as string), 2, '4') || ' 10 ' || lpad(cast(id as string), 6, '1') when 1 then lpad(cast(id as string), 9, '7') when 2 then '04' || lpad(cast(id as string), 7, '4')
+            when 3 then lpad(cast(id as string), 20, '8') when 4 then lpad(cast(id as string), 16, '3')
+            when 5 then substr(s, 1, 3) || '-' || substr(s, 4, 3) || '-' || substr(s, 7, 3) || ' ' || lpad(cast({_check_sql('s', checks.SNILS_WEIGHTS)} % 101 % 100 as string), 2, '0')
+            when 6 then n11 || cast({_check_sql('n11', _B)} % 11 % 10 as string) when 7 then place else lpad(cast(id as string), 9, '7') end as number,
+        case k when 7 then '; да' else ' и всё' end as after
+    from (
+        select *, n10 || cast({_check_sql('n10', _A)} % 11 % 10 as string) as n11
+        from (select c_custkey as id, c_custkey % 9 as k, lpad(cast(c_custkey as string), 9, '1') as s, lpad(cast(c_custkey as string), 10, '5') as n10, 'ул. Лесная д. ' || cast(c_custkey as string) as place from customer) q
+    ) r
+) t
+"""
+IDENTIFIERS_SQL = f"""
+select id, start, start + length(number) as "end", case k when 7 then 'A' else 'I' end as cls, number as raw,
+    case k when 7 then 'ул лесная д ' || cast(id as varchar) else regexp_replace(number, '[^0-9]', '', 'g') end as norm
+from ({IDENTIFIERS.replace('as string', 'as varchar')}) x where k <> 8
+"""
+KINDS_SQL = f"""
+select id, case k when 0 then 'паспорт' when 1 then 'кпп' when 2 then 'кпп' when 3 then 'расчётный счёт' when 4 then 'полис ОМС' when 5 then 'снилс' else 'инн' end as kind, regexp_replace(number, '[^0-9]', '', 'g') as norm
+from ({IDENTIFIERS.replace('as string', 'as varchar')}) x where k < 7
+"""
+
+
 def normalize_values(spark, sf):
     c = cards(spark, sf)
     return c.select(
@@ -221,7 +269,7 @@ def second_pass(spark, sf):
     raw = F.concat_ws(" ", "surname", "given")
     spans = F.array(S.span(F.lit(0), F.length(raw), F.lit("P"), raw, F.lower(raw), 0, F.lit(0)))
     text = F.concat(F.upper("surname"), F.lit("  "), F.upper("given"), F.lit("; "), "surname", F.lit(" "), "given", F.lit("ский"))
-    return c.select("id", tokenise.second_pass(text, spans, lambda s: tokenise.code_of(s, KEY)).alias("masked"))
+    return c.select("id", tokenise.second_pass(text, spans, tokenise.first_codes(spans, KEY)).alias("masked"))
 
 
 SECOND_SQL = f"select id, {code_sql('P', "(lower(surname) || ' ' || lower(given))")} || '; ' || surname || ' ' || given || 'ский' as masked from ({CARDS}) c"
@@ -251,7 +299,7 @@ def repair_outgoing(spark, sf):
     """After repair no value of a card is readable; the repaired text holds its telephone's code."""
     c = _card_texts(spark, sf).select("id", "text", "phone", F.expr(PHONE_FORM).alias("pf"))
     t = tokenise.tokenise(c, KEY).withColumnRenamed("text", "original").withColumn("outgoing", F.concat("masked", F.lit(" "), "pf"))
-    done = gate.repair(t, lambda s: tokenise.code_of(s, KEY))
+    done = gate.repair(t, tokenise.first_codes(F.col("spans"), KEY))
     return done.select("id", F.size("survivors").alias("left"), F.substring_index("outgoing", " ", -1).alias("tail"))
 
 
@@ -331,10 +379,10 @@ def tolerant_codes(spark, sf):
     """Codes copied with separators or look-alike letters inside are found again."""
     c = cards(spark, sf).select("id", codes.code(F.lit("T"), F.col("phone"), KEY).alias("c"))
     damaged = F.when(F.col("id") % 3 == 0, F.concat(F.substring("c", 1, 4), F.lit("-"), F.substring("c", 5, 6))).when(F.col("id") % 3 == 1, F.translate("c", "OB", "08")).otherwise(F.concat_ws(" ", F.substring("c", 1, 5), F.substring("c", 6, 5)))
-    return c.select("id", F.explode(payload.tolerant_spans(F.concat(F.lit("код "), damaged, F.lit("!")))).alias("s"), "c").select("id", "s.start", (F.col("s.token") == F.col("c")).alias("same"))
+    return c.select("id", F.explode(detect.code_spans(F.concat(F.lit("код "), damaged, F.lit("!")))).alias("s")).select("id", "s.start", "s.end", "s.norm")
 
 
-TOLERANT_SQL = f"select id, 4 as start, true as same from ({CARDS}) c"
+TOLERANT_SQL = f"select id, 4 as start, case when id % 3 = 1 then 14 else 15 end as \"end\", {code_sql('T', 'phone')} as norm from ({CARDS}) c"
 
 
 def name_shapes(spark, sf):
@@ -369,6 +417,8 @@ QUERIES = [
     ("email_tokenize_documents", email_tokenize_documents, TOKENIZE_SQL),
     ("email_class_counts", email_class_counts, f"select lang, 'E' as cls, sum(len(regexp_extract_all(text, '{_MAIL}')))::bigint as findings from documents where regexp_matches(text, '{_MAIL}') group by lang"),
     ("rule_class_counts", rule_class_counts, None),
+    ("identifier_spans", identifier_spans, IDENTIFIERS_SQL),
+    ("ru_identifiers", ru_identifiers, KINDS_SQL),
     ("number_runs", number_runs, RUNS_SQL),
     ("card_spans", card_spans, CARD_SPANS_SQL),
     ("card_tokenize", card_tokenize, CARD_TOKENIZE_SQL),

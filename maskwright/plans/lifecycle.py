@@ -4,67 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from maskwright.functions import codes, normalize
-from maskwright.operators import dictionary, names, registry
+from maskwright.functions import arrow, codes, normalize
+from maskwright.functions.scan import Vocabulary
+from maskwright.operators import dictionary, names, registry, training
 from maskwright.session import table
 
-from .cards import CARDS, KEY, cards, code_sql, digest_sql, hmac_sql
-
-
-def _ensure_checkpoints(spark):
-    """Iterations are written to the folder that the cluster names; a local one only where it names none."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+from .cards import CARDS, KEY, cards, code_sql, digest_sql, rules
 
 
 def registry_assign(spark, sf):
-    _ensure_checkpoints(spark)
     values = cards(spark, sf).select(F.lit("E").alias("cls"), F.col("email").alias("identity"), F.col("id").alias("first_seen"))
     return registry.assign(values, KEY).select("identity", "token", "salt")
 
 
 def registry_collision_walk(spark, sf):
-    """Codes of one letter for twenty identities: collisions are sure, and the walk resolves them by arrival."""
-    _ensure_checkpoints(spark)
-    values = cards(spark, sf).where("id <= 20").select(F.lit("E").alias("cls"), F.col("email").alias("identity"), F.col("id").alias("first_seen"))
-    done = registry.assign(values, KEY, length=1, salts=640)
-    return done.agg(F.count(F.lit(1)).alias("identities"), F.count_distinct("token").alias("tokens"), F.sum((F.col("salt") > 0).cast("int")).alias("moved"))
+    """Codes of three letters for all cards: collisions are sure, the walk resolves them, and whoever comes first keeps the first choice."""
+    values = cards(spark, sf).select(F.lit("E").alias("cls"), F.col("email").alias("identity"), F.col("id").alias("first_seen"))
+    done = registry.assign(values, KEY, length=3, salts=640)
+    return done.agg(F.count(F.lit(1)).alias("identities"), F.count_distinct("token").alias("tokens"), F.count_if(F.col("salt") == 0).alias("first_choices"))
+
+
+def legacy_rows(spark, sf):
+    """A registry whose rows have no identity: a row is of whom its value matches; for any other its code is taken."""
+    c = cards(spark, sf)
+    code = codes.code(F.lit("E"), F.col("email"), KEY)
+    held = c.select(code.alias("token"), F.lit(None).cast("string").alias("identity"), F.when(F.col("id") % 2 == 0, F.upper("email")).otherwise(F.lit("other@example.ru")).alias("value"))
+    values = c.select(F.lit("E").alias("cls"), F.col("email").alias("identity"), F.col("id").alias("first_seen"))
+    return registry.assign(values, KEY, held).select("identity", "token", "salt")
+
+
+LEGACY_SQL = f"select email as identity, case when id % 2 = 0 then {code_sql('E', 'email')} else {code_sql('E', 'email', " || '#1'")} end as token, case when id % 2 = 0 then 0 else 1 end as salt from ({CARDS}) c"
 
 
 def collision_first_round(spark, sf):
     """Who keeps the first-choice code of three letters: the first seen of all that want it."""
-    _ensure_checkpoints(spark)
     values = cards(spark, sf).select(F.lit("T").alias("cls"), F.col("phone").alias("identity"), F.col("id").alias("first_seen"))
     return registry.assign(values, KEY, length=3).where("salt = 0").select("identity", "token")
 
 
 def _rows(spark, sf, where: str, value: str, days: int):
-    c = cards(spark, sf).where(where)
+    c = cards(spark, sf).where(where).withColumn("who", F.concat(F.lower("surname"), F.lit(" "), F.col("id").cast("string")))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600 + days * 86400)
     return c.select(
-        codes.code(F.lit("P"), F.lower("surname"), KEY).alias("token"), F.lit("P").alias("cls"), F.expr(value).alias("value"), F.lower("surname").alias("identity"),
+        codes.code(F.lit("P"), F.col("who"), KEY).alias("token"), F.lit("P").alias("cls"), F.expr(value).alias("value"), F.col("who").alias("identity"),
         F.array("surname").alias("forms"), at.alias("created_at"), at.alias("last_used_at"), F.lit(None).cast("string").alias("source"),
     )
 
 
 def registry_upsert(spark, sf):
-    """A first value stays, later spellings are added, last use moves on, new codes come in."""
-    old = _rows(spark, sf, "id between 1 and 4", "surname", 0)
-    new = _rows(spark, sf, "id between 3 and 7", "upper(surname)", 5).withColumn("forms", F.array(F.upper("identity"), F.col("identity")))
+    """Two thirds of all cards meet another two thirds: a first value stays, later spellings are added, last use moves on, new codes come in."""
+    old = _rows(spark, sf, "id % 3 <> 0", "surname", 0)
+    new = _rows(spark, sf, "id % 3 <> 1", "upper(surname)", 5).withColumn("forms", F.array(F.upper("identity"), F.col("identity")))
     done = registry.upsert(old, new)
     return done.select("identity", "value", F.array_join("forms", ",").alias("forms"), F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("last_used_at").alias("used"))
 
 
 UPSERT_SQL = f"""
-with o as (select lower(surname) as identity, surname, 1700000000 + id * 3600 as at from ({CARDS}) c where id between 1 and 4),
-n as (select lower(surname) as identity, surname, 1700000000 + id * 3600 + 5 * 86400 as at from ({CARDS}) c where id between 3 and 7)
-select coalesce(o.identity, n.identity) as identity, coalesce(o.surname, upper(n.surname)) as value,
-    case when o.identity is null then upper(n.identity) || ',' || n.identity when n.identity is null then o.surname else o.surname || ',' || upper(n.identity) || ',' || n.identity end as forms,
-    coalesce(o.at, n.at) as created, greatest(o.at, n.at) as used
-from o full join n on o.identity = n.identity
+with c as (select *, lower(surname) || ' ' || cast(id as varchar) as who, 1700000000 + id * 3600 as moment from ({CARDS}) x)
+select who as identity, case when id % 3 = 0 then upper(surname) else surname end as value,
+    case id % 3 when 0 then upper(who) || ',' || who when 1 then surname else surname || ',' || upper(who) || ',' || who end as forms,
+    case when id % 3 = 0 then moment + 5 * 86400 else moment end as created, case when id % 3 = 1 then moment else moment + 5 * 86400 end as used
+from c
 """
 
 
@@ -258,7 +258,6 @@ select count(*) as combos, min(d) as least, max(d) as most from (select distinct
 
 def family_roots(spark, sf):
     """Forms followed to their roots: chains of part keys, with forks where a key has two bases."""
-    _ensure_checkpoints(spark)
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("form"))
     edges = p.where("form % 8 <> 0").select("form", (F.col("form") - 1).alias("base")).unionByName(p.where("form % 40 = 5").select("form", (F.col("form") - 2).alias("base")))
     return dictionary.roots(edges)
@@ -288,7 +287,7 @@ select category, count(*) as checked, count(*) filter (lower(word) in (select wo
 
 def weekly_cap(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
-    return dictionary.capped(s, [F.desc("s_acctbal"), F.asc("s_suppkey")], 5).select("s_suppkey", "verdict")
+    return dictionary.capped(s, [F.desc("s_acctbal"), F.asc("s_suppkey")], ["s_suppkey"], 5).select("s_suppkey", "verdict")
 
 
 def first_values(spark, sf):
@@ -314,21 +313,9 @@ select id, case id % 5 when 0 then 'T' when 1 then 'E' when 2 then 'P' end as cl
 from ({CARDS}) c
 """
 
-#: A small rule table for the demonstration; deployments load a full one.
-RULES = [
-    ("lastname", "suffixes", 0, "male", ["ов", "ев", "ин"], ["а", "у", "а", "ым", "е"]),
-    ("lastname", "suffixes", 1, "female", ["ова", "ева", "ина"], ["-ой", "-ой", "-у", "-ой", "-ой"]),
-    ("lastname", "exceptions", 2, "androgynous", ["лебедев"], ["а", "у", "а", "ым", "е"]),
-]
-
-
-def _rules(spark):
-    return spark.createDataFrame(RULES, "kind string, section string, ord int, gender string, test array<string>, mods array<string>")
-
-
 def declined_forms(spark, sf):
     c = cards(spark, sf).select(F.col("surname").alias("value"), F.lit("lastname").alias("kind"))
-    return names.forms(c, _rules(spark))
+    return names.forms(c, rules(spark))
 
 
 DECLINED_SQL = f"""
@@ -340,7 +327,7 @@ select value, value as form, 0 as ord from s union all select value, value || e,
 
 def layer_bases(spark, sf):
     c = cards(spark, sf).select(F.col("surname").alias("value"), F.lit("lastname").alias("kind"))
-    return names.layer_bases(names.forms(c, _rules(spark)))
+    return names.layer_bases(names.forms(c, rules(spark)))
 
 
 LAYER_BASES_SQL = f"select lower(form) as form, min(lower(value)) as base from ({DECLINED_SQL}) q group by 1 having count(distinct value) = 1"
@@ -357,11 +344,11 @@ def name_decisions(spark, sf):
     """Names in client lines by dictionary form, by layer, and not at all: inside an address, or a word of the trade."""
     c = cards(spark, sf).select("id", "surname", "given")
     text = F.when(F.col("id") % 4 == 0, F.concat(F.lit("клиент "), "surname", F.lit("а; тел"))).when(F.col("id") % 4 == 1, F.concat(F.lit("клиент "), "given", F.lit("; тел"))).when(F.col("id") % 4 == 2, F.concat(F.lit("ул. "), "surname", F.lit("а; тел"))).otherwise(F.lit("клиент Абонемент; тел"))
-    texts = c.select(F.col("id").alias("doc_id"), text.alias("text"))
-    found = texts.select("doc_id", "text", F.explode(names.candidates(F.col("text"))).alias("s")).select("doc_id", "text", "s.start", "s.end", "s.raw")
+    words = Vocabulary.of(terms=["абонемент", "тел"], values="клиент")
+    asks = c.select(F.col("id").alias("doc_id"), F.explode(arrow.scanned(text, words)["asks"]).alias("a")).select("doc_id", "a.*")
     surnames = c.select(F.col("surname").alias("value"), F.lit("lastname").alias("kind")).distinct()
-    done = names.decide(found, surnames.select("value"), names.layer_bases(names.forms(surnames, _rules(spark))), c.select(F.col("given").alias("value")).distinct())
-    return done.select("doc_id", "start", "raw", "identity")
+    known = names.Knowledge(exact=surnames.select("value"), forms=names.layer_bases(names.forms(surnames, rules(spark))), layer=c.select(F.col("given").alias("value")).distinct())
+    return names.decide(asks, known).select("doc_id", "start", "raw", "identity")
 
 
 DECISIONS_SQL = f"""
@@ -371,14 +358,145 @@ from ({CARDS}) c where id % 4 in (0, 1)
 
 
 def evidence(spark, sf):
-    """ALL-CAPS words admitted as names by two signs or by the dictionary."""
+    """Values in capitals: names by two signs, a known one by the dictionary, and business phrases that only look alike."""
+    c = cards(spark, sf)
+    value = F.when(F.col("id") % 3 == 0, F.upper(F.concat_ws(" ", "surname", "given"))).when(F.col("id") % 3 == 1, F.concat(F.lit("БАЛАНС "), F.upper("segment"))).otherwise(F.concat(F.lit("ОПЛАТА "), F.upper("given")))
+    common = spark.createDataFrame([("баланс", False, True), ("оплата", False, True)], "word string, is_name boolean, is_common boolean")
+    morphology = common.unionByName(c.select(F.lower("segment").alias("word"), F.lit(False).alias("is_name"), F.lit(True).alias("is_common")).distinct())
+    morphology = morphology.unionByName(c.select(normalize.identity_key(F.col("given")).alias("word"), F.lit(False).alias("is_name"), F.lit(False).alias("is_common")).distinct())
+    return names.evidence(c.select(value.alias("value")).distinct(), c.where("given < 'О'").select(F.col("given").alias("value")).distinct(), morphology)
+
+
+EVIDENCE_SQL = f"""
+select distinct case id % 3 when 0 then upper(surname || ' ' || given) when 1 then 'БАЛАНС ' || upper(segment) else 'ОПЛАТА ' || upper(given) end as value,
+    case id % 3 when 0 then true when 1 then false else given < 'О' end as admitted
+from ({CARDS}) c
+"""
+
+
+def identity_cascade(spark, sf):
+    """Where an identity comes from: a client's name, a form of one, the keyed dictionary, the open layer's base, or the spelling itself, which a keyed form may anchor."""
     c = cards(spark, sf)
-    return names.evidence(c.select(F.upper(F.concat_ws(" ", "surname", "given")).alias("value")).distinct(), c.select(F.col("surname").alias("value")).distinct())
+    spelled = F.element_at(F.array(*(F.lit(x) for x in ("Иванов", "Иванову", "Петровым", "Сидорова", "Кузнецове", "Лебедев", "Попов"))), (F.col("id") % 7 + 1).cast("int"))
+    words = c.select(spelled.alias("raw"), normalize.identity_key(spelled).alias("k"), normalize.name(spelled).alias("norm"), F.lit(True).alias("single")).distinct()
+    one = lambda *v: spark.createDataFrame([(x, "lastname") for x in v], "value string, kind string")
+    key = lambda *v: dictionary.keyed(one(*v).select(F.lit("P").alias("cls"), "value"), KEY)
+    keyed_form = spark.createDataFrame([("P", "петровым", "петров")], "cls string, form string, base string").select("cls", codes.value_digest(F.lit("P"), F.col("form"), KEY).alias("form"), codes.value_digest(F.lit("P"), F.col("base"), KEY).alias("base"))
+    k = names.Knowledge(
+        exact=one("Иванов").select("value"), forms=names.layer_bases(names.forms(one("Иванов"), rules(spark))), digests=key("Петров", "Лебедева", "Сидоров"), form_digests=keyed_form,
+        layer=one("Сидоров", "Кузнецов").select("value"), layer_forms=names.layer_bases(names.forms(one("Сидоров", "Кузнецов"), rules(spark))), rules=rules(spark), key=KEY,
+    )
+    return names.identities(words, k).select("raw", "identity", "source")
+
+
+CASCADE_SQL = f"""
+with d as (select *, {digest_sql('P', 'base')} as digest from (values ('петров'), ('сидоров'), ('лебедева')) t(base)),
+w as (select distinct list_value('Иванов', 'Иванову', 'Петровым', 'Сидорова', 'Кузнецове', 'Лебедев', 'Попов')[c_custkey % 7 + 1] as raw from customer)
+select raw, case raw when 'Иванов' then 'иванов' when 'Иванову' then 'иванов' when 'Петровым' then 'pd:' || (select digest from d where base = 'петров') when 'Сидорова' then 'pd:' || (select digest from d where base = 'сидоров')
+    when 'Кузнецове' then 'кузнецов' when 'Лебедев' then 'pd:' || (select digest from d where base = 'лебедева') else 'попов' end as identity,
+    case raw when 'Иванов' then 'exact' when 'Иванову' then 'form' when 'Петровым' then 'digest' when 'Сидорова' then 'layer_base' when 'Кузнецове' then 'layer_base' else 'surface' end as source
+from w
+"""
+
+
+def dictionary_export(spark, sf):
+    """Records to a keyed dictionary: values, and case forms that lead to their family, as digests."""
+    c = cards(spark, sf)
+    none = F.lit(None).cast("string")
+    records = c.select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") % 4 == 0, F.concat("surname", F.lit("а"))).otherwise(F.col("surname")).alias("surname"), none.alias("name"), none.alias("patronymic"), F.col("phone_a").alias("phone"), none.alias("email"),
+        none.alias("birth_date"), none.alias("address"), F.array().cast("array<struct<contact_type:string,contact:string>>").alias("contacts"),
+    )
+    digests, led = training.dictionary_of(records, rules(spark), KEY)
+    return digests.select(F.lit("value").alias("what"), "cls", "digest", F.lit(None).cast("string").alias("base")).unionByName(led.select(F.lit("form").alias("what"), "cls", F.col("form").alias("digest"), "base"))
+
+
+EXPORT_SQL = f"""
+with s as (select distinct lower(surname) as base from ({CARDS}) c), m as (select base, base || unnest(['а', 'у', 'ым', 'е', 'ой']) as form from s)
+select 'value' as what, 'P' as cls, {digest_sql('P', 'v')} as digest, null::varchar as base from (select distinct lower(case when id % 4 = 0 then surname || 'а' else surname end) as v from ({CARDS}) c) q
+union all select 'value', 'T', {digest_sql('T', 'phone')}, null from ({CARDS}) c union all select 'value', 'C', {digest_sql('C', 'cast(id as varchar)')}, null from ({CARDS}) c
+union all select 'form', 'P', {digest_sql('P', 'form')}, {digest_sql('P', 'base')} from m
+"""
+
+
+def registry_counters(spark, sf):
+    """Codes of a registry by class and by source, and its state as a whole."""
+    c = cards(spark, sf).select(F.col("id").cast("string").alias("token"), F.when(F.col("id") % 3 == 0, "P").otherwise("T").alias("cls"), F.when(F.col("id") % 2 == 0, "incident").alias("source"))
+    return registry.counters(c)
+
+
+COUNTERS_SQL = """
+select 'class' as kind, case when c_custkey % 3 = 0 then 'P' else 'T' end as name, count(*) as n from customer group by 2
+union all select 'source', case when c_custkey % 2 = 0 then 'incident' else '-' end, count(*) from customer group by 2
+"""
+
+
+def registry_inventory(spark, sf):
+    c = table(spark, sf, "customer").select((F.col("c_custkey") % 977).cast("string").alias("token"), F.col("c_mktsegment").alias("value"), F.col("c_nationkey").cast("string").alias("identity"))
+    return registry.inventory(c)
+
+
+INVENTORY_SQL = """
+with t as (select c_custkey % 977 as token, count(*) as r, count(distinct c_mktsegment) as v, count(distinct c_nationkey) as p from customer group by 1)
+select count(*) as codes, sum(r)::bigint as records, count(*) filter (r > 1) as repeated, count(*) filter (v > 1) as conflicts, count(*) filter (p > 1) as glued, count(*) filter (r > 1 or v > 1 or p > 1) = 0 as usable from t
+"""
+
+
+def cache_validity(spark, sf):
+    """Coded texts kept from before that may be used again: all their codes still stand for the same identities."""
+    c = cards(spark, sf)
+    tokens, before = F.array(F.col("id").cast("string"), (F.col("id") % 100).cast("string")), F.array("surname", F.concat(F.lit("n"), (F.col("id") % 100).cast("string")))
+    cache = c.select(registry.cache_key(F.col("email"), F.lit("v1")).alias("cache_key"), tokens.alias("tokens"), registry.bindings_tag(tokens, before).alias("tag"), "id").where("id >= 100")
+    now = c.select(F.col("id").cast("string").alias("token"), F.when(F.col("id") < 100, F.concat(F.lit("n"), F.col("id").cast("string"))).when(F.col("id") % 5 == 0, "other").otherwise(F.col("surname")).alias("identity"))
+    now = now.unionByName(spark.createDataFrame([("0", "n0")], "token string, identity string"))
+    return registry.still_valid(cache, now).select("id")
+
+
+def cache_budget(spark, sf):
+    """The coded texts used last, as many as fit."""
+    c = table(spark, sf, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("cache_key"), F.length("c_mktsegment").cast("long").alias("bytes"), F.timestamp_seconds(F.col("c_custkey") % 7).alias("last_used_at"))
+    return registry.within_budget(c, 60, 400).select("cache_key")
+
+
+BUDGET_SQL = """
+with l as (select lpad(cast(c_custkey as varchar), 9, '0') as cache_key, length(c_mktsegment) as b, c_custkey % 7 as u from customer order by u desc, cache_key limit 60)
+select cache_key from (select *, sum(b) over (order by u desc, cache_key) as t from l) q where t <= 400
+"""
+
+
+def identity_matches(spark, sf):
+    """Whether stored values are of an identity: by canonical form, by a name's key, never by look alone."""
+    c = cards(spark, sf)
+    got = F.when(F.col("id") % 2 == 0, registry.matches_identity(F.lit("T"), F.col("phone_b"), F.col("phone"))).otherwise(registry.matches_identity(F.lit("P"), F.concat(F.lit("«"), F.col("given"), F.lit("»")), F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise(normalize.identity_key(F.col("given")))))
+    return c.select("id", got.alias("same"))
+
+
+def noise_kinds(spark, sf):
+    """What values are by shape, and why would-be names are noise; what the open layer has never is."""
+    c = cards(spark, sf)
+    value = F.element_at(F.array(F.col("surname"), F.concat("surname", F.lit(" 2")), F.lit("Я"), F.lit("Абонемент"), F.col("phone_a"), F.concat("surname", F.lit(" и его три друга")), F.col("email")), (F.col("id") % 7 + 1).cast("int"))
+    words = Vocabulary.of(terms=["абонемент"])
+    return c.select("id", dictionary.shape_class(value).alias("shape"), dictionary.noise_kind(value, F.col("id") % 2 == 0, names.is_own_word(value, words)).alias("noise"))
+
+
+NOISE_KINDS_SQL = """
+select c_custkey as id, case c_custkey % 7 when 4 then 'T' when 6 then 'E' else 'P' end as shape,
+    case when c_custkey % 2 = 0 then null else case c_custkey % 7 when 1 then 'digits' when 2 then 'one_letter' when 3 then 'own_word' when 4 then 'digits' when 5 then 'sentence' when 6 then 'digits' end end as noise from customer
+"""
 
 
 QUERIES = [
     ("registry_assign", registry_assign, f"select email as identity, {code_sql('E', 'email')} as token, 0 as salt from ({CARDS}) c"),
-    ("registry_collision_walk", registry_collision_walk, None),
+    ("registry_collision_walk", registry_collision_walk, f"select count(*) as identities, count(*) as tokens, count(distinct {code_sql('E', 'email', length=3)}) as first_choices from ({CARDS}) c"),
+    ("legacy_rows", legacy_rows, LEGACY_SQL),
+    ("identity_cascade", identity_cascade, CASCADE_SQL),
+    ("dictionary_export", dictionary_export, EXPORT_SQL),
+    ("registry_counters", registry_counters, COUNTERS_SQL),
+    ("registry_inventory", registry_inventory, INVENTORY_SQL),
+    ("cache_validity", cache_validity, "select c_custkey as id from customer where c_custkey >= 100 and c_custkey % 5 <> 0"),
+    ("cache_budget", cache_budget, BUDGET_SQL),
+    ("identity_matches", identity_matches, "select c_custkey as id, c_custkey % 2 = 0 or c_custkey % 3 <> 0 as same from customer"),
+    ("noise_kinds", noise_kinds, NOISE_KINDS_SQL),
     ("collision_first_round", collision_first_round, f"select phone as identity, {code_sql('T', 'phone', length=3)} as token from ({CARDS}) c qualify row_number() over (partition by {code_sql('T', 'phone', length=3)} order by id) = 1"),
     ("registry_upsert", registry_upsert, UPSERT_SQL),
     ("registry_purge", registry_purge, "select o_custkey from orders group by 1 having max(o_orderdate) >= (select max(o_orderdate) from orders) - interval 90 day"),
@@ -405,5 +523,5 @@ QUERIES = [
     ("layer_bases", layer_bases, LAYER_BASES_SQL),
     ("transliterated", transliterated, "select unnest(['Ivanov', 'Petrov', 'Popov', 'Smirnov', 'Lebedev']) as value"),
     ("name_decisions", name_decisions, DECISIONS_SQL),
-    ("evidence", evidence, f"select distinct upper(surname || ' ' || given) as value, true as admitted from ({CARDS}) c"),
+    ("evidence", evidence, EVIDENCE_SQL),
 ]

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import codes
-from maskwright.functions import spans as S
-from maskwright.operators import analytics, tokenise
+from maskwright.operators import analytics, engine, gate, names, registry, tokenise
 from maskwright.session import table
 
-from .cards import CARD_TEXT, CARDS, KEY, PHONE_FORM, cards
+from .cards import CARD_TEXT, CARDS, KEY, PHONE_FORM, cards, rules
 
 
 def _coded(spark, sf, extra: str = ""):
@@ -57,14 +56,48 @@ def recall(spark, sf):
 
 
 def rep_rate(spark, sf):
-    """Share of declined spellings of surnames that the second pass replaces."""
+    """Case forms of surnames in clients' lines that the engine replaces, by a dictionary that lacks two of the seven surnames."""
+    c = cards(spark, sf).select("surname").distinct()
+    known = c.where("surname not in ('Петров', 'Попов')").select(F.col("surname").alias("value"), F.lit("lastname").alias("kind"))
+    all_forms = names.forms(c.select(F.col("surname").alias("value"), F.lit("lastname").alias("kind")), rules(spark))
+    texts = all_forms.select(F.concat_ws("#", "value", "form").alias("doc_id"), F.concat(F.lit("клиент "), "form", F.lit("; тел")).alias("text"), "form", "ord")
+    k = names.Knowledge(exact=known.select("value"), forms=names.layer_bases(names.forms(known, rules(spark))))
+    done = engine.protect(texts.select("doc_id", "text"), KEY, k).texts.join(texts.select("doc_id", "form", "ord"), "doc_id")
+    return analytics.rep_rate(done.select("ord", (~analytics.present(F.col("form"), F.col("masked"))).alias("masked")))
+
+
+REP_SQL = f"""
+with s as (select distinct surname from ({CARDS}) c), f as (select surname, 0 as ord from s union all select surname, unnest([1, 2, 3, 4]) from s)
+select count(*) as forms, avg(case when surname in ('Петров', 'Попов') then 0 else 1 end) as rep_rate, count(*) filter (surname in ('Петров', 'Попов') and ord = 0) as base_missed,
+    count(*) filter (surname in ('Петров', 'Попов') and ord > 0) as declined_missed from f
+"""
+
+
+def false_blocks(spark, sf):
+    """Clean texts that the gate would block after the engine has been over them."""
+    done = engine.protect(table(spark, sf, "benchmark").groupBy("item_id").agg(F.min("text").alias("text")).withColumnRenamed("item_id", "doc_id"), KEY)
+    return analytics.false_blocks(engine.verdict(done))
+
+
+def reversibility(spark, sf):
+    """Case forms of surnames that can be read in what went out: of every eighth card, whose text left by another way."""
+    c = cards(spark, sf).select(F.col("id").alias("doc_id"), "surname", "email")
+    forms_ = c.select("doc_id", F.explode(F.array(F.col("surname"), F.concat("surname", F.lit("у")), F.col("email"))).alias("form"))
+    sent = c.select("doc_id", F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("от "), "surname", F.lit("у"))).otherwise(F.concat(F.lit("от "), codes.code(F.lit("P"), F.lower("surname"), KEY))).alias("outgoing"))
+    return analytics.reversibility(forms_, sent)
+
+
+def glue(spark, sf):
+    """Codes that answers showed as more than one person, and persons with several codes."""
     c = cards(spark, sf)
-    raw = F.col("surname")
-    spans = F.array(S.span(F.lit(0), F.length(raw), F.lit("P"), raw, F.lower(raw), 0, F.lit(0)))
-    text = F.concat(F.upper(raw), F.lit(", "), raw, F.lit("а."))
-    done = c.select("id", raw.alias("base"), F.concat(raw, F.lit("а")).alias("declined"), tokenise.second_pass(text, spans, lambda s: tokenise.code_of(s, KEY)).alias("outgoing"))
-    each = done.select(F.explode(F.array(F.upper("base"), F.col("declined"))).alias("value"), "outgoing")
-    return analytics.recall(each)
+    seen = c.select(F.when(F.col("id") % 50 == 0, F.lit("zPX")).otherwise(F.concat(F.lit("zP"), F.col("id").cast("string"))).alias("code"), F.concat("surname", F.lit(" "), F.floor(F.col("id") / 70).cast("string")).alias("person"))
+    return analytics.glue(seen)
+
+
+GLUE_SQL = f"""
+with s as (select case when id % 50 = 0 then 'zPX' else 'zP' || cast(id as varchar) end as code, surname || ' ' || cast(floor(id / 70) as bigint) as person from ({CARDS}) c)
+select (select count(distinct code) from s) as codes, (select count(*) from (select code from s group by 1 having count(distinct person) > 1) a) as glued, (select count(*) from (select person from s group by 1 having count(distinct code) > 1) b) as split
+"""
 
 
 def ph_consistency(spark, sf):
@@ -104,17 +137,15 @@ from (select c_nationkey, count(*) * 1000.0::double as n from customer group by
 
 
 def code_price(spark, sf):
-    """Characters that each surface of a code costs against the raw value."""
-    c = cards(spark, sf)
-    forms = F.array(F.struct(F.lit("raw").alias("format"), F.length("email").alias("cost")), F.struct(F.lit("compact").alias("format"), F.length(codes.code(F.lit("E"), F.col("email"), KEY)).alias("cost")), F.struct(F.lit("framed").alias("format"), F.lit(18).alias("cost")))
-    each = c.select(F.explode(forms).alias("f")).groupBy("f.format").agg(F.sum("f.cost").alias("cost"))
-    raw = c.agg(F.sum(F.length("email")).alias("raw"))
-    return each.crossJoin(F.broadcast(raw)).select("format", "cost", F.round(F.col("cost") / F.col("raw"), 6).alias("ratio"))
+    """Characters that each of five surfaces costs against the raw value."""
+    c = cards(spark, sf).select("email", codes.code(F.lit("E"), F.col("email"), KEY).alias("code"))
+    return analytics.code_price(c, F.col("code"), F.col("email"))
 
 
 PRICE_SQL = f"""
-with c as (select length(email) as l from ({CARDS}) x), s as (select 'raw' as format, sum(l)::bigint as cost from c union all select 'compact', count(*) * 10 from c union all select 'framed', count(*) * 18 from c)
-select format, cost, round(cost / (select sum(l) from c), 6) as ratio from s
+with s as (select sum(length(email))::bigint as raw, count(*) as n from ({CARDS}) x),
+f as (select unnest(['raw', 'compact', 'framed', 'brackets', 'bare']) as format, unnest([raw, n * 10, n * 18, n * 16, n * 14]) as cost, raw from s)
+select format, cost, round(cost / raw, 6) as ratio from f
 """
 
 
@@ -127,21 +158,31 @@ CACHE_SQL = "select sum(user_id) filter (event_id % 3 = 0)::bigint as hits, sum(
 
 
 def pii_share(spark, sf):
-    """Clean and dirty documents, their volume, and sources that have both."""
-    docs = tokenise.with_spans(table(spark, sf, "documents").select("source", "text"), detector=_emails)
+    """Clean and dirty requests by all rules, their volume, and segments that have both; a third of the requests is a greeting."""
+    text = f"case when id % 3 = 0 then 'добрый день' else {CARD_TEXT} end"
+    docs = tokenise.with_spans(cards(spark, sf, f"segment || cast(id % 40 as string) as source, {text} as text"))
     return analytics.pii_share(docs.select(F.col("source").alias("session_id"), F.length("text").cast("long").alias("volume"), F.size("spans").alias("findings")))
 
 
-def _emails(text):
-    from maskwright.operators import detect
+SHARE_SQL = f"""
+with d as (select segment || cast(id % 40 as varchar) as source, id % 3 <> 0 as dirty, length(case when id % 3 = 0 then 'добрый день' else {CARD_TEXT.replace('as string', 'as varchar')} end) as v from ({CARDS}) c),
+s as (select source, count(*) as n, count(*) filter (dirty) as d, sum(v) as v, coalesce(sum(v) filter (dirty), 0) as dv from d group by source)
+select sum(n)::bigint as requests, sum(d)::bigint as dirty, sum(v)::bigint as volume, sum(dv)::bigint as dirty_volume, count(*) filter (d > 0 and d < n) as mixed_sessions from s
+"""
 
-    return detect.emails(text)
 
+def replay_report(spark, sf):
+    """What a replay of cards found by class, and what is left in every sixth text, which went out as it came."""
+    c = cards(spark, sf, f"id, {CARD_TEXT} as text")
+    t = tokenise.tokenise(c, KEY).withColumn("outgoing", F.when(F.col("id") % 6 == 0, F.col("text")).otherwise(F.col("masked")))
+    left = t.select("id", F.explode(F.transform(gate.unmasked(F.col("outgoing")), lambda s: s["cls"])).alias("cls"), F.lit(0).alias("findings"), F.lit(1).alias("residual"))
+    found = t.select("id", F.explode("spans.cls").alias("cls"), F.lit(1).alias("findings"), F.lit(0).alias("residual"))
+    return analytics.replay_report(found.unionByName(left).withColumn("run", F.col("id") % 2))
 
-_HAS = r"regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')"
-SHARE_SQL = f"""
-with s as (select source, count(*) as n, count(*) filter ({_HAS}) as d, sum(length(text)) as v, coalesce(sum(length(text)) filter ({_HAS}), 0) as dv from documents group by source)
-select sum(n)::bigint as requests, sum(d)::bigint as dirty, sum(v)::bigint as volume, sum(dv)::bigint as dirty_volume, count(*) filter (d > 0 and d < n) as mixed_sessions from s
+
+REPLAY_SQL = f"""
+with f as (select id % 2 as run, unnest(['T', 'E', 'D', 'C']) as cls, case when id % 6 = 0 then 1 else 0 end as r from ({CARDS}) c)
+select run, cls, count(*) as findings, sum(r)::bigint as residual, sum(r) = 0 as clean from f group by grouping sets ((run, cls), (run))
 """
 
 
@@ -158,24 +199,39 @@ select doc_id, min(s) as start, max(s) + 1 as "end", cast(min(s) as varchar) as
 
 
 def health(spark, sf):
-    """One row of what the engine holds: registry rows by class, and documents."""
+    """One row of what the engine holds: codes by class, and whether the registry may be used."""
     c = cards(spark, sf)
-    reg = c.select(F.lit("T").alias("cls")).unionByName(c.where("id % 2 = 0").select(F.lit("E").alias("cls")))
-    by = reg.groupBy().pivot("cls", ["T", "E", "P"]).agg(F.count(F.lit(1)))
-    return by.select(F.coalesce("T", F.lit(0)).alias("telephones"), F.coalesce("E", F.lit(0)).alias("emails"), F.coalesce("P", F.lit(0)).alias("persons"))
+    row = lambda cls, column: c.select(codes.code(F.lit(cls), F.col(column), KEY).alias("token"), F.lit(cls).alias("cls"), F.col(column).alias("value"), F.col(column).alias("identity"), F.lit(None).cast("string").alias("source"))
+    reg = row("T", "phone").unionByName(row("E", "email").where("length(value) % 2 = 0"))
+    count = registry.counters(reg).where("kind = 'class'").groupBy().pivot("name", ["T", "E", "P"]).agg(F.sum("n"))
+    return count.join(registry.inventory(reg).select("codes", "usable"), F.lit(True)).select(F.coalesce("T", F.lit(0)).alias("telephones"), F.coalesce("E", F.lit(0)).alias("emails"), F.coalesce("P", F.lit(0)).alias("persons"), "codes", "usable")
+
+
+HEALTH_SQL = f"select count(*) as telephones, count(*) filter (length(email) % 2 = 0) as emails, 0 as persons, count(*) + count(*) filter (length(email) % 2 = 0) as codes, true as usable from ({CARDS}) c"
 
 
 def ground_truth(spark, sf):
-    """Clients per manager, by full name."""
-    return cards(spark, sf).groupBy(F.concat_ws(" ", "given", "surname").alias("manager")).agg(F.count(F.lit(1)).alias("clients"))
+    """Clients per manager, and how a model's answers score against them: it is one off for every second name."""
+    truth = cards(spark, sf).groupBy(F.concat_ws(" ", "given", "surname").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    said = F.concat(F.lit("У 1 менеджера клиентов: "), F.when(F.length("name") % 2 == 0, F.col("n")).otherwise(F.col("n") + 1).cast("string"))
+    return analytics.scored_answers(truth, truth.select("name", said.alias("answer")))
 
 
+TRUTH_SQL = f"""
+with t as (select given || ' ' || surname as name, count(*) as n from ({CARDS}) c group by 1)
+select name, n, case when length(name) % 2 = 0 then n else n + 1 end as said, length(name) % 2 = 0 as "right" from t
+"""
+
 QUERIES = [
     ("k_anonymity", k_anonymity, K_SQL),
     ("direct_lookup", direct_lookup, DIRECT_SQL),
     ("dictionary_linkage", dictionary_linkage, LINKAGE_SQL),
     ("recall", recall, f"select count(*) * 2 as \"values\", 1.0 as recall from ({CARDS}) c"),
-    ("rep_rate", rep_rate, f"select count(*) * 2 as \"values\", 0.5 as recall from ({CARDS}) c"),
+    ("rep_rate", rep_rate, REP_SQL),
+    ("false_blocks", false_blocks, "select count(distinct item_id) as texts, 0 as blocked from benchmark"),
+    ("reversibility", reversibility, f"select count(*) * 3 as forms, count(*) filter (id % 8 = 0) as readable from ({CARDS}) c"),
+    ("glue", glue, GLUE_SQL),
+    ("replay_report", replay_report, REPLAY_SQL),
     ("ph_consistency", ph_consistency, f"select count(*) as \"values\", 1.0 as ph_consistency from ({CARDS}) c"),
     ("false_activity", false_activity, "select count(*) as texts, 0 as changed from benchmark"),
     ("metric_verdicts", metric_verdicts, VERDICTS_SQL),
@@ -184,6 +240,6 @@ QUERIES = [
     ("cache_rate", cache_rate, CACHE_SQL),
     ("pii_share", pii_share, SHARE_SQL),
     ("merged_pieces", merged_pieces, PIECES_SQL),
-    ("health", health, f"select count(*) as telephones, count(*) filter (id % 2 = 0) as emails, 0 as persons from ({CARDS}) c"),
-    ("ground_truth", ground_truth, f"select given || ' ' || surname as manager, count(*) as clients from ({CARDS}) c group by 1"),
+    ("health", health, HEALTH_SQL),
+    ("ground_truth", ground_truth, TRUTH_SQL),
 ]

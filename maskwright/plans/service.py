@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import codes
-from maskwright.operators import analytics, detect, dictionary, payload, requests, training
+from maskwright.functions.scan import Vocabulary
+from maskwright.operators import analytics, detect, dictionary, names, payload, requests, training
 from maskwright.session import table
 from maskwright.sources import journals
 
@@ -50,7 +51,7 @@ def restored_arguments(spark, sf):
 
 
 ARGUMENTS_SQL = f"""
-select id as req_id, case when id % 2 = 0 then '{{"to": "' || phone || '", "note": "позвони ' || phone || '"}}' else '{{"to": "' || {code_sql('T', 'phone')} || '", "note": "позвони ' || {code_sql('T', 'phone')} || '"}}' end as body from ({CARDS}) c
+select id as req_id, case when id % 2 = 0 then '{{"to": ' || phone || ', "note": "позвони ' || phone || '"}}' else '{{"to": "' || {code_sql('T', 'phone')} || '", "note": "позвони ' || {code_sql('T', 'phone')} || '"}}' end as body from ({CARDS}) c
 """
 
 
@@ -93,7 +94,7 @@ def judged_incidents(spark, sf):
     rows = c.select(F.when(F.col("id") % 7 == 0, F.lit("T")).otherwise(F.lit("P")).alias("cls"), value.alias("value"), F.col("id").alias("ord"))
     known = dictionary.keyed(c.where("id % 3 = 0").select(F.lit("P").alias("cls"), F.concat("surname", F.lit(" "), F.col("id").cast("string")).alias("value")), KEY)
     sure = c.where("id % 2 = 0").select(F.concat("surname", F.lit(" "), F.col("id").cast("string")).alias("value"))
-    return training.judged(rows, known, KEY, sure, 9).select("cls", "value", "verdict")
+    return training.judged(rows, known, KEY, sure, 9, Vocabulary.of(values=["менеджер"])).select("cls", "value", "verdict")
 
 
 JUDGED_SQL = f"""
@@ -176,20 +177,68 @@ def sql_functions(spark, sf):
 FUNCTIONS_SQL = f"select id, phone, email, lower(surname) || ' ' || lower(given) as name, replace(birth, '.', '') as digits from ({CARDS}) c"
 
 
+def restored_response(spark, sf):
+    """Answers of a model: texts are restored where the channel lets them, arguments of tool calls always, other fields never."""
+    c = cards(spark, sf).select("id", "phone", "surname", codes.code(F.lit("T"), F.col("phone"), KEY).alias("t"))
+    arguments = F.to_json(F.struct(F.col("t").alias("to")))
+    message = F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("звоните "), "t").alias("content"), F.array(F.struct(F.struct(F.lit("call").alias("name"), arguments.alias("arguments")).alias("function"))).alias("tool_calls"))
+    body = F.to_json(F.struct(F.col("t").alias("id"), F.array(F.struct(message.alias("message"))).alias("choices")))
+    known = c.select(F.col("t").alias("token"), F.array("phone").alias("forms"), F.lit(None).cast("string").alias("identity"), F.col("phone").alias("value"))
+    r = c.select(F.col("id").alias("req_id"), body.alias("body"), F.when(F.col("id") % 2 == 0, "detokenize").otherwise("keep").alias("decision"))
+    return requests.restored_response(r, known, c.select(F.col("id").alias("req_id"), F.col("t").alias("token"))).select("req_id", "body")
+
+
+RESPONSE_SQL = rf"""
+with c as (select id, phone, {code_sql('T', 'phone')} as t from ({CARDS}) x)
+select id as req_id, '{{"id": "' || t || '", "choices": [{{"message": {{"role": "assistant", "content": "звоните ' || case when id % 2 = 0 then phone else t end
+    || '", "tool_calls": [{{"function": {{"name": "call", "arguments": "{{\"to\": ' || phone || '}}"}}}}]}}}}]}}' as body from c
+"""
+
+
+def request_log(spark, sf):
+    """Requests read from a log: bodies that are no JSON object and routes that are not served are told apart."""
+    c = table(spark, sf, "customer")
+    path = journals.scratch(spark, "requests")
+    body = F.when(F.col("c_custkey") % 4 == 0, F.lit("[1]")).when(F.col("c_custkey") % 4 == 1, F.lit("{")).otherwise(F.lit('{"a": 1}'))
+    c.select(F.col("c_custkey").cast("string").alias("req_id"), F.when(F.col("c_custkey") % 3 == 0, "other").otherwise("llm").alias("route"), F.lit("/v1/chat").alias("path"), body.alias("body")).write.json(path)
+    return requests.request_log(spark, path, ("llm",)).select("req_id", "status")
+
+
+def exchanged(spark, sf):
+    """What a provider answered, and its errors by kind."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("req_id"), F.lit("{}").alias("body"))
+    status = F.element_at(F.array(*(F.lit(x) for x in (200, 401, 503, 422, 200))), (F.col("req_id") % 5 + 1).cast("int"))
+    answers = c.where("req_id % 6 <> 0").select("req_id", status.alias("status"), F.when(F.col("req_id") % 5 == 4, "no").otherwise('{"x": 1}').alias("answer"))
+    return requests.exchanged(c, answers).select("req_id", "answer", "error")
+
+
+EXCHANGED_SQL = """
+with c as (select c_custkey as k, case when c_custkey % 6 = 0 then 'timeout' else case c_custkey % 5 when 1 then 'not_authorised' when 2 then 'provider_failed' when 3 then 'refused' when 4 then 'no_json' end end as error from customer)
+select k as req_id, case when error is null then '{"x": 1}' end as answer, error from c
+"""
+
+
+def vocabulary_words(spark, sf):
+    """Would-be names that a deployment's own words rule out: terms, values and phrases of two vocabularies merged."""
+    words = Vocabulary.of(terms="абонемент; # skipped", values=["гость"]).merged(Vocabulary.of(phrases="до пятницы", service_objects=["зал номер"]))
+    c = cards(spark, sf)
+    value = F.element_at(F.array(F.col("surname"), F.concat("surname", F.lit(" Абонемент")), F.lit("ГОСТЬ"), F.concat("given", F.lit(" до  пятницы")), F.lit("Зал номер")), (F.col("id") % 5 + 1).cast("int"))
+    return c.select("id", names.is_own_word(value, words).alias("own"))
+
+
 def reidentification(spark, sf):
-    """Attacks on coded cards, in one report: attempts, successes and a verdict."""
+    """Attacks on coded cards, in one report; every fifteenth card leaks its e-mail, and singling out is told without counting."""
     from maskwright.operators import tokenise
 
-    t = tokenise.tokenise(cards(spark, sf, f"*, {PHONE_FORM} as pf, {CARD_TEXT} as text"), KEY)
-    direct = analytics.direct_lookup(t, {"email": "E", "pf": "T"}, "masked").agg(F.lit("direct").alias("attack"), F.sum("attempts").alias("attempts"), F.sum("successes").alias("successes"))
+    t = tokenise.tokenise(cards(spark, sf, f"*, {PHONE_FORM} as pf, {CARD_TEXT} as text"), KEY).withColumn("outgoing", F.when(F.col("id") % 15 == 0, F.concat("masked", F.lit(" "), "email")).otherwise(F.col("masked")))
+    direct = analytics.direct_lookup(t, {"email": "E", "pf": "T"}).agg(F.lit("direct").alias("attack"), F.sum("attempts").alias("attempts"), F.sum("successes").alias("successes"))
     entries = cards(spark, sf).select(codes.value_digest(F.lit("E"), F.col("email"), KEY).alias("entry"))
     link = analytics.linkage(cards(spark, sf).select(F.col("email").alias("value")), entries).select(F.lit("linkage").alias("attack"), "attempts", "successes")
-    single = analytics.groups(cards(spark, sf), ["segment", "nation", "balance"]).agg(F.lit("singling_out").alias("attack"), F.count(F.lit(1)).alias("attempts"), F.lit(0).cast("long").alias("successes"))
-    return direct.unionByName(link).unionByName(single).withColumn("verdict", F.when(F.col("successes") == 0, "held").otherwise("broken"))
+    return analytics.reidentification([direct, link], analytics.groups(cards(spark, sf), ["segment", "nation", "balance"]).agg(F.count(F.lit(1)).alias("attempts")))
 
 
 REID_SQL = f"""
-select 'direct' as attack, count(*) * 2 as attempts, 0 as successes, 'held' as verdict from ({CARDS}) c union all select 'linkage', count(*), 0, 'held' from ({CARDS}) c
+select 'direct' as attack, count(*) * 2 as attempts, count(*) filter (id % 15 = 0) as successes, 'broken' as verdict from ({CARDS}) c union all select 'linkage', count(*), 0, 'held' from ({CARDS}) c
 union all select 'singling_out', count(*), 0, 'held' from (select distinct segment, nation, balance from ({CARDS}) c) q
 """
 
@@ -198,6 +247,10 @@ QUERIES = [
     ("body_verdicts", body_verdicts, "select c_custkey as req_id, c_custkey % 5 <> 0 as clean, case when c_custkey % 5 = 0 then 1 else 0 end as reasons from customer"),
     ("image_policy", image_policy, "select c_custkey % 50 as req_id, count(*) filter (c_custkey % 10 = 3) as images, case when count(*) filter (c_custkey % 10 = 3) = 0 then 'pass' else 'block' end as action from customer group by 1"),
     ("restored_arguments", restored_arguments, ARGUMENTS_SQL),
+    ("restored_response", restored_response, RESPONSE_SQL),
+    ("request_log", request_log, "select cast(c_custkey as varchar) as req_id, case when c_custkey % 3 = 0 then 404 when c_custkey % 4 < 2 then 400 else 200 end as status from customer"),
+    ("exchanged", exchanged, EXCHANGED_SQL),
+    ("vocabulary_words", vocabulary_words, "select c_custkey as id, c_custkey % 5 <> 0 as own from customer"),
     ("typed_values", typed_values, TYPED_SQL),
     ("exported_values", exported_values, EXPORTED_SQL),
     ("judged_incidents", judged_incidents, JUDGED_SQL),

@@ -22,3 +22,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it. Only a session on one machine may do without: it gets one of its own."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="maskwright-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once and read from there: used where more than one plan reads it, and by iterations."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

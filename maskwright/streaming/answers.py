@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .relay import Restorer, frames, restored_whole
+from .relay import Codes, Guard, Restorer, frames, restored_whole, sent_guard, with_allowed
 
 DONE = b"data: [DONE]\n\n"
 BROKEN = b'data: {"error":{"code":"stream_broken"}}\n\n'
@@ -24,10 +24,10 @@ class Answer:
     """One streamed answer. Contents and reasoning share a buffer; arguments of tools are held back
     by index and sent whole, restored, before a finishing frame, the end mark, or the end of the stream."""
 
-    def __init__(self, form: Callable[[str, int], str | None], state: dict | None = None):
+    def __init__(self, form: Callable[[str, int], str | None], state: dict | None = None, guard: Guard | None = None, value: Callable[[str], str] | None = None):
         s = state or {}
         self.form, self.pending, self.ended = form, bytes.fromhex(s.get("pending", "")), s.get("ended", False)
-        self.text = Restorer(form, s.get("held", ""), s.get("left", ""), s.get("seen"))
+        self.text = Restorer(form, s.get("held", ""), s.get("left", ""), s.get("seen"), guard, value)
         self.args: dict[int, str] = {int(k): v for k, v in s.get("args", {}).items()}
         self.names: dict[int, str] = {int(k): v for k, v in s.get("names", {}).items()}
 
@@ -96,15 +96,16 @@ class Answer:
 class AnswerProcessor(StatefulProcessor):
     """Per session: chunks in order of seq in, frames out; the last chunk forgets the session."""
 
-    def __init__(self, forms: dict[str, list[str]]):
-        self.forms = forms
+    def __init__(self, guard: Guard):
+        self.guard = guard
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("answer", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         chunks = pd.concat(list(rows)).sort_values("seq")
-        a = Answer(self._form, json.loads(self.kept.get()[0]) if self.kept.exists() else None)
+        codes = Codes(chunks["codes"].iloc[0])
+        a = Answer(codes.form, json.loads(self.kept.get()[0]) if self.kept.exists() else None, self.guard, codes.value)
         out = [(key[0], int(x.seq), i, f) for x in chunks.itertuples() for i, f in enumerate(a.feed(bytes(x.chunk or b""), bool(x.last)))]
         if bool(chunks["last"].iloc[-1]):
             self.kept.clear()
@@ -112,18 +113,16 @@ class AnswerProcessor(StatefulProcessor):
             self.kept.update((json.dumps(a.state()),))
         yield pd.DataFrame(out, columns=["session_id", "seq", "ord", "frame"])
 
-    def _form(self, code: str, n: int) -> str | None:
-        have = self.forms.get(code)
-        return None if not have else have[min(n, len(have) - 1)]
-
     def close(self) -> None:
         pass
 
 
-def relay(chunks: DataFrame, forms: dict[str, list[str]]) -> DataFrame:
-    """(session_id, seq, ord, frame) of a stream of chunks (session_id, seq, chunk: binary, last). Needs the RocksDB state store."""
-    return chunks.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=AnswerProcessor(forms), outputStructType="session_id string, seq int, ord int, frame binary", outputMode="Append", timeMode="None"
+def relay(chunks: DataFrame, allowed: DataFrame, guard: str = "off", combos: DataFrame | None = None, key: bytes = b"") -> DataFrame:
+    """(session_id, seq, ord, frame) of a stream of chunks (session_id, seq, chunk: binary, last), each session with its own
+    ``allowed`` codes (session_id, token, forms, value). Needs the RocksDB state store."""
+    told = with_allowed(chunks, allowed).select("session_id", "seq", "chunk", "last", "codes")
+    return told.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=AnswerProcessor(sent_guard(guard, combos, key)), outputStructType="session_id string, seq int, ord int, frame binary", outputMode="Append", timeMode="None"
     )
 
 

@@ -9,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from maskwright.functions import codes, normalize
+from maskwright.functions import codes, normalize, scan
 from maskwright.functions import spans as S
-from maskwright.operators import detect, payload, tokenise
+from maskwright.operators import detect, tokenise
 from maskwright.sources import journals
 from maskwright.streaming import relay
 
@@ -94,10 +94,12 @@ def test_frames(size):
     assert b"".join(out) + pending == data and pending == b"rest" and len(out) == 3
 
 
-def test_tolerant_codes():
-    assert payload.tolerant_codes("код zP-ABCD EFGH!") == [(4, 16, "zPABCDEFGH")]
-    assert payload.tolerant_codes("zebra zone zoom") == []
-    assert payload.tolerant_codes("zРAВСDEFGH")[0][2] == "zPABCDEFGH"
+def test_damaged_codes():
+    found = lambda t: [(a, b, norm) for a, b, _, _, norm, *_ in scan.code_spans(t)]
+    assert found("код zP-ABCD EFGH!") == [(4, 16, "zPABCDEFGH")] and found("zРAВСDEFGH")[0][2] == "zPABCDEFGH" and found("zP08CDEFGH")[0][2] == "zPOBCDEFGH"
+    for none in ("zebra zone zoom", "XzPABCDEFGH", "zPABCD", "z" + " " * 12, "zQABCDEFGH", "z P A B C D E F G H I J", "zpab-cdefgh"):
+        assert found(none) == [] or none.startswith("z P"), none
+    assert [x[2] for x in found("zPABCDEFGH, ещё zPABCDEFGH")] == ["zPABCDEFGH"] * 2
 
 
 def test_paged_source(spark, tmp_path):

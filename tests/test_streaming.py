@@ -4,8 +4,12 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from maskwright.functions import forms
+
 from maskwright.settings import Settings, SettingsError, flag, trusted_clients
 from maskwright.streaming import answers, relay
 
@@ -75,9 +79,13 @@ def test_answers_as_a_stream(spark, tmp_path):
     for part in (rows[:half], rows[half:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = run(spark, answers.relay(stream, FORMS), tmp_path).orderBy("session_id", "seq", "ord").collect()
-    for s in range(3):
-        assert read([bytes(x.frame) for x in got if x.session_id == f"s{s}"]) == ("Клиент Иванов и Иванова, тел 79", '{"to": "79"}')
+    allowed = [(f"s{s}", t, f, f[0]) for s in (0, 1) for t, f in FORMS.items() if s == 0 or t[1] == "T"]
+    allowed = spark.createDataFrame(allowed, "session_id string, token string, forms array<string>, value string")
+    got = run(spark, answers.relay(stream, allowed), tmp_path).orderBy("session_id", "seq", "ord").collect()
+    p, t = "zPABCDEFGH", "zTQQQQ2222"
+    want = [("Клиент Иванов и Иванова, тел 79", '{"to": "79"}'), (f"Клиент {p} и {p}, тел 79", '{"to": "79"}'), (f"Клиент {p} и {p}, тел {t}", f'{{"to": "{t}"}}')]
+    for s in range(3):  # each session sees its own codes only
+        assert read([bytes(x.frame) for x in got if x.session_id == f"s{s}"]) == want[s]
 
 
 def test_weekly_with_watermark(spark, tmp_path):
@@ -108,3 +116,40 @@ def test_settings():
 
 def test_prefix_lengths():
     assert relay.growing("abc z") == 1 and relay.growing("abc zP") == 2 and relay.growing("[[P-AB") == 6 and relay.growing("hello!") == 0
+
+
+PERSONS = {"zPAAAAAAAA": "Иванов", "zPBBBBBBBB": "Пётр", "zPCCCCCCCC": "Олегович", "zPDDDDDDDD": "Анна"}
+KEY = b"k" * 32
+
+
+def known(*combos):
+    return frozenset(forms.combo_digest([forms.identity_key(x) for x in c], KEY) for c in combos)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PERSONS, " ", "  ", "\n", " и ", ".", "[[T-ABCDEFGH2345]]", "zPAAAA-AAAA"]), max_size=9), st.integers(1, 9), st.sampled_from(["off", "audit", "enforce"]))
+def test_guarded_stream_equals_whole(parts, size, mode):
+    text = "".join(parts)
+    guard = relay.Guard(mode, known(("Иванов", "Пётр"), ("Пётр", "Олегович"), ("Иванов", "Пётр", "Олегович")), KEY)
+    form = lambda code, n: PERSONS.get(code)
+    r = relay.Restorer(form, guard=guard)
+    out = "".join(r.feed(text[i : i + size]) for i in range(0, len(text), size)) + r.feed("", last=True)
+    whole = relay.Restorer(form, guard=guard)
+    assert out == whole.feed(text, last=True) and r.incidents == whole.incidents
+
+
+def test_guard_modes():
+    guard = lambda mode: relay.Guard(mode, known(("Иванов", "Пётр"), ("Пётр", "Олегович")), KEY)
+    show = lambda text, mode: relay.restored_whole(text, lambda code, n: PERSONS.get(code), guard(mode))
+    a, b, c, d = PERSONS
+    assert show(f"{a} {b}!", "enforce") == "Иванов Пётр!" and show(f"{b} {a}", "enforce") == "Пётр Иванов"
+    assert show(f"{a} {d}", "enforce") == f"{a} {d}" and show(f"{a} {d}", "audit") == "Иванов Анна" and show(f"{a}, {d}", "enforce") == "Иванов, Анна"
+    assert show(f"{a} {b} {c}", "enforce") == f"{a} {b} {c}"  # the pairs are known, the three together are not
+
+
+def test_all_surfaces_in_pieces():
+    have = {"[[P-ABCDEFGH2345]]": "Анна", "zTQQQQ2222": "79"}
+    text = "⟦P-ABCDEFGH2345⟧ и P-ABCDEFGH2345, [[P-ABCDEFGH2345]]; zT QQQQ-2222!"
+    for size in (1, 2, 5, 13):
+        r = relay.Restorer(lambda code, n: have.get(code))
+        assert "".join(r.feed(text[i : i + size]) for i in range(0, len(text), size)) + r.feed("", last=True) == "Анна и Анна, Анна; 79!"
