@@ -39,13 +39,13 @@ SHARD, SAMPLE = 4096, 100_000
 LEAVES_SENT = 200_000
 #: Wide fingerprints for similarities: their words, the bits of each tree, and the fingerprints of a shard.
 WORDS, TREE_BITS, WIDE_SHARD = 8, 16, 300
-#: Candidates differ in a deviation times SLACK more bits than expected at the least similarity; pairs in TIGHT of them stand for their neighbours.
-SLACK, TIGHT = 4, 0.5
+#: Candidates differ in a deviation times SLACK more bits than expected at the least similarity.
+SLACK = 2
 #: Trees are added until a pair at the least similarity, a deviation and a quarter worse than expected, meets in none with this probability.
 MISS = 0.01
 #: Widths up to which a tree keeps the leaf of every value, for points that ask for their own leaf only.
 TABLE_BITS = 16
-#: A shard found to hold more than so many is dealt to several tasks, each with a part of it.
+#: A shard that the sample shows to hold more than so many is dealt to several tasks, each with a part of it.
 PART = 20_000
 
 
@@ -87,7 +87,9 @@ class Tree:
     def __init__(self, values: np.ndarray, reach: int, leaf: float, seed: int, width: int = BITS):
         self.reach, self.width, self.table = reach, width, None
         self.nodes: list[tuple[int, int, int, int]] = []  # vantage, radius, inside, outside; leaves have vantage -1 and their number
-        self.leaves = 0
+        self.leaves, self.sampled = 0, len(values)
+        #: Sampled values in each leaf.
+        self.sizes: list[int] = []
         self.root = self._grow(values, leaf, np.random.default_rng(seed))
         if width <= TABLE_BITS:  # the leaf of every value there can be
             i, at = self.visit(np.arange(1 << width, dtype=np.uint64), 0)
@@ -98,6 +100,7 @@ class Tree:
         kinds = np.unique(p)
         if len(p) <= leaf or len(kinds) < 2:
             self.nodes.append((-1, self.leaves, 0, 0))
+            self.sizes.append(len(p))
             self.leaves += 1
             return len(self.nodes) - 1
         best = None
@@ -194,50 +197,59 @@ def forest(points: np.ndarray, own: np.ndarray, reach: int, cells: int = 1_000_0
     return far, root[far]
 
 
-def candidates(points: np.ndarray, own: np.ndarray, group: np.ndarray, reach: int, tight: int, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a shard's own points and all of ``points`` within ``reach`` bits and of different groups, and whether each is a tight one.
+def closest_forest(x: np.ndarray, y: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the pairs (x, y, at distance d) that make a spanning forest of ``n`` points with the closest pairs."""
+    root = np.arange(n)
+    kept = []
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        while True:
+            p, q = root[x[at]], root[y[at]]
+            at = at[p != q]
+            if not len(at):
+                break
+            high, low = np.maximum(root[x[at]], root[y[at]]), np.minimum(root[x[at]], root[y[at]])
+            order = np.lexsort((low, high))
+            first = order[np.unique(high[order], return_index=True)[1]]
+            kept.append(at[first])
+            root[high[first]] = low[first]
+            while (root != root[root]).any():
+                root = root[root]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def candidates(points: np.ndarray, own: np.ndarray, group: np.ndarray, reach: int, every: bool, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard's own points and all of ``points`` within ``reach`` bits and of different groups.
 
-    Of the pairs within ``tight`` bits only those of a spanning forest are given, and other
-    pairs only between its trees; with ``tight`` below zero all pairs are given.
+    Unless ``every``, only those of a forest of the closest ones: whatever lies within reach of each other is joined through
+    pairs at most as far apart, and a group of n copies gives n - 1 pairs.
     """
-    root = np.arange(len(points))
     a = np.flatnonzero(own)
     words = np.ascontiguousarray(points.T)
-    out = []
+    out = tuple(np.zeros(0, np.int64) for _ in range(3))
     step = max(1, cells // max(1, len(a)))
     for at in range(0, len(points), step):
         d = np.bitwise_count(words[0, at : at + step, None] ^ words[0, a][None, :]).astype(np.uint16)
         for w in words[1:]:
             d += np.bitwise_count(w[at : at + step, None] ^ w[a][None, :])
         x, y = np.nonzero(d <= reach)
-        near = d[x, y] <= tight
+        far = d[x, y].astype(np.int64)
         x, y = x + at, a[y]
         new = (group[x] != group[y]) & ((x < y) | ~own[x])
-        x, y, near = x[new], y[new], near[new]
-        p, q = x[near], y[near]
-        while True:
-            apart = root[p] != root[q]
-            p, q = p[apart], q[apart]
-            if not len(p):
-                break
-            high, low = np.maximum(root[p], root[q]), np.minimum(root[p], root[q])
-            order = np.lexsort((low, high))
-            first = order[np.unique(high[order], return_index=True)[1]]
-            out.append((p[first], q[first], np.ones(len(first), bool)))
-            root[high[first]] = low[first]
-            while (root != root[root]).any():
-                root = root[root]
-        loose = ~near & (root[x] != root[y])
-        out.append((x[loose], y[loose], np.zeros(int(loose.sum()), bool)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        out = tuple(np.concatenate([old, c[new]]) for old, c in zip(out, (x, y, far), strict=True))
+        if not every:
+            kept = closest_forest(*out, len(points))
+            out = tuple(c[kept] for c in out)
+    return out[0], out[1]
 
 
-def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: int, tight: int | None = None) -> DataFrame:
+def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: int, n: int, every: bool | None = None) -> DataFrame:
     """a, b: links found by dealing ``found`` to the leaves of ``trees``.
 
     ``values(words, k)`` gives the band values of tree k. A fingerprint is f itself, or where
-    there is a column w, that holds its words as bytes and f is its number. With ``tight``
-    the pairs are those of ``candidates``, with a < b and near for tight ones; a column g has the groups.
+    there is a column w, that holds its words as bytes and f is its number. With ``every``
+    the pairs are those of ``candidates``, with a < b; a column g has the groups. ``n`` is the number of fingerprints: a
+    leaf that the sample shows to be large is dealt in parts.
     """
     sent = found.sparkSession.sparkContext.broadcast(trees)
     wide = [c for c in ("w", "g") if c in found.columns]
@@ -259,19 +271,12 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(leaf), pa.array(own[i] == leaf), f.take(at), *(b.column(c).take(at) for c in wide)], ["tree", "leaf", "home", "f", *wide])
 
     rows = found.select("f", *wide).mapInArrow(dealt, "tree int, leaf int, home boolean, f long" + "".join({"w": ", w binary", "g": ", g long"}[c] for c in wide))
-    home = lambda batches: (
-        pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n)], ["tree", "leaf", "n"])
-        for b in batches
-        for words in [words_of(b.column("f").to_numpy(zero_copy_only=False), b.column("w").to_pylist() if wide else ())]
-        for k, tree in enumerate(sent.value)
-        for at, n in [np.unique(tree.visit(values(words, k), 0)[1], return_counts=True)]
-    )
-    large = found.select("f", *wide).mapInArrow(home, "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).where(F.col("n") > PART)
-    large = large.select("tree", "leaf", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(large) if sum(t.leaves for t in trees) < LEAVES_SENT else large, ["tree", "leaf"], "left")
+    large = [(k, leaf, int(np.ceil(size * n / max(1, tree.sampled) / PART))) for k, tree in enumerate(trees) for leaf, size in enumerate(tree.sizes) if size * n > PART * tree.sampled]
+    parts = found.sparkSession.createDataFrame(large or [(-1, 0, 1)], "tree int, leaf int, parts int")
+    rows = rows.join(F.broadcast(parts) if len(large) < LEAVES_SENT else parts, ["tree", "leaf"], "left")
     # a large shard's own fingerprints are split into parts, and each part meets all that ask
-    n = F.coalesce("parts", F.lit(1))
-    rows = rows.withColumn("own_part", F.when(F.col("home"), F.pmod(F.xxhash64("f"), n).cast("int"))).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt_in = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("own_part", F.when(F.col("home"), F.pmod(F.xxhash64("f"), dealt_in).cast("int"))).withColumn("part", F.explode(F.sequence(F.lit(0), dealt_in - 1)))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf["f"].to_numpy()
@@ -281,11 +286,11 @@ def _meet(found: DataFrame, values, trees: list[Tree], reach: int, band_reach: i
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("f")  # so that forests of different shards agree
         f = pdf["f"].to_numpy()
-        a, b, near = candidates(words_of(f, pdf["w"]), (pdf["own_part"] == pdf["part"]).to_numpy(), (pdf["g"] if "g" in wide else pdf["f"]).to_numpy(), reach, tight)
-        return pd.DataFrame({"a": np.minimum(f[a], f[b]), "b": np.maximum(f[a], f[b]), "near": near})
+        a, b = candidates(words_of(f, pdf["w"]), (pdf["own_part"] == pdf["part"]).to_numpy(), (pdf["g"] if "g" in wide else pdf["f"]).to_numpy(), reach, every)
+        return pd.DataFrame({"a": np.minimum(f[a], f[b]), "b": np.maximum(f[a], f[b])})
 
     rows = rows.select("tree", "leaf", "part", "own_part", "f", *wide).groupBy("tree", "leaf", "part")
-    return rows.applyInPandas(meet, "a long, b long") if tight is None else rows.applyInPandas(pairs, "a long, b long, near boolean")
+    return rows.applyInPandas(meet if every is None else pairs, "a long, b long")
 
 
 def _sample(found: DataFrame, n: int) -> np.ndarray:
@@ -304,7 +309,7 @@ def links(found: DataFrame, reach: int = REACH, shard: int = SHARD) -> DataFrame
     mask = np.uint64((1 << width) - 1)
     values = lambda words, k: (words[:, 0] >> np.uint64(k * width)) & mask
     points = _sample(found, n)
-    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k, width) for k in range(BANDS)], reach, band_reach)
+    return _meet(found, values, [Tree(values(points, k), band_reach, shard * len(points) / max(1, n), k, width) for k in range(BANDS)], reach, band_reach, n)
 
 
 def classes(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -392,7 +397,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
     kinds = common.staged(each.groupBy("f").agg(F.min(F.struct("n", "d", "h")).alias("least"), F.min("w").alias("w")), "kinds")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """``pairs`` (a, b, near) with ok: whether the shingle sets of both are similar."""
+        """``pairs`` (a, b) with ok: whether the shingle sets of both are similar."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
         asked = kinds.join(ids, "f", "left_semi").select("f", "least.*")
         sets = common.staged(texts.join(asked, ["n", "d", "h"]).select("f", "text").dropDuplicates(["f"]).mapInArrow(hashed, "f long, s binary"), "sets")
@@ -401,9 +406,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFra
         def check(batches):
             for b in batches:
                 ok = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(b.column("s"), b.column("t"), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("near"), pa.array(ok, pa.bool_())], ["a", "b", "near", "ok"])
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-        return common.staged(both.mapInArrow(check, "a long, b long, near boolean, ok boolean"), "confirmed")
+        return common.staged(both.mapInArrow(check, "a long, b long, ok boolean"), "confirmed")
 
     _, ids = _named(kinds.select("f", "least"), _similar(kinds.select("f", "w"), similarity, confirmed))
     winners = ids.select("component_id.*")
@@ -424,25 +429,24 @@ def alike(x: bytes, y: bytes, similarity: float) -> bool:
 def _similar(found: DataFrame, similarity: float, confirmed) -> DataFrame:
     """a, b: links that ``confirmed`` finds true, enough to join all candidates that it would find true.
 
-    The first pass takes a spanning forest of the tight pairs and all others between its
-    trees. Where a tight pair proves wrong, a second pass takes all pairs around
-    it that true links have not joined yet.
+    The first pass takes a forest of the closest candidates of each shard, so their number grows with the
+    fingerprints and not with the square of a group. A pair that is similar is joined in it through pairs at most as far apart. Where
+    one of these proves wrong, a second pass takes all pairs around it that true links have not joined yet.
     """
     n = found.count()
     trees, values = _wide_trees(_sample(found, n), n, similarity)
     reach = similar_reach(similarity, 64 * WORDS, SLACK)
-    tight = int(TIGHT * similar_reach(similarity, 64 * WORDS, 0))
-    pairs = _meet(found, values, trees, reach, 0, tight).groupBy("a", "b").agg(F.max("near").alias("near"))
+    pairs = _meet(found, values, trees, reach, 0, n, False).distinct()
     first = confirmed(common.staged(pairs, "pairs"))
     true = first.where("ok").select("a", "b")
-    if first.where("near and not ok").isEmpty():
+    if first.where("not ok").isEmpty():
         return true
-    near = components(first.where("near").select("a", "b"))
-    wrong = near.join(first.where("near and not ok").select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
+    near = components(first.select("a", "b"))
+    wrong = near.join(first.where("not ok").select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
     again = near.join(wrong, "root", "left_semi").select(F.col("node").alias("f"))
     groups = components(true)
     again = found.join(again, "f").join(groups.withColumnRenamed("node", "f"), "f", "left").select("f", "w", F.coalesce("root", "f").alias("g"))
-    pairs = _meet(common.staged(again, "again"), values, trees, reach, 0, -1).groupBy("a", "b").agg(F.max("near").alias("near"))
+    pairs = _meet(common.staged(again, "again"), values, trees, reach, 0, n, True).distinct()
     pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = confirmed(common.staged(pairs, "pairs"))
     return true.unionByName(second.where("ok").select("a", "b"))

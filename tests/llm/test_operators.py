@@ -730,21 +730,21 @@ def test_near_copies_follow_exact_similarity(spark, monkeypatch):
     assert sum(2 * i + 1 in kept for i in range(300) if sims[i] >= 0.8) <= 3
 
 
-def test_candidates_span(monkeypatch):
+def test_candidates_span():
     r = np.random.default_rng(9)
     base = r.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
     points = np.concatenate([b ^ np.packbits(r.random((12, 512)) < 0.06, axis=1).view(np.uint64) for b in base])
     d = np.bitwise_count(points[:, None] ^ points[None]).sum(2)
     own = r.random(len(points)) < 0.7
     f = np.arange(len(points))
-    for tight in (-1, 50):
-        a, b, near = simhash.candidates(points, own, f, 110, tight, cells=500)
-        assert (d[a, b] <= 110).all() and (near == (d[a, b] <= tight)).all() and (own[a] | own[b]).all()
-        want = {(i, j) for i, j in combinations(f.tolist(), 2) if d[i, j] <= 110 and (own[i] or own[j])}
+    want = {(i, j) for i, j in combinations(f.tolist(), 2) if d[i, j] <= 110 and (own[i] or own[j])}
+    for every in (True, False):
+        a, b = simhash.candidates(points, own, f, 110, every, cells=500)
         got = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
-        assert got == want if tight < 0 else got <= want
-        comp = lambda pairs: brute_groups(len(f), pairs)
-        assert comp(got) == comp(want)
+        assert got == want if every else got <= want and len(got) < len(points)
+        for reach in (60, 80, 110):  # closest first: whatever is within a distance is joined by pairs within it
+            within = lambda pairs, reach=reach: brute_groups(len(f), [p for p in pairs if d[p] <= reach])
+            assert within(got) == within(want)
 
 
 def brute_groups(n, pairs):
