@@ -17,7 +17,7 @@ _FIELDS = (("start", pa.int32()), ("end", pa.int32()), ("cls", pa.string()), ("r
 
 def _texts(column: pa.Array):
     """The texts of an array, one at a time."""
-    return (v.as_py() or "" for v in column)
+    return (t or "" for t in column.to_pylist())
 
 
 def span_array(found: list[list[scan.Span]]) -> pa.Array:

@@ -26,10 +26,10 @@ PASSPORT = re.compile(r"(?<![0-9])[0-9]{2}\s?[0-9]{2}\s?№?\s?[0-9]{6}(?![0-9])
 STREET = r"(?:ул\.|улица|пр-т|проспект|б-р|бульвар|шоссе|ш\.|пер\.|переулок)"
 ADDRESS = re.compile(STREET + r"\s+[А-ЯЁA-Z][^,;|\n]{2,40}(?:[,;]?\s*(?:д\.|дом|кв\.|квартира|корп\.?)\s*[\w\-/]{1,10})*")
 BIRTH_DATE = re.compile(r"(?<![0-9])[0-9]{1,2}[.\-/][0-9]{1,2}[.\-/][0-9]{4}(?![0-9])")
-ISO_BIRTH_DATE = re.compile(r"(?<=[0-9]{4}-)([0-9]{2})-([0-9]{2})(?![0-9])")
-CLIENT_ID = re.compile(
+ISO_BIRTH_DATE = re.compile(r"[0-9]{4}-([0-9]{2})-([0-9]{2})(?![0-9])")
+CLIENT_ID = (
     r"(?:client_id|client\s?id|ид\s?клиента|№\s?договора|договор\s?№|№\s?карты|карта\s?№|анкета\s?№|№\s?анкеты|номер\s?карты)"
-    r"(?:\\?[\"'])?\s*[:№=]?\s*(?:\\?[\"'])?([0-9]{3,})", re.I)
+    r"(?:\\?[\"'])?\s*[:№=]?\s*(?:\\?[\"'])?([0-9]{3,})")
 KNOWN_NUMBER = re.compile(r"(?<![0-9])[0-9]{7,12}(?![0-9])")
 DATE_WORDS = ("г.р", "г р", "рождения", "родился", "родилась", "дата рождения", "др клиента")
 DOCUMENT_WORDS = ("паспорт", "инн", "снилс", "документ", "серия и номер", "выдан")
@@ -41,18 +41,18 @@ RU_WORDS = (
 )
 RU_NEAR = 48
 CLIENT_CONTEXT = re.compile(r"фио|телефон|клиент|таблиц|выгрузк|анкет|[0-9]{5}|;|\|", re.I)
-#: Russian identifiers in their order: name, pattern, whether a context word is needed, check.
+#: Russian identifiers in their order: name, pattern, whether a context word is needed, check, lengths if it is digits alone.
 RU_RULES = (
-    ("снилс", re.compile(r"[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{2}"), False, forms.snils_ok),
-    ("инн", re.compile(r"[0-9]{12}|[0-9]{10}"), False, lambda v: forms.inn_ok(v) and not forms.is_epoch(v)),
-    ("огрнип", re.compile(r"[0-9]{15}"), False, forms.ogrnip_ok),
-    ("огрн", re.compile(r"[0-9]{13}"), False, forms.ogrn_ok),
-    ("паспорт", re.compile(r"[0-9]{2}\s?[0-9]{2}\s?№?\s?[0-9]{6}"), True, None),
-    ("кпп", re.compile(r"[0-9]{4}[0-9A-ZА-Я]{2}[0-9]{3}"), True, None),
-    ("бик", re.compile(r"04[0-9]{7}"), True, None),
-    ("расчётный счёт", re.compile(r"[0-9]{20}"), True, None),
-    ("полис ОМС", re.compile(r"[0-9]{16}"), True, None),
-    ("водительское", re.compile(r"[0-9]{2}\s?[А-Я]{2}\s?[0-9]{6}"), True, None),
+    ("снилс", re.compile(r"[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{2}"), False, forms.snils_ok, ()),
+    ("инн", re.compile(r"[0-9]{12}|[0-9]{10}"), False, lambda v: forms.inn_ok(v) and not forms.is_epoch(v), (10, 12)),
+    ("огрнип", re.compile(r"[0-9]{15}"), False, forms.ogrnip_ok, (15,)),
+    ("огрн", re.compile(r"[0-9]{13}"), False, forms.ogrn_ok, (13,)),
+    ("паспорт", re.compile(r"[0-9]{2}\s?[0-9]{2}\s?№?\s?[0-9]{6}"), True, None, ()),
+    ("кпп", re.compile(r"[0-9]{4}[0-9A-ZА-Я]{2}[0-9]{3}"), True, None, ()),
+    ("бик", re.compile(r"04[0-9]{7}"), True, None, (9,)),
+    ("расчётный счёт", re.compile(r"[0-9]{20}"), True, None, (20,)),
+    ("полис ОМС", re.compile(r"[0-9]{16}"), True, None, (16,)),
+    ("водительское", re.compile(r"[0-9]{2}\s?[А-Я]{2}\s?[0-9]{6}"), True, None, ()),
 )
 # Header cells and the class of their columns.
 HEADERS = {
@@ -77,6 +77,9 @@ _ANY_DIGIT = re.compile("[0-9]")
 _LONG_NUMBER = re.compile(r"(?:[0-9][\s\-()№]*){10}")
 _EMAIL = re.compile(EMAIL)
 _CYRILLIC = re.compile("[А-Яа-яЁё]")
+_THREE_DIGITS, _LONG_RUN = re.compile("[0-9]{3}"), re.compile("[0-9]{6,}")
+# client ids in a text of small letters; in any case where a letter's small form is no letter of the pattern, though they are alike
+_CLIENT_ID_LOW, _CLIENT_ID_ANY, _ODD_CASE = re.compile(CLIENT_ID), re.compile(CLIENT_ID, re.I), re.compile("[ı\u1c80-\u1c88]")
 
 
 @dataclass(frozen=True)
@@ -151,6 +154,11 @@ def emails(text: str) -> list[Span]:
     return _spans(text, _EMAIL, "E", 1, forms.email) if "@" in text else []
 
 
+def _run_lengths(text: str) -> set[int]:
+    """The lengths of the text's runs of six digits or more: a pattern of digits alone matches whole runs of its length, and no other."""
+    return set(map(len, _LONG_RUN.findall(text)))
+
+
 def document_looks_real(text: str, start: int, raw: str) -> bool:
     """A document word near by settles it; else 12 digits need their check digits, 10 must not be a
     time, and all but the 12 need a space or dash within."""
@@ -167,7 +175,9 @@ def documents(text: str) -> list[Span]:
     if not _LONG_NUMBER.search(text):
         return []
     real = lambda start, raw: document_looks_real(text, start, raw)
-    return [s for i, p in enumerate((SNILS, INN12, PASSPORT)) for s in _spans(text, p, "I", 2 + i, forms.document, real)]
+    lengths = _run_lengths(text)
+    asked = ((2, SNILS, True), (3, INN12, 12 in lengths), (4, PASSPORT, bool(lengths)))
+    return [s for src, p, can in asked if can for s in _spans(text, p, "I", src, forms.document, real)]
 
 
 def addresses(text: str) -> list[Span]:
@@ -186,15 +196,17 @@ def birth_dates(text: str) -> list[Span]:
             raw = m[0][:-5]
             out.append((m.start(), m.start() + len(raw), "D", raw, date[0], "." + date[1], 6, i))
     for i, m in enumerate(ISO_BIRTH_DATE.finditer(text)):
-        if 1 <= int(m[2]) <= 31 and 1 <= int(m[1]) <= 12 and near(m.start()):
-            out.append((m.start(), m.end(), "D", m[0], f"{m[2]}.{m[1]}", "", 7, i))
+        if 1 <= int(m[2]) <= 31 and 1 <= int(m[1]) <= 12 and near(m.start(1)):
+            out.append((m.start(1), m.end(), "D", m[0][5:], f"{m[2]}.{m[1]}", "", 7, i))
     return out
 
 
 def client_ids(text: str) -> list[Span]:
-    if not _ANY_DIGIT.search(text):
+    if not _THREE_DIGITS.search(text):
         return []
-    return [(m.start(1), m.end(1), "C", m[1], forms.client_id(m[1]), "", 8, i) for i, m in enumerate(CLIENT_ID.finditer(text))]
+    low = text.lower()
+    found = _CLIENT_ID_ANY.finditer(text) if len(low) != len(text) or _ODD_CASE.search(low) else _CLIENT_ID_LOW.finditer(low)
+    return [(m.start(1), m.end(1), "C", m[1], forms.client_id(m[1]), "", 8, i) for i, m in enumerate(found)]
 
 
 def ru_ids(text: str) -> list[Span]:
@@ -202,11 +214,14 @@ def ru_ids(text: str) -> list[Span]:
 
     A number is never part of a longer one; check digits decide where there are any, else a context word.
     """
-    if not re.search("[0-9]{3}", text):
+    if not _THREE_DIGITS.search(text):
         return []
     out: list[Span] = []
+    lengths, told = _run_lengths(text), _has(text.lower(), RU_WORDS)
     taken = bytearray(len(text))
-    for name, pattern, need, check in RU_RULES:
+    for name, pattern, need, check, whole in RU_RULES:
+        if need and not told or whole and lengths.isdisjoint(whole):
+            continue
         for i, m in enumerate(pattern.finditer(text)):
             a, b = m.span()
             if text[b : b + 1] in tuple("0123456789") or a and text[a - 1] in "0123456789" or any(taken[a:b]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.session import table
+from maskwright.session import spread, table
 
 #: The demonstration key; deployments pass their own.
 KEY = b"maskwright-demonstration-key-0001"
@@ -32,6 +32,11 @@ def cards(spark: SparkSession, sf_dir: str, columns: str = "*") -> DataFrame:
     return spark.sql(f"select {columns} from ({CARDS.replace('from customer', 'from {customer}')}) c", customer=table(spark, sf_dir, "customer"))
 
 
+def card_texts(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
+    """Texts made from the records, to be searched by detectors."""
+    return spread(cards(spark, sf_dir, columns), table(spark, sf_dir, "customer"))
+
+
 def hmac_sql(message: str, key: bytes = KEY) -> str:
     """HMAC-SHA256 in hex as SQL of the oracle's engine."""
     key = key.ljust(64, b"\0")

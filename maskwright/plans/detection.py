@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks, codes, normalize
 from maskwright.functions import spans as S
 from maskwright.operators import detect, gate, names, payload, tokenise
-from maskwright.session import table
+from maskwright.session import spread, table
 
-from .cards import CARD_TEXT, CARDS, KEY, PHONE_FORM, cards, code_sql, digest_sql, hmac_sql
+from .cards import CARDS, CARD_TEXT, KEY, PHONE_FORM, card_texts, cards, code_sql, digest_sql, hmac_sql
 
 _MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 _MAILS_SQL = f"select doc_id, text, regexp_extract_all(text, '{_MAIL}') as v, string_split_regex(text, '{_MAIL}') as g from documents"
@@ -33,7 +33,8 @@ def email_class_counts(spark, sf):
 
 def rule_class_counts(spark, sf):
     """All rule detectors over whole documents, counted by class and language."""
-    return tokenise.class_counts(tokenise.with_spans(table(spark, sf, "documents").select("lang", "text")), ["lang"])
+    docs = table(spark, sf, "documents")
+    return tokenise.class_counts(tokenise.with_spans(spread(docs.select("lang", "text"), docs)), ["lang"])
 
 
 def number_runs(spark, sf):
@@ -42,7 +43,7 @@ def number_runs(spark, sf):
 
 
 def _card_texts(spark, sf):
-    return cards(spark, sf, f"*, {CARD_TEXT} as text")
+    return card_texts(spark, sf, f"*, {CARD_TEXT} as text")
 
 
 def card_spans(spark, sf):

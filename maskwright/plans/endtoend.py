@@ -9,7 +9,7 @@ from maskwright.functions.scan import Vocabulary
 from maskwright.operators import dictionary, engine, names, registry, training
 from maskwright.session import settled
 
-from .cards import CARDS, KEY, PHONE_FORM, cards, code_sql, digest_sql, rules
+from .cards import CARDS, KEY, PHONE_FORM, card_texts, cards, code_sql, digest_sql, rules
 
 WORDS = Vocabulary.of(terms=["клиент", "имя", "абонемент"])
 FORM = "surname || case id % 5 when 0 then 'у' when 1 then 'ым' when 2 then 'е' when 3 then 'а' else '' end"
@@ -48,7 +48,7 @@ def _keyed(spark, sf) -> names.Knowledge:
 
 
 def _texts(spark, sf):
-    return cards(spark, sf, f"id as doc_id, {TEXT} as text")
+    return card_texts(spark, sf, f"id as doc_id, {TEXT} as text")
 
 
 def protect_cards(spark, sf):
@@ -95,7 +95,7 @@ union all select 'P', count(*) * 4, count(distinct surname) + count(distinct giv
 
 def answer_cards(spark, sf):
     """Coded texts restored from the registry they made, in copies that a model damaged: every value comes back in its first form."""
-    done = engine.protect(cards(spark, sf, f"id as doc_id, 'почта ' || email || ', телефон ' || {PHONE_FORM} as text"), KEY)
+    done = engine.protect(card_texts(spark, sf, f"id as doc_id, 'почта ' || email || ', телефон ' || {PHONE_FORM} as text"), KEY)
     damaged = F.regexp_replace(F.regexp_replace("masked", "(zT[A-Z2-7]{4})([A-Z2-7]{4})", "$1-$2"), "(zE)([A-Z2-7]{8})", "$1 $2")
     texts = done.texts.select("doc_id", damaged.alias("text"))
     allowed = done.texts.select("doc_id", F.explode("tokens").alias("token"))
@@ -152,7 +152,7 @@ def residual_findings(spark, sf):
 
 def second_day(spark, sf):
     """Texts met again with the registry of the day before: old identities keep their codes and first values, new ones are added."""
-    half = cards(spark, sf, f"id as doc_id, 'почта ' || email || ', телефон ' || {PHONE_FORM} as text")
+    half = card_texts(spark, sf, f"id as doc_id, 'почта ' || email || ', телефон ' || {PHONE_FORM} as text")
     first = engine.protect(half.where("doc_id % 2 = 0"), KEY).registry.drop("salt")
     after = cards(spark, sf, "id as doc_id, 'пишите на ' || upper(email) as text")
     fresh = engine.protect(after, KEY, known=first).registry.drop("salt")

@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, made from the files of ``source`` for costly work on each row, dealt over all cores if the scan has fewer tasks: a file of one
+    row group is one task. A table that fills the cores by its files or its size is not shuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(source._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return df.repartition(cores) if len(source.inputFiles()) < cores and size < cores * most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it. Only a session on one machine may do without: it gets one of its own."""
     sc = spark.sparkContext

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import detect, registry, tokenise
 from maskwright.plans import detection, lifecycle, measures
+from maskwright.session import spread, table
 
 from .conftest import SMALL
 
@@ -40,3 +41,16 @@ def test_counts_combine_before_they_shuffle(spark):
 def test_small_sides_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan(lifecycle.dictionary_lookup(spark, SMALL))
     assert "CartesianProduct" not in plan(measures.dictionary_linkage(spark, SMALL))
+
+
+def test_small_tables_are_spread_and_others_are_not(spark):
+    """One file of one row group is dealt over the cores; a table whose size fills them stays where it lies."""
+    docs = table(spark, SMALL, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    assert "RoundRobinPartitioning" in plan(spread(docs.select("text"), docs)) or cores == 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert "Exchange" not in plan(spread(docs.select("text"), docs))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
