@@ -132,6 +132,6 @@ def test_numbers_beside_others():
     """Patterns that are tried only where they can match: runs of other lengths, dates in a row, and phrases in any case. Nine digits are a КПП, whose rule comes first."""
     assert [(s[3], s[5]) for s in scan.ru_ids("ИНН 7707083893, бик 044525225 и 40702810900000000001")] == [("7707083893", "инн"), ("044525225", "кпп"), ("40702810900000000001", "расчётный счёт")]
     assert scan.ru_ids("77070838931 и 0445252251") == []
-    assert [s[:5] for s in scan.birth_dates("рождения 2001-12-31, 12001-02-03-2004-05-06")] == [(14, 19, "D", "12-31", "31.12"), (27, 32, "D", "02-03", "03.02"), (38, 43, "D", "05-06", "06.05")]
+    assert [s[:5] for s in scan.birth_dates("рождения 2001-12-31, 12001-02-03, 4-05-06")] == [(14, 19, "D", "12-31", "31.12"), (27, 32, "D", "02-03", "03.02")]
     assert [s[3] for s in scan.client_ids("CLIENT_ID: 00123; Договор № 45678; КАРТА № 321")] == ["00123", "45678", "321"]
     assert [s[3] for s in scan.client_ids("İ, clıent_id=888, КАРТА № 321")] == ["888", "321"]
