@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from maskwright.functions import arrow, codes, normalize
 from maskwright.functions.scan import Vocabulary
 from maskwright.operators import dictionary, names, registry, training
-from maskwright.session import table
+from maskwright.session import settled, table
 
-from .cards import CARDS, KEY, cards, code_sql, digest_sql, rules
+from .cards import CARDS, KEY, card_texts, cards, code_sql, digest_sql, rules
 
 
 def registry_assign(spark, sf):
@@ -110,9 +110,10 @@ def restore_allowed_only(spark, sf):
     """Texts with a code twice and another once: the n-th occurrence takes the n-th form, codes not allowed stay."""
     from maskwright.operators import detect
 
-    c = cards(spark, sf).select("id", "surname", "given", codes.code(F.lit("P"), F.concat(F.lower("surname"), F.col("id").cast("string")), KEY).alias("t"), codes.code(F.lit("T"), F.col("phone"), KEY).alias("o"))
+    c = settled(card_texts(spark, sf, "*").select("id", "surname", codes.code(F.lit("P"), F.concat(F.lower("surname"), F.col("id").cast("string")), KEY).alias("t"), codes.code(F.lit("T"), F.col("phone"), KEY).alias("o")))
     text = F.concat_ws(" ", F.lit("К"), "t", F.lit("и"), "t", F.lit("тел"), "o", F.lit("и"), "t")
-    texts = c.select(F.col("id").alias("doc_id"), text.alias("text")).withColumn("spans", detect.code_spans(F.col("text")))
+    texts = c.select(F.col("id").alias("doc_id"), text.alias("text"))
+    texts = settled(texts.withColumn("spans", detect.code_spans(F.col("text"))))
     none = F.lit(None).cast("string")
     reg = c.select(F.col("t").alias("token"), F.array(F.concat("surname", F.lit("а")), F.col("surname")).alias("forms"), F.lower("surname").alias("identity"), F.col("surname").alias("value"))
     reg = reg.unionByName(c.select(F.col("o").alias("token"), F.array(F.lit("79")).alias("forms"), none.alias("identity"), F.lit("79").alias("value")))
