@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import arrow, codes, normalize
 from maskwright.functions import spans as S
 from maskwright.functions.scan import NO_WORDS, Vocabulary
-from maskwright.session import settled
+from maskwright.session import large, settled
 
 from . import detect as detectors
 from . import gate, names, payload, policy, registry
@@ -50,7 +50,7 @@ def detect(texts: DataFrame, k: names.Knowledge = names.Knowledge(), words: Voca
         own = own.unionByName(annotated.select("doc_id", F.explode("spans").alias("span")).select("doc_id", F.struct(*(F.col(f"span.{c}") for c in _SPAN_FIELDS)).alias("span")))
     per = own.groupBy("doc_id").agg(F.collect_list("span").alias("more"))
     spans = arrow.merged(F.col("s.found"), F.coalesce("more", S.none()))
-    return texts.join(read.join(per, "doc_id", "left").select("doc_id", spans.alias("spans")), "doc_id")
+    return large(texts).join(read.join(per, "doc_id", "left").select("doc_id", spans.alias("spans")), "doc_id")
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def protect(texts: DataFrame, key: bytes, k: names.Knowledge = names.Knowledge()
     given = settled(registry.assign(values, key, known).select("cls", "identity", "token", "salt"))
     told = each.select("doc_id", "i", F.col("s.cls").alias("cls"), F.col("s.norm").alias("identity")).join(given, ["cls", "identity"])
     per = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))
-    rows = texts.join(found.join(per, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "doc_id")
+    rows = large(texts).join(found.join(per, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), "doc_id")
     done = rows.withColumn("_done", arrow.finished(F.col("text"), F.col("spans"), F.col("tokens")))
     out = done.select("doc_id", "text", F.col("_done.text").alias("masked"), "spans", "tokens", F.transform("_done.left", lambda i: F.get("spans", i)).alias("survivors"))
     spelled = values.groupBy("cls", "identity", "raw").agg(F.min("first_seen").alias("first"))

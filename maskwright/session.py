@@ -50,6 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder once and read from there: used where more than one plan reads it, and by iterations."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder once and read from there: used where more than one plan reads it, and by iterations.
+
+    Its size counts as unknown. A checkpoint keeps the planner's estimate of what made it, which falls short by orders of magnitude for texts and
+    lists made from a small file, and what looks small is broadcast through the driver. Joins of unknown sizes are shuffled; adaptive execution
+    still broadcasts a side that turns out small.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    rows = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that is as large as the corpus and must not be broadcast, whatever its estimate."""
+    return df.hint("merge")

@@ -4,9 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from maskwright.operators import detect, registry, tokenise
+from maskwright.operators import detect, engine, payload, registry, tokenise
 from maskwright.plans import detection, lifecycle, measures
-from maskwright.session import spread, table
+from maskwright.session import settled, spread, table
 
 from .conftest import SMALL
 
@@ -54,3 +54,12 @@ def test_small_tables_are_spread_and_others_are_not(spark):
         assert "Exchange" not in plan(spread(docs.select("text"), docs))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sides_as_large_as_the_corpus_are_not_broadcast(spark):
+    """A small file can hold a large table: texts, bodies and what was settled are never sent through the driver on an estimate."""
+    ids = table(spark, SMALL, "customer").select(F.col("c_custkey").alias("doc_id"))
+    assert settled(ids)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40
+    texts = ids.select("doc_id", F.lit("почта a@b.ru").alias("text"))
+    for done in (engine.detect(texts), engine.protect(texts, b"k" * 32).texts, payload.put_back(texts, settled(texts.withColumn("path", F.lit("$"))), "text", "doc_id")):
+        assert "BroadcastHashJoin" not in plan(done)
