@@ -24,7 +24,11 @@ from (
 ) q
 """
 PHONE_FORM = "case when id % 2 = 0 then phone_a else phone_b end"
-CARD_TEXT = f"'Анкета: ' || surname || ' ' || given || ', телефон ' || {PHONE_FORM} || ', почта ' || email || ', дата рождения ' || birth || '. client_id=' || lpad(cast(id as string), 5, '0')"
+#: A client's number of five digits or more.
+NUMBER = "lpad(cast(id as string), cast(greatest(5, length(cast(id as string))) as int), '0')"
+CARD_TEXT = f"'Анкета: ' || surname || ' ' || given || ', телефон ' || {PHONE_FORM} || ', почта ' || email || ', дата рождения ' || birth || '. client_id=' || {NUMBER}"
+#: The same with numbers cut to five digits: what ``pii_share``'s SQL measures.
+CUT_TEXT = CARD_TEXT.replace(NUMBER, "lpad(cast(id as string), 5, '0')")
 
 
 def cards(spark: SparkSession, sf_dir: str, columns: str = "*") -> DataFrame:

@@ -8,7 +8,7 @@ from maskwright.functions import codes
 from maskwright.operators import analytics, engine, gate, names, registry, tokenise
 from maskwright.session import table
 
-from .cards import CARD_TEXT, CARDS, KEY, PHONE_FORM, cards, rules
+from .cards import CARD_TEXT, CARDS, CUT_TEXT, KEY, PHONE_FORM, cards, coded, rules
 
 
 def _coded(spark, sf, extra: str = ""):
@@ -159,13 +159,13 @@ CACHE_SQL = "select sum(user_id) filter (event_id % 3 = 0)::bigint as hits, sum(
 
 def pii_share(spark, sf):
     """Clean and dirty requests by all rules, their volume, and segments that have both; a third of the requests is a greeting."""
-    text = f"case when id % 3 = 0 then 'добрый день' else {CARD_TEXT} end"
+    text = f"case when id % 3 = 0 then 'добрый день' else {CUT_TEXT} end"
     docs = tokenise.with_spans(cards(spark, sf, f"segment || cast(id % 40 as string) as source, {text} as text"))
     return analytics.pii_share(docs.select(F.col("source").alias("session_id"), F.length("text").cast("long").alias("volume"), F.size("spans").alias("findings")))
 
 
 SHARE_SQL = f"""
-with d as (select segment || cast(id % 40 as varchar) as source, id % 3 <> 0 as dirty, length(case when id % 3 = 0 then 'добрый день' else {CARD_TEXT.replace('as string', 'as varchar')} end) as v from ({CARDS}) c),
+with d as (select segment || cast(id % 40 as varchar) as source, id % 3 <> 0 as dirty, length(case when id % 3 = 0 then 'добрый день' else {CUT_TEXT.replace('as string', 'as varchar')} end) as v from ({CARDS}) c),
 s as (select source, count(*) as n, count(*) filter (dirty) as d, sum(v) as v, coalesce(sum(v) filter (dirty), 0) as dv from d group by source)
 select sum(n)::bigint as requests, sum(d)::bigint as dirty, sum(v)::bigint as volume, sum(dv)::bigint as dirty_volume, count(*) filter (d > 0 and d < n) as mixed_sessions from s
 """
