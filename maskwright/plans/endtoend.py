@@ -9,13 +9,13 @@ from maskwright.functions.scan import Vocabulary
 from maskwright.operators import dictionary, engine, names, registry, training
 from maskwright.session import settled
 
-from .cards import CARDS, KEY, PHONE_FORM, card_texts, cards, code_sql, digest_sql, rules
+from .cards import CARDS, KEY, NUMBER, PHONE_FORM, card_texts, cards, code_sql, digest_sql, rules
 
 WORDS = Vocabulary.of(terms=["клиент", "имя", "абонемент"])
 FORM = "surname || case id % 5 when 0 then 'у' when 1 then 'ым' when 2 then 'е' when 3 then 'а' else '' end"
 #: A line with a name in some case, numbers in either spelling, the name again in capitals, and a table of one row.
 TEXT = (
-    f"'Клиент ' || {FORM} || '; телефон ' || {PHONE_FORM} || ', почта ' || email || '. Имя ' || given || '; договор № ' || lpad(cast(id as string), 5, '0') || chr(10)"
+    f"'Клиент ' || {FORM} || '; телефон ' || {PHONE_FORM} || ', почта ' || email || '. Имя ' || given || '; договор № ' || {NUMBER} || chr(10)"
     " || 'и ещё раз ' || upper(surname) || ' пишет' || chr(10) || 'ФИО;Телефон' || chr(10) || surname || ';' || phone_a"
 )
 _GIVEN = "replace(lower(given), 'ё', 'е')"

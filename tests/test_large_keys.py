@@ -13,6 +13,7 @@ WIDE, SHARED = (7, 9767, 123456, 899999), (7, 9767, 105317, 682202, 767951)
 CASES = [
     ("card_tokenize", WIDE),
     ("card_spans", WIDE),
+    ("protect_cards", WIDE),
 ]
 
 
