@@ -14,6 +14,7 @@ CASES = [
     ("card_tokenize", WIDE),
     ("card_spans", WIDE),
     ("protect_cards", WIDE),
+    ("protect_keyed", WIDE),
 ]
 
 
