@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import codes, normalize
 from maskwright.functions.scan import Vocabulary
 from maskwright.operators import dictionary, engine, names, registry, training
-from maskwright.session import settled
+from maskwright.session import large, settled
 
 from .cards import CARDS, KEY, NUMBER, PHONE_FORM, card_texts, cards, code_sql, digest_sql, rules
 
@@ -146,7 +146,7 @@ from ({CARDS}) c
 def residual_findings(spark, sf):
     """What all detectors still find in coded texts: the telephones of every ninth card, which were written before it."""
     done = engine.protect(_texts(spark, sf), KEY, _readable(spark, sf), WORDS).texts
-    sent = done.join(cards(spark, sf, "id as doc_id, phone_a"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("phone_a", F.lit(" "), "masked")).otherwise(F.col("masked")).alias("text"))
+    sent = done.join(large(cards(spark, sf, "id as doc_id, phone_a")), "doc_id").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.concat("phone_a", F.lit(" "), "masked")).otherwise(F.col("masked")).alias("text"))
     return engine.residual(sent, _readable(spark, sf), WORDS)
 
 
