@@ -15,6 +15,7 @@ CASES = [
     ("card_spans", WIDE),
     ("protect_cards", WIDE),
     ("protect_keyed", WIDE),
+    ("protect_counts", WIDE),
 ]
 
 
