@@ -16,6 +16,7 @@ CASES = [
     ("protect_cards", WIDE),
     ("protect_keyed", WIDE),
     ("protect_counts", WIDE),
+    ("protect_registry", WIDE),
 ]
 
 
