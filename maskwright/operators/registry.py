@@ -22,7 +22,35 @@ def matches_identity(cls: Column, value: Column, identity: Column) -> Column:
     return F.coalesce((normalize.normalize(cls, value) == identity) | (cls == "P") & (normalize.identity_key(value) == identity), F.lit(False))
 
 
-def assign(values: DataFrame, key: bytes, registry: DataFrame | None = None, salts: int = codes.SALTS, length: int = codes.LENGTH) -> DataFrame:
+def _round(wanted: DataFrame, taken: DataFrame | None, token: Column, salt: int) -> DataFrame:
+    """``wanted`` (cls, identity, first_seen) with the candidate ``token``, salt, and won: whether it is theirs.
+
+    A candidate in ``taken`` (token, holder, held_value) is its holder's alone, of several holders' nobody's; of those that want a free one the first seen wins, ties by identity.
+    """
+    tried = wanted.withColumn("token", token).withColumn("salt", F.lit(salt))
+    place = F.row_number().over(Window.partitionBy("token").orderBy("first_seen", "identity"))
+    if taken is None:
+        return tried.withColumn("won", place == 1)
+    one = taken.groupBy("token").agg(F.collect_set(F.struct("holder", "held_value")).alias("held"))
+    own = lambda h: (h["holder"] == F.col("identity")) | matches_identity(F.col("cls"), h["held_value"], F.col("identity"))
+    judged = tried.join(one, "token", "left").withColumn("place", place)
+    return judged.withColumn("won", F.when(F.col("held").isNull(), F.col("place") == 1).otherwise(F.coalesce(F.forall("held", own), F.lit(False)))).drop("held", "place")
+
+
+def _wanted(values: DataFrame) -> DataFrame:
+    return values.groupBy("cls", "identity").agg(F.min("first_seen").alias("first_seen"))
+
+
+def first_choices(values: DataFrame, key: bytes, length: int = codes.LENGTH) -> DataFrame:
+    """(cls, identity, token) of the identities of ``values`` (cls, identity, first_seen) that keep their first choice: one round of ``assign``, however many identities there are."""
+    return _round(_wanted(values), None, codes.code(F.col("cls"), F.col("identity"), key, 0, length), 0).where("won").select("cls", "identity", "token")
+
+
+#: Rounds whose codes are put together in one table, so that plans don't grow with the number of rounds.
+JOINED = 8
+
+
+def assign(values: DataFrame, key: bytes, registry: DataFrame | None = None, salts: int = codes.SALTS, length: int = codes.LENGTH, longest: int | None = None) -> DataFrame:
     """(cls, identity, token, salt) for the distinct identities of ``values`` (cls, identity, first_seen).
 
     Each round gives the identities still without a code their next candidate. A candidate
@@ -38,17 +66,13 @@ def assign(values: DataFrame, key: bytes, registry: DataFrame | None = None, sal
     none = F.lit(None).cast("string")
     done: list[DataFrame] = []
     for salt in range(salts):
-        tried = wanted.withColumn("token", codes.code(F.col("cls"), F.col("identity"), key, salt, length))
+        if len(done) > JOINED:
+            done = [settled(reduce(DataFrame.unionByName, done).repartition("token"))]
         taken = [*([held] if held is not None else []), *(d.select("token", F.col("identity").alias("holder"), none.alias("held_value")) for d in done)]
-        if taken:
-            tried = tried.join(reduce(DataFrame.unionByName, taken).withColumn("taken", F.lit(True)), "token", "left")
-        else:
-            tried = tried.withColumn("holder", none).withColumn("held_value", none).withColumn("taken", F.lit(False))
-        first = Window.partitionBy("token").orderBy("first_seen", "identity")
-        own = F.coalesce(F.col("holder") == F.col("identity"), matches_identity(F.col("cls"), F.col("held_value"), F.col("identity")))
-        judged = tried.withColumn("place", F.row_number().over(first))
-        judged = settled(judged.withColumn("won", F.when(F.coalesce("taken", F.lit(False)), own).otherwise(F.col("place") == 1)))
-        done.append(judged.where("won").select("cls", "identity", "first_seen", "token", F.lit(salt).alias("salt")))
+        code = lambda n: codes.code(F.col("cls"), F.col("identity"), key, salt, n)
+        token = reduce(lambda c, x: F.when(F.col("cls") == x[0], code(x[1])).otherwise(c), sorted(grown.items()), code(length))
+        judged = settled(_round(wanted, reduce(DataFrame.unionByName, taken) if taken else None, token, salt))
+        done.append(judged.where("won").select("cls", "identity", "first_seen", "token", "salt"))
         wanted = judged.where("not won").select("cls", "identity", "first_seen")
         if wanted.isEmpty():
             return reduce(DataFrame.unionByName, done)

@@ -39,7 +39,7 @@ LEGACY_SQL = f"select email as identity, case when id % 2 = 0 then {code_sql('E'
 def collision_first_round(spark, sf):
     """Who keeps the first-choice code of three letters: the first seen of all that want it."""
     values = cards(spark, sf).select(F.lit("T").alias("cls"), F.col("phone").alias("identity"), F.col("id").alias("first_seen"))
-    return registry.assign(values, KEY, length=3).where("salt = 0").select("identity", "token")
+    return registry.first_choices(values, KEY, length=3).select("identity", "token")
 
 
 def _rows(spark, sf, where: str, value: str, days: int):

@@ -41,6 +41,39 @@ def test_running_out_of_codes_is_an_error(spark):
         registry.assign(values, KEY, length=1, salts=2)
 
 
+def test_first_choices_need_no_code_for_the_rest(spark):
+    """More identities than codes: each code is the first seen's that wants it."""
+    values = spark.createDataFrame([("P", f"v{i}", i) for i in range(200)], "cls string, identity string, first_seen int")
+    want = values.withColumn("token", codes.code(F.lit("P"), F.col("identity"), KEY, 0, 1)).groupBy("token").agg(F.min_by("identity", "first_seen").alias("identity"))
+    got = {r.token: r.identity for r in registry.first_choices(values, KEY, length=1).collect()}
+    assert got == {r.token: r.identity for r in want.collect()}
+
+
+def test_codes_grow_where_their_space_runs_short(spark):
+    """More identities than codes of one letter and of two, in one of two classes."""
+    values = spark.createDataFrame([(c, f"v{i}", i) for c, n in (("P", 1500), ("T", 5)) for i in range(n)], "cls string, identity string, first_seen int")
+    got = registry.assign(values, KEY, length=1, salts=640, longest=8).collect()
+    firsts = values.select(codes.code(F.col("cls"), F.col("identity"), KEY, 0, 1)).distinct().count()
+    assert len(got) == len({r.token for r in got}) == 1505 and sum(r.salt == 0 for r in got) == firsts
+    assert {len(r.token) for r in got if r.cls == "T"} == {3} and max(r.salt for r in got) < 30
+
+
+def test_a_code_of_several_holders_is_taken(spark):
+    code = spark.range(1).select(codes.code(F.lit("P"), F.lit("a"), KEY, 0, 1)).first()[0]
+    held = spark.createDataFrame([(code, "a"), (code, "b")], "token string, identity string")
+    values = spark.createDataFrame([("P", "a", 1)], "cls string, identity string, first_seen int")
+    got = registry.assign(values, KEY, held, length=1, salts=640).collect()
+    assert len(got) == 1 and got[0].token != code
+
+
+def test_upsert_never_makes_one_person_of_two(spark):
+    row = "token string, cls string, value string, identity string, forms array<string>, created_at int, last_used_at int, source string"
+    old = spark.createDataFrame([("t", "P", "A", "a", ["A"], 1, 1, None), ("u", "P", None, None, [], 1, 1, None)], row)
+    new = spark.createDataFrame([("t", "P", "B", "b", ["B"], 2, 2, None), ("u", "P", "C", "c", ["C"], 2, 2, None)], row)
+    got = sorted((r.token, r.identity, r.value, r.forms) for r in registry.upsert(old, new).collect())
+    assert got == [("t", "a", "A", ["A"]), ("t", "b", "B", ["B"]), ("u", "c", "C", ["C"])]
+
+
 def test_forms_are_capped_in_order(spark):
     row = spark.range(1).select(registry.merged_forms(F.array(*(F.lit(str(i)) for i in range(6))), F.array(F.lit(" 3 "), F.lit(""), *(F.lit(str(i)) for i in range(6, 12)))).alias("f")).first()
     assert row.f == [str(i) for i in range(8)]
