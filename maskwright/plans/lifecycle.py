@@ -20,7 +20,7 @@ def registry_assign(spark, sf):
 def registry_collision_walk(spark, sf):
     """Codes of three letters for all cards: collisions are sure, the walk resolves them, and whoever comes first keeps the first choice."""
     values = cards(spark, sf).select(F.lit("E").alias("cls"), F.col("email").alias("identity"), F.col("id").alias("first_seen"))
-    done = registry.assign(values, KEY, length=3, salts=640)
+    done = registry.assign(values, KEY, length=3, salts=640, longest=codes.LENGTH)
     return done.agg(F.count(F.lit(1)).alias("identities"), F.count_distinct("token").alias("tokens"), F.count_if(F.col("salt") == 0).alias("first_choices"))
 
 
