@@ -57,14 +57,18 @@ def assign(values: DataFrame, key: bytes, registry: DataFrame | None = None, sal
     that the registry holds for another identity is taken: a row without identity is held by whom its value
     matches, and by nobody else. Of several that want a free one, the first seen gets it (ties by identity).
     Rounds end when all have one: usually the first, as codes have 40 bits. Running out of candidates is an error.
+
+    With ``longest`` codes shorter than that grow: once fewer than half the codes of a class are free at its length, those
+    still without one go on with a letter more. So any number of identities gets codes, and a round leaves about half of them at most.
     """
-    wanted = values.groupBy("cls", "identity").agg(F.min("first_seen").alias("first_seen"))
+    wanted = _wanted(values)
     held = None
     if registry is not None:
         value = F.col("value") if "value" in registry.columns else F.lit(None).cast("string")
         held = registry.select("token", F.col("identity").alias("holder"), value.alias("held_value"))
     none = F.lit(None).cast("string")
     done: list[DataFrame] = []
+    grown: dict[str, int] = {}
     for salt in range(salts):
         if len(done) > JOINED:
             done = [settled(reduce(DataFrame.unionByName, done).repartition("token"))]
@@ -76,14 +80,25 @@ def assign(values: DataFrame, key: bytes, registry: DataFrame | None = None, sal
         wanted = judged.where("not won").select("cls", "identity", "first_seen")
         if wanted.isEmpty():
             return reduce(DataFrame.unionByName, done)
+        if longest is not None:
+            full = reduce(DataFrame.unionByName, [*taken, done[-1].select("token", F.col("identity").alias("holder"), none.alias("held_value"))])
+            size = F.length("token") - len(codes.PREFIX) - 1
+            counts = full.groupBy(F.substring("token", len(codes.PREFIX) + 1, 1).alias("cls"), size.alias("size")).agg(F.count_distinct("token").alias("n")).collect()
+            for r in counts:
+                if r["size"] == grown.get(r["cls"], length) < longest and 2 * r["n"] > len(codes.ALPHABET) ** r["size"]:
+                    grown[r["cls"]] = r["size"] + 1
     raise RuntimeError(f"no free code among {salts} candidates")
 
 
 def upsert(registry: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The registry with ``fresh`` rows: a first value stays for ever, an identity fills a null one, last use moves on."""
+    """The registry with ``fresh`` rows: a first value stays for ever, an identity fills a null one, last use moves on.
+
+    A row meets one of its code only if they don't name different identities: two persons never become one. Codes come from ``assign``, which lets no two share one; ``integrity`` tells of any that do.
+    """
     o, n = registry.alias("o"), fresh.alias("n")
     pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
-    return o.join(n, F.col("o.token") == F.col("n.token"), "full_outer").select(
+    same = (F.col("o.token") == F.col("n.token")) & F.coalesce(F.col("o.identity") == F.col("n.identity"), F.lit(True))
+    return o.join(n, same, "full_outer").select(
         pick("token"), pick("cls"), pick("value"), pick("identity"),
         merged_forms(F.col("o.forms"), F.col("n.forms")).alias("forms"),
         pick("created_at"), F.greatest("o.last_used_at", "n.last_used_at").alias("last_used_at"), pick("source"),

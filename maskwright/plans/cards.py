@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.session import spread, table
+from maskwright.operators import registry
+from maskwright.session import large, spread, table
 
 #: The demonstration key; deployments pass their own.
 KEY = b"maskwright-demonstration-key-0001"
@@ -41,6 +43,12 @@ def card_texts(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
     return spread(cards(spark, sf_dir, columns), table(spark, sf_dir, "customer"))
 
 
+def coded(rows: DataFrame, cls: str, identity: str, name: str, known: DataFrame | None = None) -> DataFrame:
+    """``rows`` (id, ...) with ``name``: the code that the registry gives the identity in that column, one that no other has, first come first served by id."""
+    given = registry.assign(rows.select(F.lit(cls).alias("cls"), F.col(identity).alias("identity"), F.col("id").alias("first_seen")), KEY, known)
+    return large(rows).join(given.select(F.col("identity").alias(identity), F.col("token").alias(name)), identity)
+
+
 def hmac_sql(message: str, key: bytes = KEY) -> str:
     """HMAC-SHA256 in hex as SQL of the oracle's engine."""
     key = key.ljust(64, b"\0")

@@ -9,7 +9,7 @@ from maskwright.functions.scan import Vocabulary
 from maskwright.operators import dictionary, names, registry, training
 from maskwright.session import settled, table
 
-from .cards import CARDS, KEY, card_texts, cards, code_sql, digest_sql, rules
+from .cards import CARDS, KEY, card_texts, cards, code_sql, coded, digest_sql, rules
 
 
 def registry_assign(spark, sf):
@@ -42,11 +42,12 @@ def collision_first_round(spark, sf):
     return registry.first_choices(values, KEY, length=3).select("identity", "token")
 
 
-def _rows(spark, sf, where: str, value: str, days: int):
-    c = cards(spark, sf).where(where).withColumn("who", F.concat(F.lower("surname"), F.lit(" "), F.col("id").cast("string")))
+def _rows(spark, sf, where: str, value: str, days: int, known=None):
+    """Registry rows of some cards; their codes are those that ``known`` holds for them or leaves free."""
+    c = coded(cards(spark, sf).where(where).withColumn("who", F.concat(F.lower("surname"), F.lit(" "), F.col("id").cast("string"))), "P", "who", "token", known)
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600 + days * 86400)
     return c.select(
-        codes.code(F.lit("P"), F.col("who"), KEY).alias("token"), F.lit("P").alias("cls"), F.expr(value).alias("value"), F.col("who").alias("identity"),
+        "token", F.lit("P").alias("cls"), F.expr(value).alias("value"), F.col("who").alias("identity"),
         F.array("surname").alias("forms"), at.alias("created_at"), at.alias("last_used_at"), F.lit(None).cast("string").alias("source"),
     )
 
@@ -54,7 +55,7 @@ def _rows(spark, sf, where: str, value: str, days: int):
 def registry_upsert(spark, sf):
     """Two thirds of all cards meet another two thirds: a first value stays, later spellings are added, last use moves on, new codes come in."""
     old = _rows(spark, sf, "id % 3 <> 0", "surname", 0)
-    new = _rows(spark, sf, "id % 3 <> 1", "upper(surname)", 5).withColumn("forms", F.array(F.upper("identity"), F.col("identity")))
+    new = _rows(spark, sf, "id % 3 <> 1", "upper(surname)", 5, old).withColumn("forms", F.array(F.upper("identity"), F.col("identity")))
     done = registry.upsert(old, new)
     return done.select("identity", "value", F.array_join("forms", ",").alias("forms"), F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("last_used_at").alias("used"))
 

@@ -17,6 +17,7 @@ CASES = [
     ("protect_keyed", WIDE),
     ("protect_counts", WIDE),
     ("protect_registry", WIDE),
+    ("registry_upsert", SHARED),
 ]
 
 
