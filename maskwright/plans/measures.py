@@ -201,7 +201,7 @@ select doc_id, min(s) as start, max(s) + 1 as "end", cast(min(s) as varchar) as
 def health(spark, sf):
     """One row of what the engine holds: codes by class, and whether the registry may be used."""
     c = cards(spark, sf)
-    row = lambda cls, column: c.select(codes.code(F.lit(cls), F.col(column), KEY).alias("token"), F.lit(cls).alias("cls"), F.col(column).alias("value"), F.col(column).alias("identity"), F.lit(None).cast("string").alias("source"))
+    row = lambda cls, column: coded(c, cls, column, "token").select("token", F.lit(cls).alias("cls"), F.col(column).alias("value"), F.col(column).alias("identity"), F.lit(None).cast("string").alias("source"))
     reg = row("T", "phone").unionByName(row("E", "email").where("length(value) % 2 = 0"))
     count = registry.counters(reg).where("kind = 'class'").groupBy().pivot("name", ["T", "E", "P"]).agg(F.sum("n"))
     return count.join(registry.inventory(reg).select("codes", "usable"), F.lit(True)).select(F.coalesce("T", F.lit(0)).alias("telephones"), F.coalesce("E", F.lit(0)).alias("emails"), F.coalesce("P", F.lit(0)).alias("persons"), "codes", "usable")

@@ -18,6 +18,7 @@ CASES = [
     ("protect_counts", WIDE),
     ("protect_registry", WIDE),
     ("registry_upsert", SHARED),
+    ("health", SHARED),
 ]
 
 
