@@ -18,7 +18,7 @@ def registry_assign(spark, sf):
 
 
 def registry_collision_walk(spark, sf):
-    """Codes of three letters for all cards: collisions are sure, the walk resolves them, and whoever comes first keeps the first choice."""
+    """Codes of three letters for all cards, of more once those run short: collisions are sure, the walk resolves them, and whoever comes first keeps the first choice."""
     values = cards(spark, sf).select(F.lit("E").alias("cls"), F.col("email").alias("identity"), F.col("id").alias("first_seen"))
     done = registry.assign(values, KEY, length=3, salts=640, longest=codes.LENGTH)
     return done.agg(F.count(F.lit(1)).alias("identities"), F.count_distinct("token").alias("tokens"), F.count_if(F.col("salt") == 0).alias("first_choices"))
@@ -108,11 +108,15 @@ def encrypted_values(spark, sf):
 
 
 def restore_allowed_only(spark, sf):
-    """Texts with a code twice and another once: the n-th occurrence takes the n-th form, codes not allowed stay."""
+    """Texts with a code twice and another once: the n-th occurrence takes the n-th form, codes not allowed stay.
+
+    Codes are the registry's, one a person; a telephone that is not restored stands as its first choice, whoever else has that."""
     from maskwright.operators import detect
 
-    c = settled(card_texts(spark, sf, "*").select("id", "surname", codes.code(F.lit("P"), F.concat(F.lower("surname"), F.col("id").cast("string")), KEY).alias("t"), codes.code(F.lit("T"), F.col("phone"), KEY).alias("o")))
-    text = F.concat_ws(" ", F.lit("К"), "t", F.lit("и"), "t", F.lit("тел"), "o", F.lit("и"), "t")
+    c = coded(card_texts(spark, sf, "*").select("id", "surname", "phone", F.concat(F.lower("surname"), F.col("id").cast("string")).alias("who")), "P", "who", "t")
+    c = settled(coded(c, "T", "phone", "o"))
+    shown = F.when(F.col("id") % 2 == 0, F.col("o")).otherwise(codes.code(F.lit("T"), F.col("phone"), KEY))
+    text = F.concat_ws(" ", F.lit("К"), "t", F.lit("и"), "t", F.lit("тел"), shown, F.lit("и"), "t")
     texts = c.select(F.col("id").alias("doc_id"), text.alias("text"))
     texts = settled(texts.withColumn("spans", detect.code_spans(F.col("text"))))
     none = F.lit(None).cast("string")

@@ -19,6 +19,7 @@ CASES = [
     ("protect_registry", WIDE),
     ("registry_upsert", SHARED),
     ("health", SHARED),
+    ("restore_allowed_only", SHARED),
 ]
 
 
