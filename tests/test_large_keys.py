@@ -21,6 +21,7 @@ CASES = [
     ("health", SHARED),
     ("restore_allowed_only", SHARED),
     ("restored_response", SHARED),
+    ("restored_arguments", SHARED),
 ]
 
 
