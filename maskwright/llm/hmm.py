@@ -11,7 +11,8 @@ is a distribution over texts, computed exactly by the scaled forward recursion.
 
 Each Baum-Welch pass sums expected transition and emission counts of every
 partition of the training texts. The starting point comes from a mixture of
-unigram models on about ``START_DOCS`` documents; the passes themselves cover all.
+unigram models on the counts of all training texts, summed in groups by the one of
+the ``MARKERS`` most frequent tokens that a text has most beyond its share.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ SENT = 65_536
 #: A longer token goes by 16 bytes of its hash after a blank, which no word holds: any frequent token is small enough to be sent.
 LONGEST = 64
 PASSES = 2
-START_DOCS = 1500
+#: Markers: the most frequent tokens, which tell texts of one language or kind from others.
+MARKERS = 64
 #: Padded tokens of one forward-backward step, and distinct tokens that a task counts before it hands them on.
 CELLS, HELD = 1_000_000, 300_000
 
@@ -181,7 +183,7 @@ def normal(c: dict, mass: np.ndarray, sizes: np.ndarray) -> dict:
 
 
 def start(hists: np.ndarray, mass: np.ndarray, sizes: np.ndarray, k: int = STATES, steps: int = 15) -> dict:
-    """A first model: ``k`` unigram clusters of documents, each a state that rarely changes."""
+    """A first model: ``k`` unigram clusters of the rows, each a state that rarely changes. A row is the counts of one or more documents."""
     c = empty_counts(k)
     if len(hists):
         base = (mass + 0.5) / (mass + 0.5).sum()
@@ -198,8 +200,8 @@ def start(hists: np.ndarray, mass: np.ndarray, sizes: np.ndarray, k: int = STATE
             r = np.exp(z - z.max(1, keepdims=True))
             r /= r.sum(1, keepdims=True)
             e = r.T @ hists
-        c["e"], c["pi"] = e, r.sum(0)
-        c["a"] = np.eye(k) * e.sum(1).mean() * 0.95 + e.sum(1).mean() * 0.05 * (r.sum(0) / r.sum())
+        c["e"], c["pi"] = e, hists[:, 0] @ r  # a document has one end token
+        c["a"] = np.eye(k) * e.sum(1).mean() * 0.95 + e.sum(1).mean() * 0.05 * (c["pi"] / c["pi"].sum())
     return normal(c, mass, sizes)
 
 
@@ -210,16 +212,17 @@ class Model:
         spark = docs.sparkSession
         training = docs.where(~common.held_out(F.col("doc_id"), mod, rest)).select("doc_id", "text")
         self.vocabulary = common.staged(count(training), "vocabulary")
-        n, v, documents = self.vocabulary.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+        n, v = self.vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
         self.n, self.v = int(n or 0), int(v)
         top = self._top()
         self.top = spark.sparkContext.broadcast({bytes(r.word): r.c for r in top})
         self.own = spark.sparkContext.broadcast([w for r in top[: OWN] if (w := bytes(r.word)) != END][: OWN - 1])
         mass, kinds = self._classes()
         self.sizes = mass + kinds + 1.0  # of a shared class: its tokens' counts, one more each, and one for the unknown
-        model = start(self._start(training, documents or 0), mass, self.sizes)
+        sequences = self._sequences(training)
+        model = start(self._groups(sequences, mass), mass, self.sizes)
         for _ in range(passes):
-            model = normal(self._pass(training, model), mass, self.sizes)
+            model = normal(self._pass(sequences, model), mass, self.sizes)
         self.hmm = spark.sparkContext.broadcast(model)
 
     def _top(self) -> list:
@@ -254,35 +257,55 @@ class Model:
             mass[r["class"]], kinds[r["class"]] = r.mass, r.kinds
         return mass, kinds
 
-    def _start(self, training: DataFrame, documents: int) -> np.ndarray:
+    def _sequences(self, training: DataFrame) -> DataFrame:
+        """x: the classes of each training text's tokens in two bytes each, worked out once."""
         own = self.own
-        some = training.where(common.share_of(F.xxhash64("doc_id"), documents, START_DOCS))
 
-        def histogram(batches):
+        def read(batches):
             classes = Classes(own.value)
             for b in batches:
-                out = []
-                for t in _batches(b.column("text")):
-                    at, c = np.unique(np.array(list(map(classes.__getitem__, words(t)))), return_counts=True)
-                    out.append(np.stack([at, c]).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "x"])
-
-        rows = some.mapInArrow(histogram, "doc_id long, x binary").collect()
-        out = np.zeros((len(rows), OWN + SHARED), np.float32)
-        for i, r in enumerate(sorted(rows, key=lambda r: (r.doc_id or 0, bytes(r.x)))):
-            at, c = np.frombuffer(bytes(r.x), np.int32).reshape(2, -1)
-            out[i, at] = c
-        return out
-
-    def _pass(self, training: DataFrame, model: dict) -> dict:
+                yield pa.RecordBatch.from_arrays([pa.array([np.fromiter(map(classes.__getitem__, w), np.int16, len(w)).tobytes() for w in map(words, _batches(b.column("text")))], pa.binary())], ["x"])
+
+        return common.staged(training.select("text").mapInArrow(read, "x binary"), "sequences")
+
+    def _groups(self, sequences: DataFrame, mass: np.ndarray) -> np.ndarray:
+        """Counts of classes in all training texts, a row for each group that has any: a text's group is the marker whose count exceeds its share of the corpus most."""
+        rate = np.log(np.maximum(mass[1 : MARKERS + 1], 1) / max(1, mass.sum()))
+        width = OWN + SHARED
+
+        def sums(batches):
+            total, held, size = np.zeros((MARKERS + 1) * width, np.int64), [], 0
+
+            for b in batches:
+                for t in _batches(b.column("x")):
+                    x = np.frombuffer(t, np.int16).astype(np.int64)
+                    c = np.bincount(x[x <= MARKERS], minlength=MARKERS + 1)[1:]
+                    beyond = c * (np.log(np.maximum(c, 1) / len(x)) - rate)
+                    held.append(x + width * (int(beyond.argmax()) if c.any() else MARKERS))
+                    size += len(x)
+                    if size > CELLS:
+                        total += np.bincount(np.concatenate(held), minlength=len(total))
+                        held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["slot", "n"])
+
+        out = np.zeros((MARKERS + 1) * width)
+        met = sequences.mapInArrow(sums, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        out[met["slot"].to_numpy()] = met["n"].to_numpy()
+        out = out.reshape(-1, width)
+        return out[out.any(1)]
+
+    def _pass(self, sequences: DataFrame, model: dict) -> dict:
         """Expected counts of all training texts: summed in each task, then over tasks, slot by slot."""
-        sc = training.sparkSession.sparkContext
-        own, sent, k = self.own, sc.broadcast(model), model["k"]
+        sc = sequences.sparkSession.sparkContext
+        sent, k = sc.broadcast(model), model["k"]
 
         def sums(batches):
-            classes, into, m = Classes(own.value), empty_counts(k), sent.value
+            into, m = empty_counts(k), sent.value
             for b in batches:
-                seqs = [np.fromiter(map(classes.__getitem__, w), np.int32, len(w)) for w in map(words, _batches(b.column("text")))]
+                seqs = [np.frombuffer(t, np.int16) for t in _batches(b.column("x"))]
                 for x, n, _ in by_length(seqs):
                     expected(m, x, n, into)
             flat = np.concatenate([into["pi"], into["a"].ravel(), into["e"].ravel(), [into["log"]]])
@@ -290,7 +313,7 @@ class Model:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], ["slot", "x"])
 
         flat = np.zeros(k + k * k + k * (OWN + SHARED) + 1)
-        for r in training.select("text").mapInArrow(sums, "slot int, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect():
+        for r in sequences.mapInArrow(sums, "slot int, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect():
             flat[r.slot] = r.x
         sent.unpersist()
         return {"pi": flat[:k], "a": flat[k : k + k * k].reshape(k, k), "e": flat[k + k * k : -1].reshape(k, -1), "log": flat[-1]}

@@ -768,3 +768,13 @@ def test_nested_and_repeated_articles():
     assert [x for x in whole.split("\n") if x.startswith("Link")] == [f"Link {i}" for i in range(7)] and "Other" not in whole
     marked = html.main_text(f"<body class=article><div><p>Stray words here.</p></div><article><p>{para}</p></article></body>")
     assert "Stray" not in marked
+
+
+def test_language_model_starts_from_all_training_texts(spark):
+    """The groups of the start hold every token of every training text, however many texts there are."""
+    texts = [f"the a{i % 7} of b{i % 11} the" if i % 3 else f"der a{i % 5} und c{i}" for i in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = hmm.Model(docs, passes=0)
+    mass, _ = model._classes()
+    groups = model._groups(model._sequences(docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)), mass)
+    assert (groups.sum(0) == mass).all() and groups.sum() == model.n and 1 < len(groups) <= hmm.MARKERS + 1
