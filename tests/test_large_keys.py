@@ -36,7 +36,7 @@ def test_query(spark, tmp_path, name, keys):
     assert canonical(QUERIES[name](spark, str(tmp_path)).toPandas()) == canonical(want)
 
 
-@pytest.mark.parametrize("name", ["dry_run", "protect_counts", "protect_cards", "protect_registry"])
+@pytest.mark.parametrize("name", ["dry_run", "protect_cards", "protect_keyed", "protect_registry", "protect_counts"])
 def test_no_two_telephones_get_one_code(spark, tmp_path, name):
     """The SQL knows no collisions. Of two telephones with one first-choice code the later one gets its next candidate, or neither could be restored; all else is as in SQL."""
     con = duckdb.connect()
